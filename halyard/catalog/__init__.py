@@ -11,6 +11,6 @@ def load_all() -> None:
         importlib.import_module(f"halyard.catalog.{name}")
 
 
-MODULES = ["aggregations"]
+MODULES = ["aggregations", "cleaning"]
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]

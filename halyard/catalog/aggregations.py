@@ -59,8 +59,8 @@ TRAILING_MEANS = """
           {money("order_amount")}/count(*) as revenue_per_order,
           {days("max(order_date)", "min(order_date)")} as customer_tenure_days,
           {days("(select max(order_date) from order_heads)", "max(order_date)")} as days_since_last_order
-        from trailing group by customer_id""",
-        trailing=TRAILING_MEANS,
+        from looked_back group by customer_id""",
+        looked_back=TRAILING_MEANS,
     ),
 )
 def _(t):
