@@ -11,6 +11,6 @@ def load_all() -> None:
         importlib.import_module(f"halyard.catalog.{name}")
 
 
-MODULES = ["aggregations", "cleaning"]
+MODULES = ["aggregations", "cleaning", "relational", "windows", "metrics"]
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]

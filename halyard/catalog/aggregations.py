@@ -190,7 +190,7 @@ def _(t):
 @query(
     "a11_prediction_stats",
     sql(
-        f"""select product_id, {hu("avg(predicted_demand)", 6)} as avg_predicted_demand,
+        f"""select product_id, {hu(mean_money("predicted_demand"), 6)} as avg_predicted_demand,
           {hu("coalesce(stddev_samp(predicted_demand), 1e0)", 6)} as std_predicted_demand
         from (select product_id, 0.8e0*quantity_sold + 5e0 as predicted_demand from
           (select product_id, order_month, sum(quantity) as quantity_sold from order_lines group by all))

@@ -343,7 +343,7 @@ def product_month_demand(orders: DataFrame) -> DataFrame:
 def prediction_stats(predictions: DataFrame) -> DataFrame:
     """Mean and spread of predicted demand; one prediction has spread 1."""
     return predictions.groupBy("product_id").agg(
-        F.avg("predicted_demand").alias("avg_predicted_demand"),
+        mean_money("predicted_demand").alias("avg_predicted_demand"),
         F.coalesce(F.stddev_samp("predicted_demand"), F.lit(1.0)).alias("std_predicted_demand"),
     )
 
