@@ -11,6 +11,6 @@ def load_all() -> None:
         importlib.import_module(f"halyard.catalog.{name}")
 
 
-MODULES = ["aggregations", "cleaning", "relational", "windows", "metrics"]
+MODULES = ["aggregations", "cleaning", "relational", "windows", "metrics", "features"]
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]

@@ -1,11 +1,43 @@
-"""Feature tables."""
+"""Feature tables: joins first, windows once, encodings and scalings as projections."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from halyard.functions import safe_div
 from halyard.operators import metrics as M
+from halyard.operators.encoding import encode, one_hot, ordinal, scale, with_date_features
+from halyard.operators.joins import with_dimension, with_suffix
 from halyard.operators.rollups import with_customer_orders
+from halyard.operators.series import row_position, series_features
+from halyard.operators.trailing import HOT_ROWS, extended_customer_orders, trailing_features
+from halyard.session import checkpoint_ready
+from halyard.sources.sinks import manifest, schema_rows, write_table
+
+# fixed values: order status levels and the scaled columns of each table
+STATUS_LEVELS = ["Cancelled", "Returned", "Shipped", "Completed"]
+CUSTOMER_SCALED = ["annual_revenue", "total_revenue", "average_order_value", "customer_activity_score"]
+SALES_SCALED = ["order_amount", "discount_rate", "unit_price", "annual_revenue", "margin_rate"]
+FINANCE_SCALED = ["revenue", "gross_margin", "ebitda", "cash_balance", "debt_balance"]
+MARKETING_SCALED = ["budget", "leads_generated", "conversion_rate", "attributed_revenue", "cost_per_lead"]
+INVENTORY_SCALED = ["on_hand_units", "reserved_units", "reorder_point", "inventory_value", "stockout_risk"]
+EMPLOYEE_SCALED = ["salary", "performance_score", "tenure_days"]
+KPI_SCALED = ["total_orders", "total_revenue", "recent_revenue", "days_since_last_order", "customer_value_proxy"]
+
+Categories = Mapping[str, list[str]]
+
+
+def _hot(df: DataFrame, columns: list[str], given: Categories | None) -> DataFrame:
+    return one_hot(df, {c: given[c] for c in columns} if given else columns)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Materialise once before the fits that each read the whole frame."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()
 
 
 def basic_customer_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -13,3 +45,134 @@ def basic_customer_features(orders: DataFrame, customers: DataFrame) -> DataFram
     return with_customer_orders(customers, orders).select(
         "*", M.customer_value_score().alias("customer_value_score"), M.churn_target().alias("churn_target")
     )
+
+
+def customer_features(
+    customers: DataFrame,
+    orders: DataFrame,
+    kpis: DataFrame,
+    order: list[str],
+    categories: Categories | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """One row per customer. Orders are rolled up before any join."""
+    rolled = extended_customer_orders(orders, order, hot_rows)
+    joined = with_suffix(customers.join(rolled, "customer_id", "left"), kpis, "customer_id", "_kpi")
+    dated = with_date_features(with_date_features(joined, "signup_date", "signup"), "last_order_date", "last_order")
+    scored = _stored(
+        dated.select(
+            "*",
+            M.lifetime_ratio().alias("customer_lifetime_revenue_ratio"),
+            M.activity_score().alias("customer_activity_score"),
+        )
+    )
+    groups = ["segment", "industry", "region"]
+    hot = _hot(encode(scored, frequency=groups), groups, categories)
+    return scale(scale(hot, CUSTOMER_SCALED, "standard", fit_on=scored), CUSTOMER_SCALED, "robust", fit_on=scored)
+
+
+def sales_features(
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    order: list[str],
+    categories: Categories | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """One row per order line. The customer join comes last, so that the window
+    over the customer finds the rows already placed by that key."""
+    wide = with_dimension(orders, products, "product_id", ["subcategory", "unit_cost", "list_price", "margin_rate"])
+    joined = with_dimension(wide, customers, "customer_id", ["segment", "industry", "region", "annual_revenue"])
+    columns = ["order_amount", "discount_rate"]
+    trailed = trailing_features(joined, "customer_id", order, columns, (1, 2), (3, 7), hot_rows=hot_rows)
+    coded = encode(
+        with_date_features(trailed, "order_date", "order"),
+        frequency=["sales_channel", "order_status", "category", "segment"],
+        target=["sales_channel", "category", "segment"],
+        target_column="order_amount",
+        fit_on=joined,
+    )
+    ranked = ordinal(coded, {"order_status": STATUS_LEVELS})
+    hot = _hot(ranked, ["sales_channel", "category", "segment"], categories)
+    return scale(hot, SALES_SCALED, "minmax", fit_on=joined)
+
+
+def finance_features(finance: DataFrame) -> DataFrame:
+    """One row per month; lags run over the month order."""
+    columns = ["revenue", "gross_margin", "ebitda", "cash_balance"]
+    indexed = row_position(finance, "order_month")
+    trailed = series_features(indexed, "order_month", columns, (1, 2), (2, 3))
+    return scale(trailed, FINANCE_SCALED, "robust", fit_on=finance)
+
+
+def marketing_features(campaigns: DataFrame, categories: Categories | None = None) -> DataFrame:
+    measured = _stored(M.campaign_metrics(with_date_features(campaigns, "start_date", "campaign_start")))
+    groups = ["channel", "target_segment"]
+    coded = encode(measured, frequency=groups, target=groups, target_column="attributed_revenue")
+    return scale(_hot(coded, groups, categories), MARKETING_SCALED, "standard", fit_on=measured)
+
+
+def inventory_features(
+    inventory: DataFrame, products: DataFrame, categories: Categories | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """One row per snapshot, warehouse and product."""
+    facts = ["category", "subcategory", "unit_cost", "list_price", "margin_rate"]
+    joined = with_dimension(inventory, products, "product_id", facts)
+    columns = ["on_hand_units", "reserved_units", "stockout_risk"]
+    trailed = trailing_features(
+        joined, "product_id", ["snapshot_date", "warehouse_id"], columns, (1, 2, 3), (3, 6), hot_rows=hot_rows
+    )
+    used = trailed.select("*", M.inventory_utilization().alias("inventory_utilization"))
+    groups = ["warehouse_id", "category", "subcategory"]
+    coded = encode(with_date_features(used, "snapshot_date", "snapshot"), frequency=groups, fit_on=joined)
+    return scale(_hot(coded, groups, categories), INVENTORY_SCALED, "minmax", fit_on=joined)
+
+
+def employee_features(employees: DataFrame, as_of: Column, categories: Categories | None = None) -> DataFrame:
+    measured = M.employee_metrics(with_date_features(employees, "hire_date", "hire"), as_of)
+    groups = ["department", "level", "region"]
+    hot = _hot(encode(measured, frequency=groups), groups, categories)
+    return scale(hot, EMPLOYEE_SCALED, "robust", fit_on=measured)
+
+
+def kpi_features(kpis: DataFrame) -> DataFrame:
+    dated = with_date_features(with_date_features(kpis, "signup_date", "signup"), "recent_last_order", "recent_order")
+    measured = _stored(
+        dated.select(
+            "*",
+            safe_div("recent_revenue", "annual_revenue").alias("recent_revenue_ratio"),
+            M.value_proxy().alias("customer_value_proxy"),
+        )
+    )
+    return scale(encode(measured, frequency=["segment", "industry", "region"]), KPI_SCALED, "standard", fit_on=measured)
+
+
+def feature_package(
+    tables: Mapping[str, DataFrame], as_of: Column, line_order: list[str], head_order: list[str]
+) -> dict[str, DataFrame]:
+    """All seven feature tables of a table set.
+
+    ``orders`` is at line grain; ``order_heads`` (one row per order) feeds the
+    customer table when given.
+    """
+    heads = tables.get("order_heads", tables["orders"])
+    order = head_order if "order_heads" in tables else line_order
+    return {
+        "customer_features": customer_features(tables["customers"], heads, tables["customer_kpis"], order),
+        "sales_features": sales_features(tables["orders"], tables["customers"], tables["products"], line_order),
+        "finance_features": finance_features(tables["finance_monthly"]),
+        "marketing_features": marketing_features(tables["marketing_campaigns"]),
+        "inventory_features": inventory_features(tables["inventory_snapshots"], tables["products"]),
+        "employee_features": employee_features(tables["employees"], as_of),
+        "kpi_features": kpi_features(tables["customer_kpis"]),
+    }
+
+
+def write_package(package: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Write the tables, their schema rows and the manifest; the manifest counts the written files."""
+    spark = next(iter(package.values())).sparkSession
+    written = {name: spark.read.parquet(write_table(df, folder, name)) for name, df in package.items()}
+    write_table(schema_rows(package), folder, "feature_schema")
+    summary = manifest(written)
+    write_table(summary, folder, "feature_manifest")
+    return summary
