@@ -12,6 +12,7 @@ from halyard.operators import cleaning as C
 from halyard.operators import quality as Q
 from halyard.operators import quality_rules as rules
 from halyard.operators.rollups import money as money_sum
+from halyard.operators.union import stacked
 from halyard.sources import entities as E
 from halyard.sources.tables import parse_date_columns
 
@@ -189,13 +190,8 @@ def _(t):
     ),
 )
 def _(t):
-    from functools import reduce
-
     tables = {"event_days": event_days(t), "employees": E.employees(t)}
-    return reduce(
-        lambda a, b: a.unionByName(b),
-        [C.cleaning_summary(name, raw, C.clean_table(raw, name)) for name, raw in tables.items()],
-    )
+    return stacked([C.cleaning_summary(name, raw, C.clean_table(raw, name)) for name, raw in tables.items()])
 
 
 # ---------------------------------------------------------------- validation
@@ -308,10 +304,7 @@ def _(t):
         Q.counts_and_ranges(customers, "customers", rules.MINIMUM_ROWS["customers"], {}),
         Q.counts_and_ranges(heads, "orders", rules.MINIMUM_ROWS["orders"], {}),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("passed", "message")
+    return stacked(parts).drop("passed", "message")
 
 
 @query(
@@ -337,11 +330,11 @@ def _(t):
         "orders": E.order_lines(t, product=False),
         "marketing_campaigns": E.campaigns(t),
     }
-    out = None
-    for name, key, parent, parent_key in rules.FOREIGN_KEYS[:4]:
-        part = Q.foreign_key(tables[name], name, key, tables[parent], parent, parent_key)
-        out = part if out is None else out.unionByName(part)
-    return out.select("table_name", "check_name", "failed_records")
+    parts = [
+        Q.foreign_key(tables[name], name, key, tables[parent], parent, parent_key)
+        for name, key, parent, parent_key in rules.FOREIGN_KEYS[:4]
+    ]
+    return stacked(parts).select("table_name", "check_name", "failed_records")
 
 
 @query(
@@ -368,11 +361,8 @@ def _(t):
         "orders": E.order_lines(t, product=False),
         "operations_daily": E.operations(t),
     }
-    out = None
-    for name, df in tables.items():
-        part = Q.counts_and_ranges(df, name, rules.MINIMUM_ROWS[name], {})
-        out = part if out is None else out.unionByName(part)
-    return out.select("table_name", "check_name", "failed_records")
+    parts = [Q.counts_and_ranges(df, name, rules.MINIMUM_ROWS[name], {}) for name, df in tables.items()]
+    return stacked(parts).select("table_name", "check_name", "failed_records")
 
 
 @query("v6_validation_report", sql(REPORT_SQL))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from halyard.functions import bounded
 from halyard.operators.describe import numeric_columns
+from halyard.operators.union import stacked
 from halyard.sources.sinks import write_table
 from halyard.sources.tables import parse_date_columns
 
@@ -119,6 +120,6 @@ def clean_all(tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
     for name, raw in tables.items():
         path = write_table(clean_table(raw, name), folder, name)
         summaries.append(cleaning_summary(name, raw, raw.sparkSession.read.parquet(path)))
-    summary = reduce(DataFrame.unionByName, summaries)
+    summary = stacked(summaries)
     write_table(summary, folder, "data_cleaning_summary")
     return summary

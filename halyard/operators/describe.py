@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.operators.ordered import exact_quantiles
+from halyard.operators.union import stacked
 
 NUMBERS = T.NumericType
 PAIRS_PER_PASS = 300
@@ -61,7 +61,7 @@ def describe_all(df: DataFrame) -> DataFrame:
                 F.max("n").alias("freq"),
             )
         )
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = stacked(parts)
     kinds = {"count": "long", "unique": "long", "top": "string", "freq": "long"}
     kinds.update({c: "double" for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
     return out.select(
@@ -89,7 +89,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         ]
         wide = df.agg(*both)
         parts.append(wide.select(F.explode(F.array(*wide.columns)).alias("s")).select("s.*"))
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts)
 
 
 def correlated_columns(df: DataFrame, threshold: float = 0.9, columns: list[str] | None = None) -> list[str]:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.operators.describe import numeric_columns, text_columns
 from halyard.operators.ordered import ks_two_sample
 from halyard.operators.selection import unexpected_values
+from halyard.operators.union import stacked
 
 # fixed values: significance of the distance test, and the mean test's width
 SIGNIFICANCE = 0.05
@@ -82,7 +81,7 @@ def category_check(reference: DataFrame, incoming: DataFrame, columns: list[str]
     parts = [
         unexpected_values(reference, incoming, c).select(F.lit(c).alias("column_name"), "value") for c in columns
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts)
 
 
 def drift_report(dataset: str, reference: DataFrame, incoming: DataFrame, expected: list[str] | None = None) -> DataFrame:
@@ -123,7 +122,7 @@ def drift_report(dataset: str, reference: DataFrame, incoming: DataFrame, expect
         parts.append(
             rows(category_check(reference, incoming, texts), "category", none, none, F.col("value"), F.lit(True))
         )
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts)
 
 
 def drift_summary(report: DataFrame) -> DataFrame:

@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import half_up
 from halyard.operators import quality_rules as rules
+from halyard.operators.union import stacked
 
 REPORT = ["table_name", "check_name", "status", "passed", "failed_records", "message"]
 STATUSES = ["pass", "fail", "skip"]
 
 
-def _result(found: DataFrame, table: str) -> DataFrame:
-    """(check_name, failed_records, good, bad) rows to report rows; null count means skipped."""
+def _graded(found: DataFrame) -> DataFrame:
+    """Raw checks (table, check, failed count, texts) to report rows; a null count means skipped."""
     failed = F.coalesce("failed_records", F.lit(0)).cast("long")
     skipped = F.col("failed_records").isNull()
     status = F.when(skipped, "skip").when(failed == 0, "pass").otherwise("fail")
     message = F.when(skipped, "column absent").when(failed == 0, F.col("good")).otherwise(F.col("bad"))
     return found.select(
-        F.lit(table).alias("table_name"),
+        "table_name",
         "check_name",
         status.alias("status"),
         (status != "fail").alias("passed"),
@@ -31,92 +31,107 @@ def _result(found: DataFrame, table: str) -> DataFrame:
     )
 
 
-def _check(name: str | Column, failed: Column, good: str, bad: Column) -> Column:
+def _check(table: str, name: str, failed: Column, good: str, bad: Column) -> Column:
     return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("check_name"),
+        F.lit(table).alias("table_name"),
+        F.lit(name).alias("check_name"),
         failed.cast("long").alias("failed_records"),
         F.lit(good).alias("good"),
         bad.alias("bad"),
     )
 
 
-def required_columns(df: DataFrame, table: str, required: list[str]) -> DataFrame:
-    """Names only, no data is read."""
+def _unpacked(aggregated: DataFrame) -> DataFrame:
+    """One row holding an array of checks ``s``, to one row per check."""
+    return aggregated.selectExpr("inline(s)")
+
+
+def _columns_check(df: DataFrame, table: str, required: list[str]) -> Column:
     missing = [c for c in required if c not in df.columns]
-    row = _check("required_columns", F.lit(len(missing)), "all columns present", F.lit("missing: " + ", ".join(missing)))
-    return _result(df.sparkSession.range(1).select(row.alias("s")).select("s.*"), table)
+    text = F.lit("missing: " + ", ".join(missing))
+    return _check(table, "required_columns", F.lit(len(missing)), "all columns present", text)
 
 
-def primary_key(df: DataFrame, table: str, key: str) -> DataFrame:
-    """Rows beyond the first per key value; a missing key counts as one value."""
+def _rows_check(table: str, minimum: int) -> Column:
+    short = F.greatest(F.lit(minimum) - F.count(F.lit(1)), F.lit(0))
+    return _check(table, "minimum_row_count", short, "enough rows", F.lit(f"fewer than {minimum} rows"))
+
+
+def _range_check(df: DataFrame, table: str, column: str, low: float | None, high: float | None) -> Column:
+    name = f"range_{column}"
+    if column not in df.columns:
+        return _check(table, name, F.lit(None), "", F.lit(""))
+    tests = [f"{column} < {low}"] * (low is not None) + [f"{column} > {high}"] * (high is not None)
+    count = F.expr(f"count_if({' or '.join(tests) or 'false'})")
+    text = F.concat(count.cast("string"), F.lit(f" values of {column} out of range"))
+    return _check(table, name, count, f"{column} in range", text)
+
+
+def _key_checks(df: DataFrame, table: str, key: str) -> DataFrame:
     copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
-    row = _check("primary_key_uniqueness", extra, "key is unique", F.lit(f"repeated values of {key}"))
-    return _result(copies.agg(row.alias("s")).select("s.*"), table)
+    check = _check(table, "primary_key_uniqueness", extra, "key is unique", F.lit(f"repeated values of {key}"))
+    return _unpacked(copies.agg(F.array(check).alias("s")))
 
 
-def foreign_key(df: DataFrame, table: str, key: str, parent: DataFrame, parent_name: str, parent_key: str) -> DataFrame:
-    """Rows whose key has no parent. Keys are counted first, so a frequent key crosses the join once."""
+def _reference_checks(
+    df: DataFrame, table: str, key: str, parent: DataFrame, parent_name: str, parent_key: str
+) -> DataFrame:
     counted = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
     parents = parent.select(F.col(parent_key).alias("__key")).distinct()
-    orphans = counted.join(parents, "__key", "left_anti")
     lost = F.coalesce(F.sum("n"), F.lit(0))
-    row = _check(
-        f"foreign_key_{key}_to_{parent_name}",
-        lost,
-        "every reference resolves",
-        F.concat(lost.cast("string"), F.lit(f" rows without a parent for {key}")),
-    )
-    return _result(orphans.agg(row.alias("s")).select("s.*"), table)
+    text = F.concat(lost.cast("string"), F.lit(f" rows without a parent for {key}"))
+    check = _check(table, f"foreign_key_{key}_to_{parent_name}", lost, "every reference resolves", text)
+    return _unpacked(counted.join(parents, "__key", "left_anti").agg(F.array(check).alias("s")))
+
+
+def required_columns(df: DataFrame, table: str, required: list[str]) -> DataFrame:
+    """Names only, no data is read."""
+    row = df.sparkSession.range(1).select(F.array(_columns_check(df, table, required)).alias("s"))
+    return _graded(_unpacked(row))
+
+
+def primary_key(df: DataFrame, table: str, key: str) -> DataFrame:
+    """Rows beyond the first per key value; a missing key counts as one value."""
+    return _graded(_key_checks(df, table, key))
+
+
+def foreign_key(df: DataFrame, table: str, key: str, parent: DataFrame, parent_name: str, parent_key: str) -> DataFrame:
+    """Rows whose key has no parent. Keys are counted first, so a frequent key crosses the join once."""
+    return _graded(_reference_checks(df, table, key, parent, parent_name, parent_key))
 
 
 def counts_and_ranges(
     df: DataFrame, table: str, minimum_rows: int | None, ranges: Mapping[str, tuple[float | None, float | None]]
 ) -> DataFrame:
     """Minimum row count and all numeric ranges of a table in one aggregate."""
-    checks = []
-    if minimum_rows is not None:
-        short = F.greatest(F.lit(minimum_rows) - F.count(F.lit(1)), F.lit(0))
-        checks.append(
-            _check("minimum_row_count", short, "enough rows", F.lit(f"fewer than {minimum_rows} rows"))
-        )
-    for column, (low, high) in ranges.items():
-        if column not in df.columns:
-            checks.append(_check(f"range_{column}", F.lit(None), "", F.lit("")))
-            continue
-        outside = F.lit(False)
-        if low is not None:
-            outside = outside | (F.col(column) < low)
-        if high is not None:
-            outside = outside | (F.col(column) > high)
-        count = F.count_if(outside)
-        checks.append(
-            _check(
-                f"range_{column}",
-                count,
-                f"{column} in range",
-                F.concat(count.cast("string"), F.lit(f" values of {column} out of range")),
-            )
-        )
-    found = df.agg(F.array(*checks).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    return _result(found, table)
+    checks = [] if minimum_rows is None else [_rows_check(table, minimum_rows)]
+    checks += [_range_check(df, table, c, *limits) for c, limits in ranges.items()]
+    return _graded(_unpacked(df.agg(F.array(*checks).alias("s"))))
 
 
 def validate(
     tables: Mapping[str, DataFrame],
     minimum_rows: Mapping[str, int] = rules.MINIMUM_ROWS,
 ) -> DataFrame:
-    """Every rule on every table as one long report."""
+    """Every rule on every table as one long report.
+
+    Columns, row count and ranges of a table share one aggregate; keys and
+    references take one each.
+    """
     parts = []
     for name, df in tables.items():
-        parts.append(required_columns(df, name, rules.REQUIRED_COLUMNS[name].split()))
+        checks = [_columns_check(df, name, rules.REQUIRED_COLUMNS[name].split())]
+        if name in minimum_rows:
+            checks.append(_rows_check(name, minimum_rows[name]))
+        checks += [_range_check(df, name, c, *limits) for c, limits in rules.NUMERIC_RANGES.get(name, {}).items()]
+        parts.append(_unpacked(df.agg(F.array(*checks).alias("s"))))
         if name in rules.PRIMARY_KEYS:
-            parts.append(primary_key(df, name, rules.PRIMARY_KEYS[name]))
-        parts.append(counts_and_ranges(df, name, minimum_rows.get(name), rules.NUMERIC_RANGES.get(name, {})))
+            parts.append(_key_checks(df, name, rules.PRIMARY_KEYS[name]))
     for name, key, parent, parent_key in rules.FOREIGN_KEYS:
         if name in tables and parent in tables:
-            parts.append(foreign_key(tables[name], name, key, tables[parent], parent, parent_key))
-    return reduce(DataFrame.unionByName, parts).select(*REPORT)
+            parts.append(_reference_checks(tables[name], name, key, tables[parent], parent, parent_key))
+    return _graded(stacked(parts))
 
 
 def summarise(report: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions import half_up, safe_div
 from halyard.operators.selection import top_k
+from halyard.operators.union import stacked
 
 # fixed values: limits and texts of the rules
 CHURN_LIMIT = 0.6
@@ -119,7 +118,7 @@ def revenue_advice(forecast: DataFrame) -> DataFrame:
 
 def recommendations(parts: list[DataFrame]) -> DataFrame:
     """All advice, or the default row when there is none."""
-    found = reduce(DataFrame.unionByName, parts)
+    found = stacked(parts)
     fallback = _record(
         found.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0),
         DEFAULT_TEXT,

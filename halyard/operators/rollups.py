@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.functions import bounded, half_up, month_text, quarter_text, safe_div, whole_days, zero_if_none
+from halyard.operators.union import stacked
+from halyard.sources.sinks import manifest
 
 
 def money(c: Column | str) -> Column:
@@ -201,7 +203,7 @@ def business_kpis(finance: DataFrame, operations: DataFrame, kpis: DataFrame, pr
         kpis.agg(F.avg("churn_flag").alias("customer_churn_rate"), F.avg(proxy).alias("avg_customer_value_proxy")),
     ]
     long = [p.unpivot([], p.columns, "kpi", "value") for p in parts]
-    return long[0].unionByName(long[1]).unionByName(long[2])
+    return stacked(long)
 
 
 def category_seasonality(orders: DataFrame) -> DataFrame:
@@ -394,13 +396,8 @@ def missing_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
                 ),
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return stacked(parts)
 
 
 def table_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
-    from halyard.sources.sinks import manifest
-
     return manifest(tables).orderBy(F.desc("row_count"), "dataset")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.operators.describe import numeric_columns
+from halyard.operators.union import stacked
 
 
 def existing(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -61,8 +60,6 @@ def positions(names: DataFrame, order: list[Column]) -> DataFrame:
 
 def ordered_union(lists: list[DataFrame]) -> DataFrame:
     """Names of several short lists (name, place), first occurrence wins, renumbered."""
-    stacked = reduce(
-        DataFrame.unionByName, [df.select("name", F.lit(i).alias("list_no"), "place") for i, df in enumerate(lists)]
-    )
-    first = stacked.groupBy("name").agg(F.min(F.struct("list_no", "place")).alias("spot"))
+    listed = stacked([df.select("name", F.lit(i).alias("list_no"), "place") for i, df in enumerate(lists)])
+    first = listed.groupBy("name").agg(F.min(F.struct("list_no", "place")).alias("spot"))
     return first.select("name", F.row_number().over(W.orderBy("spot")).alias("place"))

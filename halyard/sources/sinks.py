@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.operators.union import stacked
 from halyard.sources.tables import path_exists
 
 
@@ -51,7 +51,7 @@ def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
         )
         for name, df in tables.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return stacked(counts)
 
 
 def json_records(df: DataFrame) -> DataFrame:
