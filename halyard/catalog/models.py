@@ -279,3 +279,58 @@ def _(t):
     return B.local_explanation(explained(t), "customer_id")
 
 
+
+
+@query("x2_additivity", sql("select customer_id, true as adds_up from customers"))
+def _(t):
+    """Base value plus all contributions gives the model's probability for every row."""
+    rows = churn_rows(t)
+    model = T.classification_candidates(SMALL)[0].build().fit(rows)
+    long = B.attributions(model, rows, "customer_id", T.VECTOR, SELECTABLE).where(F.col("class_id") == 1)
+    total = long.groupBy("customer_id").agg((F.max("base_value") + F.sum("attribution")).alias("total"))
+    scores = T.scored(model, rows).select("customer_id", "score")
+    return total.join(scores, "customer_id").select(
+        "customer_id", (F.abs(F.col("total") - F.col("score")) < 1e-9).alias("adds_up")
+    )
+
+
+@query(
+    "l14_churn_prediction_rows",
+    sql(
+        """select customer_id, churn_flag as actual_churn, position % 5 = 0 as is_test, true as sound from (select customer_id, churn_flag,
+          row_number() over (partition by churn_flag order by md5('42:' || customer_id), customer_id) - 1 as position from customers)"""
+    ),
+)
+def _(t):
+    """Every customer once, label and split as given, probability and class in agreement."""
+    found = J.train_churn(customer_feature_table(t), scratch_registry(t), T.Budget(trees=5, rounds=3, depth=3, trials=0, folds=2))
+    p = F.col("churn_probability")
+    sound = p.between(0.0, 1.0) & ((p > 0.5) == (F.col("predicted_churn") == 1))
+    return found.results["predictions"].select("customer_id", "actual_churn", "is_test", sound.alias("sound"))
+
+
+@query(
+    "l23_risk_report_rows",
+    sql("select customer_id, segment, region, true as sound from customers"),
+)
+def _(t):
+    """Every customer once with segment and region; score, category and confidence in agreement."""
+    scores = risk_outcome(t, "customer_risk_model", scratch_registry(t)).results["scores"]
+    level = F.when(F.col("risk_score") >= 70, "High").when(F.col("risk_score") >= 35, "Medium").otherwise("Low")
+    near_limit = (F.abs(F.col("risk_score") - 70) < 0.01) | (F.abs(F.col("risk_score") - 35) < 0.01)
+    sound = F.col("risk_score").between(0, 100) & F.col("confidence").between(0.33, 1.0) & ((level == F.col("risk_category")) | near_limit)
+    return scores.select("customer_id", "segment", "region", sound.alias("sound"))
+
+
+@query(
+    "l24_segment_rows",
+    sql("select customer_id, annual_revenue, true as sound from customers"),
+)
+def _(t):
+    """Every customer once, one persona per cluster and one cluster per persona."""
+    segments = J.segment_customers(customer_feature_table(t), scratch_registry(t), starts=1).results["segments"]
+    pairs = segments.groupBy("cluster_id").agg(F.count_distinct("persona").alias("names"))
+    names = segments.agg(F.count_distinct("persona") == F.count_distinct("cluster_id")).scalar()
+    return segments.join(pairs, "cluster_id").select(
+        "customer_id", "annual_revenue", ((F.col("names") == 1) & names & F.col("cluster_id").between(0, 3)).alias("sound")
+    )
