@@ -276,7 +276,7 @@ def _(t):
 
 @query("x2_local_attribution")
 def _(t):
-    return B.local_explanation(explained(t), "customer_id")
+    return B.local_explanation(explained(t))
 
 
 

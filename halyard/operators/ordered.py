@@ -9,6 +9,7 @@ starting point. A group of any size spreads over as many slices as it needs.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,39 +54,45 @@ def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    small: int = 1_000_000,
+    small: int = 200_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns, exact at any size.
 
     Up to ``small`` rows the built-in ``percentile`` is used. Beyond that its
-    value map would not fit one task: an approximate pass brackets each target
-    rank, and only the values inside the bracket are counted and ranked.
+    value map grows with the data, so an approximate pass brackets each target
+    rank, and only the values inside a bracket are counted and ranked.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(counts) <= small:
-        found = df.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in columns]).first()
-        return {c: list(found[c]) if found[c] is not None else [None] * len(probabilities) for c in columns}
-
     margin = 2.0 / accuracy
     edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    approx = numbers.agg(*[F.percentile_approx(c, edges, accuracy).alias(c) for c in columns]).first()
-    brackets = {
-        f"{c}@{i}": (c, approx[c][2 * i], approx[c][2 * i + 1], p * (counts[c] - 1))
-        for c in columns
-        if counts[c]
-        for i, p in enumerate(probabilities)
-    }
-    below = numbers.agg(*[F.count_if(F.col(c) < low).alias(tag) for tag, (c, low, _, _) in brackets.items()]).first()
-    inside = F.array(
-        *[
-            F.when(F.col(c).between(low, high), F.struct(F.lit(tag).alias("tag"), F.col(c).alias("value")))
-            for tag, (c, low, high, _) in brackets.items()
-        ]
+    probe = numbers.agg(
+        *[F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, accuracy).alias("edges")).alias(c) for c in columns]
+    ).first()
+    if max(probe[c].n for c in columns) <= small:
+        found = numbers.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in columns]).first()
+        return {c: list(found[c]) if found[c] is not None else [None] * len(probabilities) for c in columns}
+
+    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    brackets = {}
+    for c in columns:
+        for i, p in enumerate(probabilities):
+            if probe[c].n:
+                low, high = probe[c].edges[2 * i], probe[c].edges[2 * i + 1]
+                if low == high:
+                    out[c][i] = low
+                else:
+                    brackets[f"{c}@{i}"] = (c, i, low, high, p * (probe[c].n - 1))
+    if not brackets:
+        return out
+    below = numbers.agg(*[F.count_if(F.col(c) < low).alias(tag) for tag, (c, _, low, _, _) in brackets.items()]).first()
+    hits = {tag: F.col(c).between(low, high) for tag, (c, _, low, high, _) in brackets.items()}
+    tagged = F.array(
+        *[F.when(hits[tag], F.struct(F.lit(tag).alias("tag"), F.col(brackets[tag][0]).alias("value"))) for tag in hits]
     )
     near = (
-        numbers.select(F.explode(inside).alias("s"))
+        numbers.where(reduce(lambda a, b: a | b, hits.values()))
+        .select(F.explode(tagged).alias("s"))
         .where(F.col("s").isNotNull())
         .groupBy("s.tag", "s.value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -96,16 +103,16 @@ def exact_quantiles(
         reached = (F.col("tag") == tag) & (F.col("n_through") + below[tag] > rank)
         return F.min(F.when(reached, F.col("value")))
 
-    picks = [
-        at(tag, rank).alias(f"{tag}{side}")
-        for tag, (_, _, _, position) in brackets.items()
-        for side, rank in (("<", math.floor(position)), (">", math.ceil(position)))
-    ]
-    found = ranked.agg(*picks).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    for tag, (c, _, _, position) in brackets.items():
+    found = ranked.agg(
+        *[
+            at(tag, rank).alias(f"{tag}{side}")
+            for tag, (*_, position) in brackets.items()
+            for side, rank in (("<", math.floor(position)), (">", math.ceil(position)))
+        ]
+    ).first()
+    for tag, (c, i, _, _, position) in brackets.items():
         low, high = found[f"{tag}<"], found[f"{tag}>"]
-        out[c][int(tag.rsplit("@", 1)[1])] = low + (high - low) * (position - math.floor(position))
+        out[c][i] = low + (high - low) * (position - math.floor(position))
     return out
 
 
@@ -147,7 +154,8 @@ def ks_two_sample(reference: DataFrame, incoming: DataFrame, columns: list[str])
         F.try_divide(F.col("ref_through").cast("double"), F.col("ref_rows").cast("double"))
         - F.try_divide(F.col("inc_through").cast("double"), F.col("inc_rows").cast("double"))
     )
-    found = through.join(sizes, "column_name").groupBy("column_name").agg(
+    # one row per tested column
+    found = through.join(F.broadcast(sizes), "column_name").groupBy("column_name").agg(
         F.max("ref_rows").alias("ref_rows"), F.max("inc_rows").alias("inc_rows"), F.max(gap).alias("statistic")
     )
     n, m = F.col("ref_rows").cast("double"), F.col("inc_rows").cast("double")

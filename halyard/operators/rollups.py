@@ -131,13 +131,24 @@ def customer_kpis(customers: DataFrame, orders: DataFrame, window_days: int = 18
 # ---------------------------------------------------------------- sales
 
 
+def month_start() -> Column:
+    """The month as a date: cheap to group by, text is made once per group."""
+    return F.trunc(F.col("order_date").cast("date"), "month").alias("month_start")
+
+
 def monthly_revenue(orders: DataFrame) -> DataFrame:
-    months = orders.groupBy(month_text("order_date").alias("order_month")).agg(
+    months = orders.groupBy(month_start()).agg(
         money("order_amount").alias("revenue"),
         rows().alias("order_count"),
         money("gross_margin").alias("gross_margin"),
     )
-    return months.select("*", zero_if_none(safe_div("revenue", "order_count")).alias("average_order_value"))
+    return months.select(
+        month_text("month_start").alias("order_month"),
+        "revenue",
+        "order_count",
+        "gross_margin",
+        zero_if_none(safe_div("revenue", "order_count")).alias("average_order_value"),
+    )
 
 
 def product_summary(orders: DataFrame, products: DataFrame) -> DataFrame:
@@ -168,9 +179,13 @@ def region_segment_summary(customers: DataFrame, orders: DataFrame) -> DataFrame
 
 
 def seasonal_summary(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(
-        quarter_text("order_date").alias("quarter"), F.date_format("order_date", "MMMM").alias("month")
-    ).agg(money("order_amount").alias("revenue"), rows().alias("orders"))
+    months = orders.groupBy(month_start()).agg(money("order_amount").alias("revenue"), rows().alias("orders"))
+    return months.select(
+        quarter_text("month_start").alias("quarter"),
+        F.date_format("month_start", "MMMM").alias("month"),
+        "revenue",
+        "orders",
+    )
 
 
 def segment_insight(kpis: DataFrame) -> DataFrame:

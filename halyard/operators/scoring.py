@@ -109,8 +109,9 @@ def cluster_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFram
     """Centroid and mean distance to it, one row per cluster, in two aggregates."""
     centres = df.groupBy(cluster).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
     distance = F.sqrt(sum((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in columns))
+    # one row per cluster: without the hint every row would first be shuffled by its cluster
     return (
-        df.join(centres, cluster)
+        df.join(F.broadcast(centres), cluster)
         .groupBy(cluster)
         .agg(
             F.count(F.lit(1)).alias("members"),

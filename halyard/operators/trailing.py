@@ -80,7 +80,11 @@ def trailing_features(
     spread: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``df`` with lag and trailing columns. ``order`` must be a total order within a key."""
+    """``df`` with lag and trailing columns. ``order`` must be a total order within a key.
+
+    Join dimensions after this, not before: the plain window leaves the rows
+    placed by the key, so a join on it needs no shuffle of the fact side.
+    """
     columns = [c for c in columns if c in df.columns]
 
     def apply(frame: DataFrame, parts: list[str]) -> DataFrame:

@@ -79,22 +79,24 @@ def sales_features(
     categories: Categories | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row per order line. The customer join comes last, so that the window
-    over the customer finds the rows already placed by that key."""
-    wide = with_dimension(orders, products, "product_id", ["subcategory", "unit_cost", "list_price", "margin_rate"])
-    joined = with_dimension(wide, customers, "customer_id", ["segment", "industry", "region", "annual_revenue"])
+    """One row per order line. The window runs first, on the narrow orders; the
+    customer join then finds the rows already placed by its key."""
     columns = ["order_amount", "discount_rate"]
-    trailed = trailing_features(joined, "customer_id", order, columns, (1, 2), (3, 7), hot_rows=hot_rows)
+    trailed = trailing_features(orders, "customer_id", order, columns, (1, 2), (3, 7), hot_rows=hot_rows)
+    people, goods = ["segment", "industry", "region", "annual_revenue"], ["subcategory", "unit_cost", "list_price", "margin_rate"]
+    joined = with_dimension(with_dimension(trailed, customers, "customer_id", people), products, "product_id", goods)
+    # the fits read only what they need: no windows, and the product join for one column alone
+    with_people = with_dimension(orders, customers, "customer_id", ["segment", "annual_revenue"])
     coded = encode(
-        with_date_features(trailed, "order_date", "order"),
+        with_date_features(joined, "order_date", "order"),
         frequency=["sales_channel", "order_status", "category", "segment"],
         target=["sales_channel", "category", "segment"],
         target_column="order_amount",
-        fit_on=joined,
+        fit_on=with_people,
     )
     ranked = ordinal(coded, {"order_status": STATUS_LEVELS})
     hot = _hot(ranked, ["sales_channel", "category", "segment"], categories)
-    return scale(hot, SALES_SCALED, "minmax", fit_on=joined)
+    return scale(hot, SALES_SCALED, "minmax", fit_on=with_dimension(with_people, products, "product_id", ["margin_rate"]))
 
 
 def finance_features(finance: DataFrame) -> DataFrame:
@@ -117,15 +119,19 @@ def inventory_features(
 ) -> DataFrame:
     """One row per snapshot, warehouse and product."""
     facts = ["category", "subcategory", "unit_cost", "list_price", "margin_rate"]
-    joined = with_dimension(inventory, products, "product_id", facts)
     columns = ["on_hand_units", "reserved_units", "stockout_risk"]
     trailed = trailing_features(
-        joined, "product_id", ["snapshot_date", "warehouse_id"], columns, (1, 2, 3), (3, 6), hot_rows=hot_rows
+        inventory, "product_id", ["snapshot_date", "warehouse_id"], columns, (1, 2, 3), (3, 6), hot_rows=hot_rows
     )
-    used = trailed.select("*", M.inventory_utilization().alias("inventory_utilization"))
+    joined = with_dimension(trailed, products, "product_id", facts)
+    used = joined.select("*", M.inventory_utilization().alias("inventory_utilization"))
     groups = ["warehouse_id", "category", "subcategory"]
-    coded = encode(with_date_features(used, "snapshot_date", "snapshot"), frequency=groups, fit_on=joined)
-    return scale(_hot(coded, groups, categories), INVENTORY_SCALED, "minmax", fit_on=joined)
+    coded = encode(
+        with_date_features(used, "snapshot_date", "snapshot"),
+        frequency=groups,
+        fit_on=with_dimension(inventory, products, "product_id", ["category", "subcategory"]),
+    )
+    return scale(_hot(coded, groups, categories), INVENTORY_SCALED, "minmax", fit_on=inventory)
 
 
 def employee_features(employees: DataFrame, as_of: Column, categories: Categories | None = None) -> DataFrame:

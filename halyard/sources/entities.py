@@ -145,7 +145,8 @@ def _status(flag: Column, returned: Column) -> Column:
 def order_lines(t: StarTables, product: bool = True) -> DataFrame:
     """Line grain. ``product=False`` leaves out the product join, category and margin."""
     amount = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    heads = t.orders.withColumn("o_month", month_text("o_orderdate"))  # once per order, not per line
+    rows = t.lineitem.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     extra = []
     if product:
         rows = rows.join(t.part.select("p_partkey", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
@@ -172,7 +173,7 @@ def order_lines(t: StarTables, product: bool = True) -> DataFrame:
         amount.alias("order_amount"),
         whole_days("l_shipdate", "o_orderdate").alias("shipping_days"),
         *extra,
-        month_text("o_orderdate").alias("order_month"),
+        F.col("o_month").alias("order_month"),
     )
 
 

@@ -106,7 +106,7 @@ def test_attribution_adds_up(vectors, kind, size):
         want = scored.select("id", F.lit(0).alias("class_id"), F.col("prediction").alias("want"))
     worst = totals.join(want, ["id", "class_id"]).agg(F.max(F.abs(F.col("total") - F.col("want"))), F.count("*")).first()
     assert worst[0] < 1e-9 and worst[1] >= 300
-    ranked = B.local_explanation(long, "id", class_id=0).where("id = 0").orderBy("rank").collect()
+    ranked = B.local_explanation(long, class_id=0).where("id = 0").orderBy("rank").collect()
     sizes = [abs(r.attribution) for r in ranked]
     assert sizes == sorted(sizes, reverse=True) and len(sizes) == 4
     assert B.global_importance(long).count() == 4
