@@ -37,10 +37,14 @@ KPI_SIDE = (
 
 
 def analysis_frame(orders: DataFrame, customers: DataFrame, products: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Orders beside their customer, product and KPI columns."""
-    joined = with_suffix(orders, customers.select(*CUSTOMER_SIDE), "customer_id", "_customer")
-    joined = with_suffix(joined, products.select(*PRODUCT_SIDE), "product_id", "_product")
-    return with_suffix(joined, kpis.select(*KPI_SIDE), "customer_id", "_kpi")
+    """Orders beside their customer, product and KPI columns.
+
+    Customers and their KPIs meet first, at customer grain, so the orders cross
+    one join per key and adaptive execution is free to split a heavy customer.
+    """
+    people = with_suffix(customers.select(*CUSTOMER_SIDE), kpis.select(*KPI_SIDE), "customer_id", "_kpi")
+    joined = with_suffix(orders, people, "customer_id", "_customer")
+    return with_suffix(joined, products.select(*PRODUCT_SIDE), "product_id", "_product")
 
 
 def distinct_list(df: DataFrame, column: str) -> Column:

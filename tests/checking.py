@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import duckdb
+import pandas as pd
 
 from halyard.sources.tables import STAR
 
@@ -17,45 +16,42 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    if value is None:
-        return None
-    if isinstance(value, float):
-        return None if math.isnan(value) else value
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, int):
-        return value
-    return str(value)
+def _plain(column: pd.Series) -> pd.Series:
+    """Numbers as float (missing as NaN), all else as text."""
+    if pd.api.types.is_bool_dtype(column):
+        return column.astype(str)
+    if pd.api.types.is_numeric_dtype(column):
+        return column.astype(float)
+    values = [v for v in column if v is not None and v == v]
+    if values and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+        return pd.to_numeric(column).astype(float)
+    return column.map(lambda v: "<none>" if v is None or v != v else str(v))
 
 
-def _key(row):
-    return tuple((v is None, str(type(v)) if not isinstance(v, (int, float)) else "", v if v is not None else 0) for v in row)
+def _sorted(frame: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    plain = pd.DataFrame({c: _plain(frame[c]) for c in names})
+    return plain.sort_values(names, na_position="last").reset_index(drop=True)
 
 
 def compare(df, con, text) -> str | None:
     """None when equal, else what differs."""
     names = sorted(df.columns)
-    ours = [tuple(_plain(r[c]) for c in names) for r in df.collect()]
-    cursor = con.execute(text)
-    columns = [d[0] for d in cursor.description]
-    if sorted(columns) != names:
-        return f"columns {sorted(set(columns) ^ set(names))}"
-    at = [columns.index(c) for c in names]
-    theirs = [tuple(_plain(r[i]) for i in at) for r in cursor.fetchall()]
+    theirs = con.execute(text).df()
+    if sorted(theirs.columns) != names:
+        return f"columns {sorted(set(theirs.columns) ^ set(names))}"
+    ours = df.toPandas()
     if len(ours) != len(theirs):
         return f"rows {len(ours)} != {len(theirs)}"
-    ours.sort(key=_key)
-    theirs.sort(key=_key)
-    bad, first, columns_bad = 0, None, {}
-    for a, b in zip(ours, theirs):
-        if a != b:
-            bad += 1
-            first = first or (a, b)
-            for n, x, y in zip(names, a, b):
-                if x != y:
-                    columns_bad[n] = columns_bad.get(n, 0) + 1
-    if bad:
-        diff = {n: (x, y) for n, x, y in zip(names, *first) if x != y}
-        return f"{bad} of {len(ours)} rows differ, columns {columns_bad}, first {diff}"
-    return None
+    ours, theirs = _sorted(ours, names), _sorted(theirs, names)
+    bad = {}
+    for c in names:
+        a, b = ours[c], theirs[c]
+        if a.dtype != b.dtype:  # all missing on one side, or different kinds
+            if not (a.isna() | (a == "<none>")).all() or not (b.isna() | (b == "<none>")).all():
+                bad[c] = f"kinds {a.dtype} and {b.dtype}"
+            continue
+        off = ~((a == b) | (a.isna() & b.isna()))
+        if off.any():
+            at = off.idxmax()
+            bad[c] = f"{off.sum()} of {len(a)} rows, first {a[at]!r} and {b[at]!r}"
+    return str(bad) if bad else None
