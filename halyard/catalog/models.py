@@ -15,12 +15,14 @@ from halyard.catalog.views import hu, sql
 from halyard.functions import half_up
 from halyard.operators import attribution as B
 from halyard.operators import metrics as M
+from halyard.operators.union import stacked
 from halyard.plans import jobs as J
 from halyard.plans import selecting as S
 from halyard.plans import training as T
 from halyard.plans.registry import ModelRegistry, leaderboard
 from halyard.session import checkpoint_ready
 from halyard.sources import entities as E
+from halyard.sources.sinks import write_table
 
 SMALL = T.Budget(trees=10, rounds=5, depth=4, trials=1, folds=2)
 
@@ -81,15 +83,19 @@ def _(t):
 
 @query("e23_feature_package")
 def _(t):
-    """All seven feature tables, written and counted by the manifest."""
+    """All seven feature tables, written and counted by the manifest.
+
+    The entities are written first: every fit below then reads files instead of
+    joining the star again.
+    """
     from halyard.catalog.cleaning import entity_tables
     from halyard.catalog.metrics import as_of
+    from halyard.catalog.relational import scratch_folder
     from halyard.plans.features import feature_package, write_package
 
-    checkpoint_ready(t.spark)
-    folder = f"{t.spark.sparkContext.getCheckpointDir()}/features-{uuid.uuid4().hex}"
-    tables = {**entity_tables(t), "order_heads": E.order_heads(t)}
-    return write_package(feature_package(tables, as_of(), E.LINE_ORDER, E.HEAD_ORDER), folder)
+    folder = scratch_folder(t)
+    tables = {name: t.spark.read.parquet(write_table(df, folder, name)) for name, df in entity_tables(t).items()}
+    return write_package(feature_package(tables, as_of(), E.LINE_ORDER), f"{folder}/features")
 
 
 @query("l7_regression_candidates")
@@ -157,31 +163,19 @@ def _(t):
 
 
 def risk_outcome(t, name, registry):
+    used = E.inventory(t).withColumn("inventory_utilization", M.inventory_utilization())
     frames = {
-        "financial_risk_model": (E.finance(t), "order_month"),
-        "operational_risk_model": (
-            E.inventory(t).select(
-                "*",
-                M.inventory_utilization().alias("inventory_utilization"),
-                F.concat_ws("|", F.date_format("snapshot_date", "yyyy-MM"), "warehouse_id", F.col("product_id").cast("string")).alias("snapshot_key"),
-            ),
-            "snapshot_key",
-        ),
-        "customer_risk_model": (E.customer_kpis(t).withColumn("recency_days", F.col("days_since_last_order")), "customer_id"),
+        "financial_risk_model": E.finance(t),
+        "operational_risk_model": J.keyed_snapshots(used),
+        "customer_risk_model": E.customer_kpis(t).withColumn("recency_days", F.col("days_since_last_order")),
     }
-    frame, key = frames[name]
-    label, left_out = J.RISK_JOBS[name]
-    return J.train_risk(name, frame, key, label(), left_out, registry, SMALL)
+    return J.train_risk(name, frames[name], registry, SMALL)
 
 
 @query("l21_risk_training")
 def _(t):
     registry = scratch_registry(t)
-    out = None
-    for name in J.RISK_JOBS:
-        part = risk_outcome(t, name, registry).comparison
-        out = part if out is None else out.unionByName(part)
-    return out
+    return stacked([risk_outcome(t, name, registry).comparison for name in J.RISK_JOBS])
 
 
 @query("l23_customer_risk_report")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from halyard.catalog.aggregations import FORECAST, PRODUCT_SUMMARY, day_text, naive_forecast
@@ -11,6 +13,7 @@ from halyard.functions import bounded, calendar_parts, half_up, ladder, month_te
 from halyard.operators import joins as J
 from halyard.operators import rollups as R
 from halyard.operators import selection as P
+from halyard.session import checkpoint_ready
 from halyard.sources import entities as E
 from halyard.sources import sinks
 from halyard.sources import tables as S
@@ -91,6 +94,31 @@ def _(t):
     return sinks.schema_rows(tables).join(filled, ["dataset", "column"])
 
 
+def scratch_folder(t):
+    """A folder of this run's own under the checkpoint folder, which all executors share."""
+    checkpoint_ready(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+@query("s9_table_sink", sql("select order_month, order_id, order_amount from (select strftime(order_date, '%Y-%m') as order_month, order_id, order_amount from order_heads)"))
+def _(t):
+    """Written by month, read back."""
+    heads = E.order_heads(t).select("order_id", "order_amount", month_text("order_date").alias("order_month"))
+    spread = heads.repartition("order_month")  # one file per month, not one per task and month
+    path = sinks.write_table(spread, scratch_folder(t), "orders", ["order_month"])
+    return t.spark.read.schema("order_id bigint, order_amount double, order_month string").parquet(path)
+
+
+@query("s12_append_log", "select event_type as name, 2*count(*) as n from events group by 1")
+def _(t):
+    """The same counts appended twice, then added up."""
+    path = f"{scratch_folder(t)}/log"
+    counts = t.events.groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    for _ in range(2):
+        sinks.append_log(counts, path)
+    return sinks.read_log(t.spark, path, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+
+
 @query(
     "s11_manifest",
     sql(

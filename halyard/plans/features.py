@@ -153,19 +153,11 @@ def kpi_features(kpis: DataFrame) -> DataFrame:
     return scale(encode(measured, frequency=["segment", "industry", "region"]), KPI_SCALED, "standard", fit_on=measured)
 
 
-def feature_package(
-    tables: Mapping[str, DataFrame], as_of: Column, line_order: list[str], head_order: list[str]
-) -> dict[str, DataFrame]:
-    """All seven feature tables of a table set.
-
-    ``orders`` is at line grain; ``order_heads`` (one row per order) feeds the
-    customer table when given.
-    """
-    heads = tables.get("order_heads", tables["orders"])
-    order = head_order if "order_heads" in tables else line_order
+def feature_package(tables: Mapping[str, DataFrame], as_of: Column, order: list[str]) -> dict[str, DataFrame]:
+    """All seven feature tables of a table set; ``order`` is a total order of a customer's orders."""
     return {
-        "customer_features": customer_features(tables["customers"], heads, tables["customer_kpis"], order),
-        "sales_features": sales_features(tables["orders"], tables["customers"], tables["products"], line_order),
+        "customer_features": customer_features(tables["customers"], tables["orders"], tables["customer_kpis"], order),
+        "sales_features": sales_features(tables["orders"], tables["customers"], tables["products"], order),
         "finance_features": finance_features(tables["finance_monthly"]),
         "marketing_features": marketing_features(tables["marketing_campaigns"]),
         "inventory_features": inventory_features(tables["inventory_snapshots"], tables["products"]),

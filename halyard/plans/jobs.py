@@ -6,6 +6,7 @@ registers the best and returns lazy result frames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Model
@@ -248,20 +249,28 @@ def train_demand(
 # ---------------------------------------------------------------- risk
 
 
+# model: row key, rule, and the columns the rule reads; these are left out, so
+# that the forest cannot just repeat the rule
+RISK_JOBS: dict[str, tuple[str, Callable[[], Column], list[str]]] = {
+    "financial_risk_model": ("order_month", financial_risk, ["dscr", "cash_balance", "debt_balance"]),
+    "operational_risk_model": ("snapshot_key", operational_risk, ["stockout_risk", "inventory_utilization"]),
+    "customer_risk_model": ("customer_id", customer_risk, ["churn_risk_score", "recency_days", "churn_flag"]),
+}
+
+
+def keyed_snapshots(inventory: DataFrame) -> DataFrame:
+    """Snapshots with one text key out of date, warehouse and product."""
+    day = F.date_format("snapshot_date", "yyyy-MM-dd")
+    parts = [day, F.col("warehouse_id").cast("string"), F.col("product_id").cast("string")]
+    return inventory.withColumn("snapshot_key", F.concat_ws("|", *parts))
+
+
 def train_risk(
-    name: str,
-    frame: DataFrame,
-    key: str,
-    label: Column,
-    left_out: list[str],
-    registry: ModelRegistry,
-    budget: T.Budget = T.Budget(trees=100),
+    name: str, frame: DataFrame, registry: ModelRegistry, budget: T.Budget = T.Budget(trees=100)
 ) -> Outcome:
-    """A class-balanced forest on a rule label; accuracy on a hold-out fifth.
-
-    ``left_out`` names the columns the rule reads, so that the forest cannot
-    just repeat it.
-    """
+    """A class-balanced forest on a rule label; accuracy on a hold-out fifth."""
+    key, rule, left_out = RISK_JOBS[name]
+    label = rule()
     spark = frame.sparkSession
     labelled = frame.select("*", label.cast("double").alias("label"))
     features = T.feature_columns(labelled, [key, "label", *left_out])
@@ -296,13 +305,6 @@ def train_risk(
     return Outcome(comparison, model, features, found, {"scores": scores, "vectors": split})
 
 
-RISK_JOBS = {
-    "financial_risk_model": (financial_risk, ["dscr", "cash_balance", "debt_balance"]),
-    "operational_risk_model": (operational_risk, ["stockout_risk", "inventory_utilization"]),
-    "customer_risk_model": (customer_risk, ["churn_risk_score", "recency_days", "churn_flag"]),
-}
-
-
 # ---------------------------------------------------------------- segmentation
 
 SEGMENT_COLUMNS = ["annual_revenue", "total_revenue", "average_order_value", "customer_activity_score"]
