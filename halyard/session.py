@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when the next operator then needs its own shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # checkpoint files go when the frame that wrote them is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }

@@ -72,11 +72,12 @@ def brute_shapley(root, x, leaf_value):
     return out
 
 
-def test_attribution_equals_brute_force(vectors):
+def test_attribution_equals_brute_force(spark, vectors, tmp_path):
     model = RandomForestRegressor(numTrees=1, maxDepth=5, featuresCol=T.VECTOR, seed=1, subsamplingRate=1.0).fit(vectors)
-    leaves = B.model_leaves(model)
+    blocks = B.leaf_blocks(B.saved_nodes(spark, model, str(tmp_path)), model)
     x = np.array([r[T.VECTOR].toArray() for r in vectors.limit(6).collect()])
-    got = B.contributions(x, leaves)[:, :, 0]
+    assert max(b.feature.shape[1] for b in blocks) > 2
+    got = B.contributions(x, blocks)[:, :, 0]
     root = list(model._java_obj.trees())[0].rootNode()
     for row, phi in zip(x, got):
         assert phi == pytest.approx(brute_shapley(root, row, lambda n: n.prediction()), abs=1e-10)
