@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from halyard.catalog.registry import query
 from halyard.catalog.views import days, hu, mean_money, money, sql
-from halyard.functions import half_up, weighted
+from halyard.functions import half_up
 from halyard.operators import rollups as R
+from halyard.operators.metrics import EXPLORATION_PROXY, value_proxy
 from halyard.operators.describe import correlation_pairs, describe_all
 from halyard.operators.trailing import extended_customer_orders
 from halyard.sources import entities as E
@@ -133,16 +134,6 @@ def _(t):
     return R.segment_insight(E.customer_kpis(t))
 
 
-def value_proxy(recent: float, target: float, velocity: float):
-    terms = [("recent_revenue", recent, 1.0), ("revenue_90d_target", target, 1.0), ("order_velocity", velocity, 100000.0)]
-    total = None
-    for name, weight, scale in terms:
-        term = F.lit(weight) * F.coalesce(F.col(name), F.lit(0.0))
-        term = term * F.lit(scale) if scale != 1.0 else term
-        total = term if total is None else total + term
-    return total
-
-
 @query(
     "a8_business_kpis",
     sql(
@@ -158,7 +149,7 @@ def value_proxy(recent: float, target: float, velocity: float):
     ),
 )
 def _(t):
-    out = R.business_kpis(E.finance(t), E.operations(t), E.customer_kpis(t), value_proxy(0.45, 0.35, 0.2))
+    out = R.business_kpis(E.finance(t), E.operations(t), E.customer_kpis(t), value_proxy(EXPLORATION_PROXY))
     return out.select("kpi", half_up("value", 3).alias("value"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from halyard.catalog.features import customer_feature_table
 from halyard.catalog.registry import query
 from halyard.catalog.views import hu, sql
+from halyard.catalog.windows import DEMAND_SET, PANEL
 from halyard.functions import half_up
 from halyard.operators import attribution as B
 from halyard.operators import metrics as M
@@ -81,7 +82,27 @@ def _(t):
     return S.selection_report(labelled_kpis(t), SELECTABLE, "churn_flag", "customer_kpis", k=3, trees=(5, 5))
 
 
-@query("e23_feature_package")
+# columns of the seven tables on the star's categories
+FEATURE_WIDTHS = {
+    "customer_features": ("customers", 114),
+    "sales_features": ("order_lines", 73),
+    "finance_features": ("finance", 40),
+    "marketing_features": ("campaigns", 41),
+    "inventory_features": ("inventory", 89),
+    "employee_features": ("employees", 41),
+    "kpi_features": ("customer_kpis", 48),
+}
+
+
+@query(
+    "e23_feature_package",
+    sql(
+        " union all ".join(
+            f"select '{name}' as dataset, count(*) as row_count, {width}::bigint as column_count from {view}"
+            for name, (view, width) in FEATURE_WIDTHS.items()
+        )
+    ),
+)
 def _(t):
     """All seven feature tables, written and counted by the manifest.
 
@@ -157,6 +178,25 @@ def _(t):
     return demand_outcome(t).results["forecasts"]
 
 
+@query(
+    "l16_forecast_rows",
+    sql(
+        """select product_id, order_month, target_demand, true as sound from dataset
+        where target_demand is not null and demand_lag_3 is not null""",
+        panel=PANEL,
+        dataset=DEMAND_SET,
+    ),
+)
+def _(t):
+    """Every panel row once, with its target and a prediction."""
+    return demand_outcome(t).results["forecasts"].select(
+        "product_id",
+        "order_month",
+        F.col("target_demand").cast("long").alias("target_demand"),
+        F.col("predicted_demand").isNotNull().alias("sound"),
+    )
+
+
 @query("l16_stock_requirements")
 def _(t):
     return demand_outcome(t).results["requirements"]

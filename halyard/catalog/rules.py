@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halyard.catalog.aggregations import FORECAST, naive_forecast
-from halyard.catalog.features import customer_feature_table  # noqa: F401  (shared by the model queries)
 from halyard.catalog.registry import query
 from halyard.catalog.views import hu, sql
 from halyard.catalog.windows import NAIVE_DEMAND, PANEL, REQUIREMENTS, naive_demand

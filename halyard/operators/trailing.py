@@ -8,13 +8,13 @@ the same as of one window.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from halyard.functions import half_up, safe_div, whole_days
+from halyard.functions import safe_div, whole_days
 from halyard.operators.ordered import SLICE, ordered_slices
 from halyard.operators.rollups import mean_money, money, rows
 

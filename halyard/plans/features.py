@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from halyard.functions import safe_div
 from halyard.operators import metrics as M
