@@ -151,7 +151,9 @@ CHURN_LEAKS = [
 ]
 
 
-def train_churn(features_table: DataFrame, registry: ModelRegistry, budget: T.Budget = T.Budget()) -> Outcome:
+def train_churn(
+    features_table: DataFrame, registry: ModelRegistry, budget: T.Budget = T.Budget(trees=150, rounds=150, trials=10)
+) -> Outcome:
     """Hold-out split, stratified folds on the training part, hold-out metrics of the best."""
     spark = features_table.sparkSession
     features = T.feature_columns(features_table, ["customer_id", *CHURN_LEAKS])

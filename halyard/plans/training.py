@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -114,7 +115,7 @@ def regression_candidates(budget: Budget) -> list[Candidate]:
         Candidate(
             "boosted_subsample",
             lambda: GBTRegressor(
-                maxIter=budget.rounds,
+                maxIter=int(budget.rounds * 1.2),
                 stepSize=0.05,
                 maxDepth=4,
                 subsamplingRate=0.9,
@@ -133,22 +134,31 @@ def classification_candidates(budget: Budget) -> list[Candidate]:
     ]
 
 
+# fixed values: search ranges (rounds relative to the budget)
+SEARCH = {
+    "regression": {"rounds": (0.6, 1.8), "depth": (2, 6), "rate": (0.01, 0.15)},
+    "classification": {"rounds": (0.67, 2.0), "depth": (3, 7), "rate": (0.01, 0.20)},
+}
+SHARE = (0.7, 1.0)
+
+
 def random_trials(kind: str, budget: Budget, seed: int = SEED) -> list[Candidate]:
-    """Seeded random draws over the boosted ensemble's ranges."""
+    """Seeded random draws over the boosted ensemble's ranges; the rate is drawn on a log scale."""
+    ranges = SEARCH[kind]
+    shallow, deep = ranges["depth"]
     draw = random.Random(seed)
     common = {"featuresCol": VECTOR, "labelCol": "label", "seed": SEED}
     if kind == "classification":
         common["weightCol"] = "weight"
     estimator = GBTRegressor if kind == "regression" else GBTClassifier
-    deepest = 6 if kind == "regression" else 7
     trials = []
     for i in range(budget.trials):
         params = {
-            "maxIter": max(2, int(budget.rounds * draw.uniform(0.6, 1.8))),
-            "maxDepth": draw.randint(2, min(deepest, budget.depth)),
-            "stepSize": 10 ** draw.uniform(-2.0, -0.8),
-            "subsamplingRate": draw.uniform(0.7, 1.0),
-            "featureSubsetStrategy": f"{draw.uniform(0.7, 0.999):.3f}",
+            "maxIter": max(2, int(budget.rounds * draw.uniform(*ranges["rounds"]))),
+            "maxDepth": draw.randint(shallow, max(shallow, min(deep, budget.depth))),
+            "stepSize": math.exp(draw.uniform(*map(math.log, ranges["rate"]))),
+            "subsamplingRate": draw.uniform(*SHARE),
+            "featureSubsetStrategy": f"{min(draw.uniform(*SHARE), 0.999):.3f}",
             "minInstancesPerNode": draw.randint(1, 6),
         }
         trials.append(Candidate(f"trial_{i + 1}", lambda p=params: estimator(**common, **p), params))

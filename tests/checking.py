@@ -16,6 +16,11 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plan(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def _plain(column: pd.Series) -> pd.Series:
     """Numbers as float (missing as NaN), all else as text."""
     if pd.api.types.is_bool_dtype(column):
