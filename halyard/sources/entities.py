@@ -203,11 +203,12 @@ HEAD_ORDER = ["order_date", "order_id"]
 
 
 def inventory(t: StarTables) -> DataFrame:
-    """Monthly stock movements per warehouse and product."""
+    """Monthly stock movements per warehouse and product. Rows are grouped by date
+    and number; the text and the timestamp are made once per group."""
     return (
         t.lineitem.groupBy(
-            F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("snapshot_date"),
-            F.concat(F.lit("W"), (F.col("l_suppkey") % 8).cast("string")).alias("warehouse_id"),
+            F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"),
+            (F.col("l_suppkey") % 8).alias("warehouse_no"),
             F.col("l_partkey").alias("product_id"),
         )
         .agg(
@@ -218,8 +219,8 @@ def inventory(t: StarTables) -> DataFrame:
             half_up(F.sum("l_extendedprice"), 4).alias("inventory_value"),
         )
         .select(
-            "snapshot_date",
-            "warehouse_id",
+            F.col("month_start").cast("timestamp_ntz").alias("snapshot_date"),
+            F.concat(F.lit("W"), F.col("warehouse_no").cast("string")).alias("warehouse_id"),
             "product_id",
             "on_hand_units",
             "reserved_units",
@@ -239,8 +240,7 @@ def operations(t: StarTables) -> DataFrame:
     errors = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).cast("long")
     signups = F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).cast("long")
     daily = t.events.groupBy(
-        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("operating_date"),
-        F.concat(F.lit("W"), (F.col("user_id") % 8).cast("string")).alias("warehouse_id"),
+        F.col("ts").cast("date").alias("day"), (F.col("user_id") % 8).alias("warehouse_no")
     ).agg(
         F.count(F.lit(1)).alias("throughput_units"),
         errors.alias("incident_count"),
@@ -248,8 +248,8 @@ def operations(t: StarTables) -> DataFrame:
         half_up(F.sum("value"), 4).alias("labor_minutes"),
     )
     return daily.select(
-        "operating_date",
-        "warehouse_id",
+        F.col("day").cast("timestamp_ntz").alias("operating_date"),
+        F.concat(F.lit("W"), F.col("warehouse_no").cast("string")).alias("warehouse_id"),
         "throughput_units",
         (F.lit(1.0) - F.col("incident_count") / F.col("throughput_units")).alias("on_time_delivery_rate"),
         (F.lit(1.0) - F.col("late_count") / F.col("throughput_units")).alias("fulfillment_rate"),
