@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, exact_topk, hilbert, secrets, vp_search
+from halyard.llm import chat, exact_topk, hilbert, merge_replay, packing, secrets, vp_search
 from halyard.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,31 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+
+
+@query("op1_differencing_pack")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        F.expr("octet_length(ids) div 4").cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query("op7_merge_replay")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = merge_replay.encode(docs, "text", path, pattern).drop("text")
+    return merge_replay.decode(encoded, "ids", path, pattern).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
