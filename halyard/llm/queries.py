@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, exact_topk, hilbert, merge_replay, packing, secrets, vp_search
+from halyard.llm import chat, exact_topk, hilbert, jaccard_join, merge_replay, packing, secrets, vp_search
 from halyard.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_signature_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return jaccard_join.linked(docs, "doc_id", "text", width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
