@@ -26,7 +26,6 @@ from halyard.sources.scratch import written
 
 # The control strings of the template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-MOST_ROUNDS = 62
 
 
 def escape(c: Column, role: bool = False) -> Column:
@@ -65,46 +64,39 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     base = messages.groupBy("tree", "node").agg(F.min_by(F.struct("parent", "score"), F.struct("role", "text")).alias("m"))
     base = base.select("tree", "node", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("score"))
     known = base.select(F.col("tree").alias("t"), F.col("node").alias("up"))
-    jumps = [
-        written(
-            base.join(known, same("tree", "t") & F.col("parent").eqNullSafe(F.col("up")), "left").select(
-                "tree", "node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), "score"
-            ),
-            "chat-jumps",
-        )
-    ]
-    # jumps[r]: the ancestor 2**r steps up; hops and score up to it, or up to the root where there is none
-    for _ in range(MOST_ROUNDS):
-        last = jumps[-1]
-        if last.where(F.col("up").isNotNull()).isEmpty():
-            break
-        above = last.select(
+    pointers = written(
+        base.join(known, same("tree", "t") & F.col("parent").eqNullSafe(F.col("up")), "left").select(
+            "tree", "node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), "score"
+        ),
+        "chat-pointers",
+    )
+    live, done = pointers.where(F.col("up").isNotNull()), pointers.where(F.col("up").isNull())
+    # jumps[r]: messages with an ancestor 2**r steps up, and what lies below it; done: all that leads up to the root
+    jumps, left = [], live.count()
+    while left:
+        jumps.append(live)
+        above = live.union(done).select(
             F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("score").alias("s2")
         )
         doubled = written(
-            last.join(above, same("tree", "t") & (F.col("up") == F.col("n")), "left").select(
-                "tree",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("hops") + F.coalesce("h2", F.lit(0))).cast("long").alias("hops"),
-                (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
+            live.join(above, same("tree", "t") & (F.col("up") == F.col("n"))).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("score") + F.col("s2")).alias("score")
             ),
-            "chat-jumps",
+            "chat-pointers",
         )
-        # on a cycle the pointers never end; without a cycle each round ends some
-        if doubled.where(F.col("up").isNotNull()).count() == last.where(F.col("up").isNotNull()).count():
-            jumps.append(doubled.where(F.col("up").isNull()))
+        live, done = doubled.where(F.col("up").isNotNull()), done.union(doubled.where(F.col("up").isNull()))
+        before, left = left, live.count()
+        if left == before:  # only cycles are left: without one each round ends some
             break
-        jumps.append(doubled)
-    parents = jumps[0].where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    ends = jumps[-1].join(parents, same("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
+    parents = pointers.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
+    ends = done.join(parents, same("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
     ends = ends.select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"), F.col("hops").alias("length"))
     if branches is not None:
         best = Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
         ends = ends.withColumn("place", F.row_number().over(best)).where(F.col("place") <= branches).drop("place")
     walk = ends.withColumn("node", F.col("leaf")).withColumn("down", F.lit(0).cast("long"))
     for r, jump in enumerate(jumps):
-        up = jump.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        up = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         step = walk.join(up, same("tree", "t") & (F.col("node") == F.col("n"))).select(
             "tree", "leaf", "path_score", "length", F.col("up").alias("node"), (F.col("down") + F.lit(1 << r)).cast("long").alias("down")
         )
