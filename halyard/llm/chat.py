@@ -100,7 +100,7 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         step = walk.join(up, same("tree", "t") & (F.col("node") == F.col("n"))).select(
             "tree", "leaf", "path_score", "length", F.col("up").alias("node"), (F.col("down") + F.lit(1 << r)).cast("long").alias("down")
         )
-        walk = written(walk.unionByName(step), "chat-walk") if r < len(jumps) - 1 else walk
+        walk = written(walk.unionByName(step), "chat-walk")
     return walk.select("tree", "leaf", (F.col("length") - F.col("down")).alias("position"), "node", "path_score")
 
 
