@@ -1,18 +1,77 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Every stage takes (spark, docs, folder) and returns a DataFrame that is written as
+Parquet and read again as the next stage's documents. All but the last return the
+columns of the documents they get.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from halyard.llm import jaccard_join, langid, packing, resampling, secrets
+from halyard.sources.scratch import written
+
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is listed; a null id counts as an id."""
+    named = ids.select(F.col("id").alias("halyard_id")).distinct()
+    return docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("halyard_id")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the good labelled ones keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    sampled = resampling.resample(docs, "doc_id", "text", labels.select(F.col("doc_id").alias("id")))
+    return _only(docs, sampled.where("kept"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; one without a language gets the one found."""
+    learned = langid.learn(docs, "text", "lang")
+    found = langid.predict(docs, "text", learned, language="halyard_language", score="halyard_score")
+    told = (F.col("halyard_language") != langid.UNKNOWN) & (F.col("halyard_score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(told).withColumn("lang", F.coalesce("lang", "halyard_language")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles of similarity 0.8 or more."""
+    groups = jaccard_join.linked(docs, "doc_id", "text", width=5, num=80, den=100)
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
+    return _only(docs, kept).dropDuplicates(["doc_id"])
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    found = secrets.find(docs, "text", secrets.train(docs, "text"))
+    clean = secrets.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences: one row a piece, with its token ids."""
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
 
-STAGES = []
+STAGES = [
+    ("quality", quality),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("packing", pack),
+]
 
-#: No stage can be said in SQL.
+#: Trained models, component search and tokenizing cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents under a folder."""
+    """All stages over the documents under a folder, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, exact_topk, hilbert, jaccard_join, merge_replay, packing, secrets, vp_search
+from halyard.llm import chat, exact_topk, hilbert, jaccard_join, langid, merge_replay, packing, resampling, secrets, vp_search
 from halyard.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard_join.linked(docs, "doc_id", "text", width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_importance_resampling")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    target = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id"))
+    return resampling.resample(docs, "doc_id", "text", target).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_rank_order_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    learned = langid.learn(docs.where(remainder != 2), "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text", (remainder == 2).alias("held_out")), "text", learned)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
