@@ -154,12 +154,12 @@ for _method in ("standard", "minmax", "robust"):
     ),
 )
 def _(t):
-    """Quantiles by bracketing, as for data too large for one value map."""
+    """Quantiles by bracketing, from a coarse first pass."""
     from halyard.operators.ordered import exact_quantiles
 
     probabilities = [0.1, 0.5, 0.99]
     lines = E.order_lines(t, product=False).select(*SCALED)
-    found = exact_quantiles(lines, SCALED, probabilities, small=0, accuracy=1000)
+    found = exact_quantiles(lines, SCALED, probabilities, accuracy=1000)
     rows = [(c, p, q) for c, values in found.items() for p, q in zip(probabilities, values)]
     out = t.spark.createDataFrame(rows, "column_name string, probability double, quantile double")
     return out.withColumn("quantile", half_up("quantile", 6))
@@ -256,7 +256,12 @@ def _(t):
 SALES_BASE = """
  select o.* exclude (order_month), p.subcategory, p.unit_cost, p.list_price, p.margin_rate, c.segment, c.industry, c.region, c.annual_revenue
  from order_lines o left join products p using (product_id) left join customers c using (customer_id)"""
-BY_LINE = "partition by customer_id order by order_date, order_key, line_number, product_id, warehouse_key"
+# the order of the lines, then all other columns, so that only rows equal in every column are tied
+LINE_TIES = [
+    "order_id", "campaign_id", "sales_channel", "order_status", "quantity", "unit_price", "discount_rate", "order_amount",
+    "shipping_days", "category", "gross_margin", "order_month",
+]
+BY_LINE = "partition by customer_id order by " + ", ".join(f"{c} nulls first" for c in [*E.LINE_ORDER, *LINE_TIES])
 SALES_GROUPS = {"sales_channel": CHANNELS, "category": TYPES, "segment": SEGMENTS}
 
 

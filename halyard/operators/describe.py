@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from halyard.operators.ordered import exact_quantiles
 from halyard.operators.union import stacked
+from halyard.sources.scratch import written
 
 NUMBERS = T.NumericType
 PAIRS_PER_PASS = 300
@@ -27,6 +28,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     """One row per column: counts for all, moments and exact quartiles for
     numbers, distinct values and the most frequent one for text."""
     numbers, texts = numeric_columns(df), text_columns(df)
+    df = written(df.select(*numbers, *texts), "profile")  # each pass below reads the columns, not the plan again
     parts = []
     if numbers:
         quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75])

@@ -17,7 +17,6 @@ from halyard.operators.describe import numeric_columns
 from halyard.operators.ordered import exact_quantiles
 
 MAX_CATEGORIES = 10_000
-MAX_INDICATORS = 1_000
 SMOOTHING = 10.0
 UNKNOWN = "Unknown"
 
@@ -104,13 +103,16 @@ def encode(
     return out.select(*df.columns, *named)
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_INDICATORS) -> list[str]:
-    """The sorted distinct values, missing as ``Unknown``; an error beyond the limit."""
+def categories(df: DataFrame, column: str) -> list[str]:
+    """The sorted distinct values, missing as ``Unknown``: the names of the columns to come."""
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN)).alias("v")).distinct()
-    found = [r.v for r in values.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use a frequency or target encoding")
-    return sorted(found)
+    return sorted(r.v for r in values.collect())
+
+
+def indicator_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The same indicators as rows (key, column_name, value), one for each 1, for columns of any number of values."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in columns]
+    return df.select(key, *texts).unpivot(key, list(columns), "column_name", "value")
 
 
 def one_hot(
@@ -118,7 +120,8 @@ def one_hot(
 ) -> DataFrame:
     """One 0/1 column ``<column>_<value>`` per category, all in one projection.
 
-    A mapping gives the categories; otherwise they are read from the data.
+    A mapping gives the categories; otherwise they are read from the data. A column
+    for each value is what is asked for here; ``indicator_rows`` needs none.
     """
     if not isinstance(columns, Mapping):
         columns = {c: categories(df, c) for c in columns if c in df.columns}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from halyard.session import checkpoint_ready
+from halyard.sources.scratch import written
 
 SLICE = "__slice"
 
@@ -23,13 +23,16 @@ SLICE = "__slice"
 def ordered_slices(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Rows range-partitioned by ``order``, the slice number as a stored column.
 
-    The checkpoint fixes the slice of every row: a lost executor cannot make a
+    Writing the rows fixes the slice of each: a lost executor cannot make a
     later stage see other slice limits than an earlier one.
     """
-    spark = df.sparkSession
-    checkpoint_ready(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id()), "slices")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality of the keys, null being equal to null."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
 def running_totals(
@@ -45,47 +48,55 @@ def running_totals(
         .select(*place, *[F.coalesce(F.sum(f"__{t}_slice").over(earlier), F.lit(0)).alias(f"__{t}_start") for t in totals])
     )
     inside = W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return sliced.join(starts, place).select(
-        *df.columns, *[(F.sum(t).over(inside) + F.col(f"__{t}_start")).alias(f"{t}_through") for t in totals]
-    )
+    joined = sliced.join(starts, same_keys(sliced, starts, place)).drop(*[starts[c] for c in place])
+    return joined.select(*df.columns, *[(F.sum(t).over(inside) + F.col(f"__{t}_start")).alias(f"{t}_through") for t in totals])
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probabilities: list[float],
-    small: int = 200_000,
-    accuracy: int = 10_000,
+    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns, exact at any size.
+    """Linear-interpolated quantiles of several columns, exact, by one method at any size.
 
-    Up to ``small`` rows the built-in ``percentile`` is used. Beyond that its
-    value map grows with the data, so an approximate pass brackets each target
-    rank, and only the values inside a bracket are counted and ranked.
+    An approximate pass brackets the values at the two ranks around each target;
+    counts below and inside each bracket prove it, and an end that does not hold is
+    opened. Only the values inside a bracket are counted and ranked. The columns are
+    written once for the passes.
     """
     margin = 2.0 / accuracy
     edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "quantiles")
     probe = numbers.agg(
         *[F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, accuracy).alias("edges")).alias(c) for c in columns]
     ).first()
-    if max(probe[c].n for c in columns) <= small:
-        found = numbers.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in columns]).first()
-        return {c: list(found[c]) if found[c] is not None else [None] * len(probabilities) for c in columns}
-
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    brackets = {}
-    for c in columns:
-        for i, p in enumerate(probabilities):
-            if probe[c].n:
-                low, high = probe[c].edges[2 * i], probe[c].edges[2 * i + 1]
-                if low == high:
-                    out[c][i] = low
-                else:
-                    brackets[f"{c}@{i}"] = (c, i, low, high, p * (probe[c].n - 1))
+    brackets = {
+        f"{c}@{i}": (c, i, probe[c].edges[2 * i], probe[c].edges[2 * i + 1], p * (probe[c].n - 1))
+        for c in columns
+        for i, p in enumerate(probabilities)
+        if probe[c].n
+    }
     if not brackets:
         return out
-    below = numbers.agg(*[F.count_if(F.col(c) < low).alias(tag) for tag, (c, _, low, _, _) in brackets.items()]).first()
+    # counts of the values under and up to each edge show whether the two ranks lie between them
+    proof = numbers.agg(
+        *[
+            F.struct(F.count_if(F.col(c) < low).alias("under"), F.count_if(F.col(c) <= high).alias("through")).alias(tag)
+            for tag, (c, _, low, high, _) in brackets.items()
+        ]
+    ).first()
+    for tag, (c, i, low, high, position) in list(brackets.items()):
+        if proof[tag].under > math.floor(position):
+            low = float("-inf")
+        if proof[tag].through <= math.ceil(position):
+            high = float("inf")
+        if low == high:  # both ranks hold this value
+            out[c][i] = low
+            del brackets[tag]
+        else:
+            brackets[tag] = (c, i, low, high, position)
+    if not brackets:
+        return out
+    below = {tag: proof[tag].under if low > float("-inf") else 0 for tag, (_, _, low, _, _) in brackets.items()}
     hits = {tag: F.col(c).between(low, high) for tag, (c, _, low, high, _) in brackets.items()}
     tagged = F.array(
         *[F.when(hits[tag], F.struct(F.lit(tag).alias("tag"), F.col(brackets[tag][0]).alias("value"))) for tag in hits]
@@ -198,18 +209,19 @@ def roc_points(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 # ---------------------------------------------------------------- hash-ordered positions
 
-HASH_SLICES = 4096
 
 
 def hash_positions(df: DataFrame, key: str, within: list[str], seed: int = 42) -> DataFrame:
-    """Adds ``position``: 0.. in the order of a seeded hash of ``key``, per ``within`` group.
+    """Adds ``position``: 0.. in the order of a seeded hash of ``key``, per ``within`` group (null is one).
 
-    The first three hex digits of the hash cut each group into 4096 even
-    slices, so a group with most of the rows is still numbered in parallel.
+    Leading hex digits of the hash cut each group into even slices, so a group
+    with most of the rows is still numbered in parallel. There are at least 16
+    slices for each shuffle partition; their number does not change a position.
     """
-    hashed = df.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(
-        SLICE, F.substring("__hash", 1, 3)
-    )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(3, math.ceil(math.log(16 * partitions, 16)))
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashed = df.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), text))).withColumn(SLICE, F.substring("__hash", 1, digits))
     place = [*within, SLICE]
     earlier = W.partitionBy(*within).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -218,6 +230,5 @@ def hash_positions(df: DataFrame, key: str, within: list[str], seed: int = 42) -
         .select(*place, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     )
     inside = W.partitionBy(*place).orderBy("__hash", key)
-    return hashed.join(starts, place).select(
-        *df.columns, (F.row_number().over(inside) - 1 + F.col("__start")).alias("position")
-    )
+    joined = hashed.join(starts, same_keys(hashed, starts, place)).drop(*[starts[c] for c in place])
+    return joined.select(*df.columns, (F.row_number().over(inside) - 1 + F.col("__start")).alias("position"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions import safe_div, whole_days
 from halyard.operators.ordered import SLICE, ordered_slices
@@ -45,6 +46,11 @@ def trailing_expressions(
     return out
 
 
+def sortable(df: DataFrame) -> list[str]:
+    """Columns whose type has an order."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
 def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows: at most rows/limit of them."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key)
@@ -64,8 +70,9 @@ def _with_lookback(sliced: DataFrame, key: str, order: list[str], columns: list[
     starts = tails.groupBy(key, F.col(SLICE).alias("__target")).agg((F.min("__seq") - 1).alias("__before"))
     halo = (
         tails.select(*narrow, F.explode(F.sequence("__seq", F.col("__seq") + (depth - 1))).alias("__before"))
-        .join(starts, [key, "__before"])
-        .select(*narrow, F.col("__target").alias(SLICE), F.lit(True).alias(HALO))
+        .alias("h")
+        .join(starts.alias("s"), F.col(f"h.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("h.__before") == F.col("s.__before")))
+        .select(*[F.col(f"h.{c}").alias(c) for c in narrow], F.col("__target").alias(SLICE), F.lit(True).alias(HALO))
     )
     return sliced.withColumn(HALO, F.lit(False)).unionByName(halo, allowMissingColumns=True)
 
@@ -80,25 +87,30 @@ def trailing_features(
     spread: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``df`` with lag and trailing columns. ``order`` must be a total order within a key.
+    """``df`` with lag and trailing columns, by ``order`` within a key; null is a key like any other.
+
+    Rows that the order leaves tied are put in the order of the remaining columns
+    of the frame, in their sequence; rows equal in all columns are interchangeable.
 
     Join dimensions after this, not before: the plain window leaves the rows
     placed by the key, so a join on it needs no shuffle of the fact side.
     """
     columns = [c for c in columns if c in df.columns]
+    order = [*order, *[c for c in sortable(df) if c not in order and c != key]]
 
     def apply(frame: DataFrame, parts: list[str]) -> DataFrame:
         base = W.partitionBy(*parts).orderBy(*order)
         named = trailing_expressions(base, columns, lags, windows, spread)
         return frame.select("*", *[e.alias(n) for n, e in named.items()])
 
-    hot = hot_keys(df, key, hot_rows)
+    hot = hot_keys(df, key, hot_rows).select(F.col(key).alias(f"__hot_{key}"))
     if hot.isEmpty():
         return apply(df, [key])
     depth = max([*lags, *windows])
-    sliced = ordered_slices(df.join(hot, key, "left_semi"), [key, *order])
+    is_hot = F.col(key).eqNullSafe(F.col(f"__hot_{key}"))
+    sliced = ordered_slices(df.join(hot, is_hot, "left_semi"), [key, *order])
     cut = apply(_with_lookback(sliced, key, order, list(columns), depth), [key, SLICE])
-    whole = apply(df.join(hot, key, "left_anti"), [key])
+    whole = apply(df.join(hot, is_hot, "left_anti"), [key])
     return whole.unionByName(cut.where(~F.col(HALO)).drop(HALO, SLICE))
 
 

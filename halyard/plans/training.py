@@ -69,8 +69,11 @@ def holdout(df: DataFrame, key: str, label: str | None = None, one_in: int = 5,
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    """``weight`` = rows / (classes * rows of the class); one row per class reaches the driver."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """``weight`` = rows / (classes * rows of the class), null without a label; one row per class reaches the driver."""
+    labelled = df.where(F.col(label).isNotNull())
+    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return df.withColumn("weight", F.lit(None).cast("double"))
     total = sum(counts.values())
     pairs = [F.lit(v) for k, n in counts.items() for v in (k, total / (len(counts) * n))]
     return df.withColumn("weight", F.try_element_at(F.create_map(*pairs), F.col(label)))

@@ -28,23 +28,42 @@ def test_running_totals_match_one_window(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_quantiles_are_exact(spark, small):
+@pytest.mark.parametrize("accuracy", [50, 200, 10_000])
+def test_quantiles_are_exact(spark, accuracy):
     rng = np.random.default_rng(3)
     a = np.round(rng.normal(size=20000), 3)
     b = np.where(rng.random(20000) < 0.9, 5.0, rng.random(20000))
     df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double")
     ps = [0.0, 0.013, 0.25, 0.5, 0.999, 1.0]
-    got = exact_quantiles(df, ["a", "b"], ps, small=small, accuracy=200)
+    got = exact_quantiles(df, ["a", "b"], ps, accuracy=accuracy)
     assert got["a"] == pytest.approx(np.quantile(a, ps).tolist(), abs=1e-12)
     assert got["b"] == pytest.approx(np.quantile(b, ps).tolist(), abs=1e-12)
 
 
 def test_quantiles_skip_missing_and_empty(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
-    for small in (0, 100):
-        got = exact_quantiles(df, ["a", "b"], [0.5], small=small)
-        assert got["a"] == [2.0] and got["b"] == [None]
+    got = exact_quantiles(df, ["a", "b"], [0.5])
+    assert got["a"] == [2.0] and got["b"] == [None]
+
+
+def test_quantiles_of_a_full_and_a_sparse_column(spark):
+    """The approximate bracket of a column with few values must not stand for the interpolated value."""
+    rows = spark.range(300_000).select(
+        F.col("id").cast("double").alias("a"), F.when(F.col("id") < 10, F.col("id").cast("double")).alias("b")
+    )
+    for accuracy in (100, 10_000):
+        got = exact_quantiles(rows, ["a", "b"], [0.25, 0.5, 0.75], accuracy=accuracy)
+        assert got["b"] == [2.25, 4.5, 6.75]
+        assert got["a"] == [74999.75, 149999.5, 224999.25]
+
+
+def test_a_null_group_keeps_its_rows(spark):
+    rows = [(i, None if i % 10 == 0 else i % 2, 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, g long, n long")
+    assert running_totals(df, ["g"], ["id"], ["n"]).count() == 100
+    placed = hash_positions(df, "id", ["g"])
+    assert placed.count() == 100
+    assert sorted(r.position for r in placed.where("g is null").collect()) == list(range(10))
 
 
 def test_ks_against_brute_force(spark):
