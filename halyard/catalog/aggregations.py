@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halyard.catalog.registry import query
+from halyard.catalog.tables import COLUMNS, SQL_NAMES, entity_tables
 from halyard.catalog.views import days, hu, mean_money, money, sql
 from halyard.functions import half_up
 from halyard.operators import rollups as R
@@ -260,24 +261,15 @@ def _(t):
     return out.withColumns({c: half_up(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 
-def _missing_sql():
-    columns = {
-        "customer_kpis": ["customer_id", "segment", "total_orders", "recent_last_order", "recent_revenue"],
-        "employees": ["employee_id", "manager_id", "salary"],
-        "campaigns": ["campaign_id", "channel", "conversion_rate"],
-    }
-    return columns, " union all ".join(
-        f"""select '{name}' as table_name, '{c}' as column_name, count(*) - count({c}) as missing_count,
-          {hu(f"(count(*) - count({c}))/cast(greatest(count(*), 1) as double)*100e0", 4)} as missing_pct from {name}"""
-        for name, cols in columns.items()
-        for c in cols
-    )
+def _missing_profile_sql(name, column):
+    missing = f"count(*) - count({column})"
+    return f"""select '{name}' as table_name, '{column}' as column_name, {missing} as missing_count,
+      {hu(f"({missing})/cast(greatest(count(*), 1) as double)*100e0", 4)} as missing_pct from {SQL_NAMES.get(name, name)}"""
 
 
-@query("a17_missing_profile", sql(_missing_sql()[1]))
+@query("a17_missing_profile", sql(" union all ".join(_missing_profile_sql(n, c) for n, columns in COLUMNS.items() for c in columns)))
 def _(t):
-    frames = {"customer_kpis": E.customer_kpis(t), "employees": E.employees(t), "campaigns": E.campaigns(t)}
-    return R.missing_profile({name: frames[name].select(*cols) for name, cols in _missing_sql()[0].items()})
+    return R.missing_profile(entity_tables(t))
 
 
 CORRELATED = ["annual_revenue", "engagement_score", "customer_health_score", "churn_risk_score", "recent_revenue", "order_velocity"]
@@ -362,12 +354,15 @@ def _(t):
 
 @query(
     "a23_table_overview",
-    "select 'customer' as dataset, count(*) as row_count, 5::bigint as column_count from customer"
-    " union all select 'orders', count(*), 6 from orders union all select 'lineitem', count(*), 11 from lineitem"
-    " union all select 'events', count(*), 6 from events",
+    sql(
+        " union all ".join(
+            f"select '{n}' as dataset, count(*) as row_count, {len(c)}::bigint as column_count from {SQL_NAMES.get(n, n)}"
+            for n, c in COLUMNS.items()
+        )
+    ),
 )
 def _(t):
-    return R.table_overview({name: getattr(t, name) for name in ("customer", "orders", "lineitem", "events")})
+    return R.table_overview(entity_tables(t))
 
 
 @query(

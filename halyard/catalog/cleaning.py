@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from halyard.catalog.aggregations import day_text
 from halyard.catalog.registry import query
+from halyard.catalog.tables import COLUMNS, SQL_NAMES, cleaned_sql, entity_tables, missing_sql
 from halyard.catalog.views import hu, money, sql
 
 from halyard.operators import cleaning as C
@@ -171,54 +172,20 @@ def _(t):
     return C.cleaning_summary("orders", raw, C.clean_table(raw, "orders"))
 
 
-@query(
-    "c8_clean_all",
-    sql(
-        SUMMARY_SQL.format(
-            name="event_days", raw="event_days", clean="clean_days", nulls_before="0", nulls_after="0"
-        ).replace("select cast(0 as bigint) from event_days", "select 0").replace("select cast(0 as bigint) from clean_days", "select 0")
-        + " union all "
-        + SUMMARY_SQL.format(
-            name="employees",
-            raw="employees",
-            clean="employees",
-            nulls_before="sum((manager_id is null)::int)",
-            nulls_after="sum((manager_id is null)::int)",
-        ),
-        event_days=EVENT_DAYS,
-        clean_days="select distinct * from event_days",
-    ),
-)
-def _(t):
-    tables = {"event_days": event_days(t), "employees": E.employees(t)}
-    return stacked([C.cleaning_summary(name, raw, C.clean_table(raw, name)) for name, raw in tables.items()])
+def _cleaned_sql(name):
+    view = SQL_NAMES.get(name, name)
+    clean = f"select distinct {', '.join(cleaned_sql(name, c) for c in COLUMNS[name])} from {view}"
+    size = f"select count(*) as n, coalesce(sum({missing_sql(name)}), 0)::bigint as missing from"
+    return f"""select '{name}' as table_name, a.n as input_rows, b.n as output_rows, a.missing as null_count_before,
+      b.missing as null_count_after, a.n - b.n as duplicate_rows_removed from ({size} {view}) a cross join ({size} ({clean})) b"""
 
 
-# ---------------------------------------------------------------- validation
+@query("c8_clean_all", sql(" union all ".join(map(_cleaned_sql, COLUMNS))))
+def _(t):
+    return stacked([C.cleaning_summary(name, raw, C.clean_table(raw, name)) for name, raw in entity_tables(t).items()])
 
 
-def entity_tables(t):
-    return {
-        "customers": E.customers(t),
-        "products": E.products(t),
-        "suppliers": E.suppliers(t),
-        "employees": E.employees(t),
-        "marketing_campaigns": E.campaigns(t),
-        "orders": E.order_lines(t),
-        "inventory_snapshots": E.inventory(t),
-        "finance_monthly": E.finance(t),
-        "operations_daily": E.operations(t),
-        "customer_kpis": E.customer_kpis(t),
-    }
-
-
-SQL_NAMES = {
-    "marketing_campaigns": "campaigns",
-    "orders": "order_lines",
-    "inventory_snapshots": "inventory",
-    "finance_monthly": "finance",
-    "operations_daily": "operations",
-}
+# ---------------------------------------------------------------- validation
 
 # columns the entity views do not carry; their range checks are skipped
 CHECK = "select '{table}' as table_name, '{check}' as check_name, cast({failed} as bigint) as failed_records {rest}"
@@ -310,29 +277,24 @@ def _(t):
 @query(
     "v2_primary_key",
     sql(
-        f"""select table_name, check_name, failed_records from ({_pk_sql("orders", "order_id")}
-        union all {_pk_sql("orders", "order_key")} union all {_pk_sql("customers", "customer_id")})"""
+        "select table_name, check_name, failed_records from ("
+        + " union all ".join([_pk_sql("orders", "order_key"), *[_pk_sql(*rule) for rule in rules.PRIMARY_KEYS.items()]])
+        + ")"
     ),
 )
 def _(t):
-    lines = E.order_lines(t, product=False)
-    found = Q.primary_key(lines, "orders", "order_id").unionByName(Q.primary_key(lines, "orders", "order_key"))
-    found = found.unionByName(Q.primary_key(E.customers(t), "customers", "customer_id"))
-    return found.select("table_name", "check_name", "failed_records")
+    tables = entity_tables(t)
+    parts = [Q.primary_key(tables["orders"], "orders", "order_key")]
+    parts += [Q.primary_key(tables[name], name, key) for name, key in rules.PRIMARY_KEYS.items()]
+    return stacked(parts).select("table_name", "check_name", "failed_records")
 
 
-@query("v3_foreign_keys", sql(" union all ".join(_fk_sql(*rule) for rule in rules.FOREIGN_KEYS[:4])))
+@query("v3_foreign_keys", sql(" union all ".join(_fk_sql(*rule) for rule in rules.FOREIGN_KEYS)))
 def _(t):
-    tables = {
-        "products": E.products(t),
-        "suppliers": E.suppliers(t),
-        "customers": E.customers(t),
-        "orders": E.order_lines(t, product=False),
-        "marketing_campaigns": E.campaigns(t),
-    }
+    tables = entity_tables(t)
     parts = [
         Q.foreign_key(tables[name], name, key, tables[parent], parent, parent_key)
-        for name, key, parent, parent_key in rules.FOREIGN_KEYS[:4]
+        for name, key, parent, parent_key in rules.FOREIGN_KEYS
     ]
     return stacked(parts).select("table_name", "check_name", "failed_records")
 
@@ -352,15 +314,10 @@ def _(t):
 
 @query(
     "v5_minimum_rows",
-    sql(" union all ".join(_rows_sql(n, rules.MINIMUM_ROWS[n]) for n in ("customers", "products", "orders", "operations_daily"))),
+    sql(" union all ".join(_rows_sql(n, rules.MINIMUM_ROWS[n]) for n in COLUMNS)),
 )
 def _(t):
-    tables = {
-        "customers": E.customers(t),
-        "products": E.products(t),
-        "orders": E.order_lines(t, product=False),
-        "operations_daily": E.operations(t),
-    }
+    tables = entity_tables(t)
     parts = [Q.counts_and_ranges(df, name, rules.MINIMUM_ROWS[name], {}) for name, df in tables.items()]
     return stacked(parts).select("table_name", "check_name", "failed_records")
 

@@ -83,8 +83,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def time_ordered(df: DataFrame, column: str) -> DataFrame:
-    """Rows in time order (a range-partitioned sort); no value is filled."""
-    return df.orderBy(column) if column in df.columns else df
+    """Rows in time order within each partition; no value is filled and nothing is shuffled.
+
+    Readers that need the whole order sort by it themselves (windows, folds and series do).
+    """
+    return df.sortWithinPartitions(column) if column in df.columns else df
 
 
 def clean_table(df: DataFrame, name: str) -> DataFrame:
