@@ -93,6 +93,33 @@ def _(t):
     return N.one_hot(E.customers(t).select("customer_id", "segment", "region"), ["segment", "region"], keep_source=False)
 
 
+@query(
+    "e2_one_hot_many_values",
+    sql("select customer_id, 1e0 as indicators, (select count(distinct signup_date) from customers) as columns from customers"),
+)
+def _(t):
+    """A column of more than a thousand values, all of them read from the data."""
+    days = E.customers(t).select("customer_id", F.date_format("signup_date", "yyyy-MM-dd").alias("day"))
+    out = N.one_hot(days, ["day"], keep_source=False)
+    made = out.columns[1:]
+    total = F.aggregate(F.array(*[F.col(f"`{c}`") for c in made]), F.lit(0.0), lambda s, x: s + x)
+    return out.select("customer_id", total.alias("indicators"), F.lit(len(made)).cast("long").alias("columns"))
+
+
+@query(
+    "e2_indicator_rows",
+    sql(
+        " union all ".join(
+            f"select customer_id, '{c}' as column_name, {v} as value from customers"
+            for c, v in (("segment", "segment"), ("region", "region"), ("day", "strftime(signup_date, '%Y-%m-%d')"))
+        )
+    ),
+)
+def _(t):
+    people = E.customers(t).withColumn("day", F.date_format("signup_date", "yyyy-MM-dd"))
+    return N.indicator_rows(people, "customer_id", ["segment", "region", "day"])
+
+
 @query(
     "e3_ordinal",
     sql("select order_id, case order_status when 'Cancelled' then 0e0 when 'Shipped' then 1e0 else -1e0 end as order_status_ordinal from order_lines"),
@@ -165,6 +192,32 @@ def _(t):
     return out.withColumn("quantile", half_up("quantile", 6))
 
 
+SPARSE = "select order_amount as full_column, case when order_id < 50 then discount_rate*1e2 + order_id end as sparse_column from order_heads"
+
+
+@query(
+    "e8_quantiles_full_and_sparse",
+    sql(
+        " union all ".join(
+            f"select '{c}' as column_name, {p} as probability, {hu(f'quantile_cont({c}::double, {p})', 6)} as quantile from sparse"
+            for c in ("full_column", "sparse_column")
+            for p in ("0.25e0", "0.5e0", "0.75e0")
+        ),
+        sparse=SPARSE,
+    ),
+)
+def _(t):
+    from halyard.operators.ordered import exact_quantiles
+
+    probabilities = [0.25, 0.5, 0.75]
+    few = F.when(F.col("order_id") < 50, F.col("discount_rate") * F.lit(1e2) + F.col("order_id"))
+    heads = E.order_heads(t).select(F.col("order_amount").alias("full_column"), few.alias("sparse_column"))
+    found = exact_quantiles(heads, heads.columns, probabilities, accuracy=100)
+    rows = [(c, p, q) for c, values in found.items() for p, q in zip(probabilities, values)]
+    out = t.spark.createDataFrame(rows, "column_name string, probability double, quantile double")
+    return out.withColumn("quantile", half_up("quantile", 6))
+
+
 FILTERED = ["unit_cost", "list_price", "margin_rate", "demand_score"]
 
 

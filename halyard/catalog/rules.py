@@ -31,6 +31,51 @@ def _(t):
     return T.stratified_folds(E.customers(t).select("customer_id", "churn_flag"), "customer_id", "churn_flag", 5)
 
 
+SOME_LABELS = "select customer_id, case when customer_id % 7 > 0 then churn_flag end as churn_flag from customers"
+SOME_POSITIONS = POSITIONS.replace("from customers", "from some_labels")
+
+
+def some_labels(t):
+    """Customers of whom one in seven has no label."""
+    return E.customers(t).select("customer_id", F.when(F.col("customer_id") % 7 > 0, F.col("churn_flag")).alias("churn_flag"))
+
+
+@query(
+    "l4_folds_with_missing_labels",
+    sql(
+        "select customer_id, churn_flag, (position % 5)::int as fold from positions",
+        some_labels=SOME_LABELS,
+        positions=SOME_POSITIONS,
+    ),
+)
+def _(t):
+    return T.stratified_folds(some_labels(t), "customer_id", "churn_flag", 5)
+
+
+@query(
+    "l5_holdout_with_missing_labels",
+    sql(
+        "select customer_id, churn_flag, position % 5 = 0 as is_test from positions",
+        some_labels=SOME_LABELS,
+        positions=SOME_POSITIONS,
+    ),
+)
+def _(t):
+    return T.holdout(some_labels(t), "customer_id", "churn_flag")
+
+
+@query(
+    "l6_weights_with_missing_labels",
+    sql(
+        """select customer_id, churn_flag, case when churn_flag is not null then
+          count(churn_flag) over ()/(2e0*count(*) over (partition by churn_flag)) end as weight from some_labels""",
+        some_labels=SOME_LABELS,
+    ),
+)
+def _(t):
+    return T.with_class_weights(some_labels(t), "churn_flag")
+
+
 @query(
     "l5_holdout_split",
     sql(

@@ -75,6 +75,20 @@ def _(t):
     return out.select("order_id", *[c for c in out.columns if "_roll_std_" in c])
 
 
+@query(
+    "w3_hot_null_key",
+    sql(
+        f"select order_id, {', '.join(lag_sql(HEAD_COLUMNS, (1,), BY_CUSTOMER) + std_sql(HEAD_COLUMNS, (3,), BY_CUSTOMER))} from some_heads",
+        some_heads="select * replace (case when order_id % 3 > 0 then customer_id end as customer_id) from order_heads",
+    ),
+)
+def _(t):
+    """A third of the orders has no customer; the null key is cut into slices like any hot key."""
+    heads = E.order_heads(t).withColumn("customer_id", F.when(F.col("order_id") % 3 > 0, F.col("customer_id")))
+    out = rounded(trailing_features(heads, "customer_id", E.HEAD_ORDER, HEAD_COLUMNS, (1,), (3,), hot_rows=200))
+    return out.select("order_id", *[c for c in out.columns if "_roll_std_" in c or "_lag_" in c])
+
+
 SERIES_COLUMNS = Y.FINANCE_COLUMNS
 BY_MONTH = "order by order_month"
 
