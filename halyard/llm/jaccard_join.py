@@ -142,7 +142,8 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, members: DataFrame)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, packed], ["node", "family", "n", "members"])
 
     slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    joined = slim.join(members, "node").select("node", F.col("component").alias("family"), "text")
+    # texts are shuffled whatever the number of members: the plan is the same at every size
+    joined = slim.join(members.hint("merge"), "node").select("node", F.col("component").alias("family"), "text")
     return joined.mapInArrow(run, "node long, family long, n long, members binary").where(F.col("n") > 0)
 
 

@@ -27,8 +27,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 16 << 20
-STORED_WORDS = 400_000
+from halyard.llm import arrow_text
+
+SLICE_BYTES = 3 << 20
+STORED_WORDS = 300_000
 SHIFT = 32
 
 _encoders: dict[tuple, Encoder] = {}
@@ -188,9 +190,9 @@ def encode(docs: DataFrame, text: str, rank_path: str, pattern: str, ids: str =
     def work(batch):
         encoder = _encoder(file, pattern)
         values = batch.column(batch.schema.get_field_index(text))
-        for start in range(0, len(values), 4096):
-            part = batch.slice(start, 4096)
-            yield part, encoder.encode([v or "" for v in values.slice(start, 4096).to_pylist()])
+        for start, stop in arrow_text.ranges(arrow_text.texts(values)[1], SLICE_BYTES):
+            part = batch.slice(start, stop - start)
+            yield part, encoder.encode([v or "" for v in values.slice(start, stop - start).to_pylist()])
 
     return _mapped(docs, ids, work)
 

@@ -38,9 +38,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op9_exact_topk",
     """
-    with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
       where embedding is not null and len(embedding) > 0
-        and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
       from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
