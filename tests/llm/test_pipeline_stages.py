@@ -13,17 +13,18 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_the_columns_and_feed_each_other(spark):
-    first = docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    folder = "/root/testdata/sf0.01"
+    first = docs = spark.read.parquet(f"{folder}/documents.parquet")
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, FOLDER), f"test-{name}")
+        before, docs = docs, written(stage(spark, docs, folder), f"test-{name}")
         assert docs.dtypes == first.dtypes
         assert docs.join(before, "doc_id", "left_anti").count() == 0
         sizes.append(docs.count())
     assert sizes[-1] > 0.6 * sizes[0]
     assert docs.where(F.col("text").rlike("[0-9a-f]{24}")).count() == 0  # secrets are marked
     assert docs.where(F.col("text").contains("[secret]")).count() > 0
-    pieces = corpus_pipeline.pack(spark, docs, FOLDER)
+    pieces = corpus_pipeline.pack(spark, docs, folder)
     assert {r.id for r in pieces.select("id").collect()} == {r.doc_id for r in docs.collect()}
 
 
