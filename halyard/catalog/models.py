@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from halyard.catalog.features import customer_feature_table
 from halyard.catalog.registry import query
+from halyard.catalog.tables import COLUMNS, entity_tables
 from halyard.catalog.views import hu, sql
 from halyard.catalog.windows import DEMAND_SET, PANEL
 from halyard.functions import half_up
@@ -98,25 +99,52 @@ FEATURE_WIDTHS = {
     "e23_feature_package",
     sql(
         " union all ".join(
-            f"select '{name}' as dataset, count(*) as row_count, {width}::bigint as column_count from {view}"
+            f"select '{name}' as dataset, count(*) as row_count, {width}::bigint as column_count, true as sound from {view}"
             for name, (view, width) in FEATURE_WIDTHS.items()
         )
+        + " union all select 'feature_selection_report', null, 4, true"
     ),
 )
 def _(t):
-    """All seven feature tables, written and counted by the manifest.
+    """All seven feature tables and the selection report, written and counted by the manifest.
+
+    Three selections of ten features give ten to thirty rows.
 
     The entities are written first: every fit below then reads files instead of
     joining the star again.
     """
-    from halyard.catalog.cleaning import entity_tables
     from halyard.catalog.metrics import as_of
     from halyard.catalog.relational import scratch_folder
     from halyard.plans.features import feature_package, write_package
 
     folder = scratch_folder(t)
     tables = {name: t.spark.read.parquet(write_table(df, folder, name)) for name, df in entity_tables(t).items()}
-    return write_package(feature_package(tables, as_of(), E.LINE_ORDER), f"{folder}/features")
+    counted = write_package(feature_package(tables, as_of(), E.LINE_ORDER), f"{folder}/features", step=25)
+    report = F.col("dataset") == "feature_selection_report"
+    return counted.select(
+        "dataset",
+        F.when(~report, F.col("row_count")).alias("row_count"),
+        "column_count",
+        (~report | F.col("row_count").between(10, 30)).alias("sound"),
+    )
+
+
+# rows of the exploration's frames on the star
+EXPLORED = {
+    "summary_statistics": ("select 17", 12),
+    "missing_values": (f"select {sum(map(len, COLUMNS.values()))}", 4),
+}
+
+
+@query("a16_exploration_manifest")
+def _(t):
+    """The exploration package, written and counted."""
+    from halyard.catalog.relational import scratch_folder
+    from halyard.plans.pipeline import write_exploration
+
+    folder = scratch_folder(t)
+    tables = {name: t.spark.read.parquet(write_table(df, folder, name)) for name, df in entity_tables(t).items()}
+    return write_exploration(tables, f"{folder}/exploration")
 
 
 @query("l7_regression_candidates")

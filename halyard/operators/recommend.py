@@ -117,15 +117,16 @@ def revenue_advice(forecast: DataFrame) -> DataFrame:
 
 
 def recommendations(parts: list[DataFrame]) -> DataFrame:
-    """All advice, or the default row when there is none."""
+    """All advice, or the default row when there is none.
+
+    The sources are evaluated once: their few rows (ten customers, ten products and a
+    forecast at most) become one array, and an empty array the default row.
+    """
     found = stacked(parts)
+    one = found.sparkSession.range(1)
     fallback = _record(
-        found.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0),
-        DEFAULT_TEXT,
-        F.lit(DEFAULT_TEXT["insight"]),
-        F.lit(DEFAULT_TEXT["advice"]),
-        F.lit(0.80),
-        "Medium",
-        150.0,
+        one, DEFAULT_TEXT, F.lit(DEFAULT_TEXT["insight"]), F.lit(DEFAULT_TEXT["advice"]), F.lit(0.80), "Medium", 150.0
     )
-    return found.unionByName(fallback)
+    default = fallback.select(F.array(F.struct(*found.columns))).scalar()
+    rows = found.agg(F.collect_list(F.struct(*found.columns)).alias("rows"))
+    return rows.select(F.inline(F.when(F.size("rows") > 0, F.col("rows")).otherwise(default.cast(rows.schema["rows"].dataType))))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 
 from halyard.functions import safe_div
 from halyard.operators import metrics as M
+from halyard.operators.describe import numeric_columns
 from halyard.operators.encoding import encode, one_hot, ordinal, scale, with_date_features
 from halyard.operators.joins import with_dimension, with_suffix
 from halyard.operators.rollups import with_customer_orders
 from halyard.operators.series import row_position, series_features
 from halyard.operators.trailing import HOT_ROWS, extended_customer_orders, trailing_features
-from halyard.session import checkpoint_ready
+from halyard.sources.scratch import written
 from halyard.sources.sinks import manifest, schema_rows, write_table
 
 # fixed values: order status levels and the scaled columns of each table
@@ -26,6 +27,8 @@ INVENTORY_SCALED = ["on_hand_units", "reserved_units", "reorder_point", "invento
 EMPLOYEE_SCALED = ["salary", "performance_score", "tenure_days"]
 KPI_SCALED = ["total_orders", "total_revenue", "recent_revenue", "days_since_last_order", "customer_value_proxy"]
 
+SELECTION_TARGET = "churn_flag"
+
 Categories = Mapping[str, list[str]]
 
 
@@ -34,9 +37,8 @@ def _hot(df: DataFrame, columns: list[str], given: Categories | None) -> DataFra
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Materialise once before the fits that each read the whole frame."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Written once before the fits that each read some of its columns."""
+    return written(df, "features")
 
 
 def basic_customer_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -165,11 +167,22 @@ def feature_package(tables: Mapping[str, DataFrame], as_of: Column, order: list[
     }
 
 
-def write_package(package: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write the tables, their schema rows and the manifest; the manifest counts the written files."""
+def write_package(
+    package: Mapping[str, DataFrame], folder: str, trees: tuple[int, int] = (150, 250), step: int = 1
+) -> DataFrame:
+    """Write the tables, their schema rows, the selection report of the customer table and the manifest.
+
+    The manifest counts the written files. ``trees`` and ``step`` are the cost of the selection.
+    """
+    from halyard.plans.selecting import selection_report
+
     spark = next(iter(package.values())).sparkSession
-    written = {name: spark.read.parquet(write_table(df, folder, name)) for name, df in package.items()}
+    saved = {name: spark.read.parquet(write_table(df, folder, name)) for name, df in package.items()}
     write_table(schema_rows(package), folder, "feature_schema")
-    summary = manifest(written)
+    customers = saved["customer_features"]
+    numeric = [c for c in numeric_columns(customers) if c not in ("customer_id", SELECTION_TARGET)]
+    report = selection_report(customers, numeric, SELECTION_TARGET, "customer_features", trees=trees, step=step)
+    saved["feature_selection_report"] = spark.read.parquet(write_table(report, folder, "feature_selection_report"))
+    summary = manifest(saved)
     write_table(summary, folder, "feature_manifest")
     return summary

@@ -6,7 +6,7 @@ registers the best and returns lazy result frames.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
@@ -154,15 +154,19 @@ CHURN_LEAKS = [
 def train_churn(
     features_table: DataFrame, registry: ModelRegistry, budget: T.Budget = T.Budget(trees=150, rounds=150, trials=10)
 ) -> Outcome:
-    """Hold-out split, stratified folds on the training part, hold-out metrics of the best."""
+    """Hold-out split, stratified folds on the training part, hold-out metrics of the best.
+
+    Customers without a label are scored but neither trained on nor judged.
+    """
     spark = features_table.sparkSession
     features = T.feature_columns(features_table, ["customer_id", *CHURN_LEAKS])
     labelled = features_table.select("*", F.col("churn_flag").cast("double").alias("label"))
     vectors = T.assembled(labelled, features, ["customer_id", "label"])
     split = T.stored(T.holdout(vectors, "customer_id", "label"))
-    weighed = T.with_positive_weight(split.where(~F.col("is_test")), "label")
-    train = T.stored(T.stratified_folds(weighed, "customer_id", "label", budget.folds))
-    folds = T.fold_frames(train, budget.folds)
+    known = split.where(F.col("label").isNotNull())
+    train = T.stored(T.stratified_folds(known.where(~F.col("is_test")), "customer_id", "label", budget.folds))
+    folds = [(T.with_positive_weight(part, "label"), test) for part, test in T.fold_frames(train, budget.folds)]
+    train = T.with_positive_weight(train, "label")
 
     log: list[dict] = []
     candidates = T.classification_candidates(budget)
@@ -172,7 +176,7 @@ def train_churn(
     ranked = _compared("classification", candidates, folds, log)
     best = next(c for c in candidates if c.name == ranked[0]["model_name"])
     model = best.build().fit(train)
-    metrics = T.CLASSIFICATION[0](model, split.where("is_test"))
+    metrics = T.CLASSIFICATION[0](model, known.where("is_test"))
     registry.register("churn_prediction_model", model, metrics, features, best.name, "Customer churn probability")
     predictions = T.scored(model, split).select(
         "customer_id",
@@ -251,15 +255,45 @@ def train_demand(
 # ---------------------------------------------------------------- risk
 
 
-# model: row key, rule, and the columns the rule reads; these are left out, so
-# that the forest cannot just repeat the rule
+# model: row key, rule, and the columns the rule reads
 RISK_JOBS: dict[str, tuple[str, Callable[[], Column], list[str]]] = {
     "financial_risk_model": ("order_month", financial_risk, ["dscr", "cash_balance", "debt_balance"]),
     "operational_risk_model": ("snapshot_key", operational_risk, ["stockout_risk", "inventory_utilization"]),
-    "customer_risk_model": ("customer_id", customer_risk, ["churn_risk_score", "recency_days", "churn_flag"]),
+    "customer_risk_model": ("customer_id", customer_risk, ["churn_risk_score", "recency_days"]),
+}
+
+# columns by what they are computed from under another name; suffixes (lags, scalings, encodings) need no entry
+MADE_OF = {
+    "recency_days": ["days_since_last_order"],
+    "days_since_last_order": ["recency_days"],
+    "churn_flag": ["churn_risk_score"],
+    "churn_target": ["recency_days"],
+    "customer_activity_score": ["churn_risk_score"],
+    "order_velocity": ["days_since_last_order"],
+    "customer_value_proxy": ["order_velocity"],
+    "inventory_utilization": ["on_hand_units", "reserved_units"],
+    "stockout_risk": ["on_hand_units", "reserved_units"],
 }
 
 
+def made_from(columns: Sequence[str], roots: Sequence[str]) -> list[str]:
+    """The columns among ``columns`` that are one of the roots or computed from one.
+
+    A name that is another name plus a suffix (``_lag_1``, ``_minmax_scaled``, ``_kpi``) is
+    computed from it; ``MADE_OF`` names the rest. Both are followed to the end.
+    """
+    known = set(roots)
+
+    def derived(name: str) -> bool:
+        return any(name == r or name.startswith(f"{r}_") for r in known)
+
+    while True:
+        more = {made for made, sources in MADE_OF.items() if made not in known and any(map(derived, sources))}
+        if not more:
+            return [c for c in columns if derived(c)]
+        known |= more
+
+
 def keyed_snapshots(inventory: DataFrame) -> DataFrame:
     """Snapshots with one text key out of date, warehouse and product."""
     day = F.date_format("snapshot_date", "yyyy-MM-dd")
@@ -270,15 +304,19 @@ def keyed_snapshots(inventory: DataFrame) -> DataFrame:
 def train_risk(
     name: str, frame: DataFrame, registry: ModelRegistry, budget: T.Budget = T.Budget(trees=100)
 ) -> Outcome:
-    """A class-balanced forest on a rule label; accuracy on a hold-out fifth."""
-    key, rule, left_out = RISK_JOBS[name]
+    """A class-balanced forest on a rule label; accuracy on a hold-out fifth.
+
+    What the rule reads, and every column computed from it, is left out: the
+    forest cannot just repeat the rule.
+    """
+    key, rule, read = RISK_JOBS[name]
     label = rule()
     spark = frame.sparkSession
     labelled = frame.select("*", label.cast("double").alias("label"))
-    features = T.feature_columns(labelled, [key, "label", *left_out])
+    features = T.feature_columns(labelled, [key, "label", *made_from(labelled.columns, read)])
     vectors = T.assembled(labelled, features, [key, "label", *[c for c in ("segment", "region") if c in frame.columns]])
     split = T.stored(T.holdout(vectors, key, "label"))
-    train = T.with_class_weights(split.where(~F.col("is_test")), "label")
+    train = T.with_class_weights(split.where(~F.col("is_test") & F.col("label").isNotNull()), "label")
     model = RandomForestClassifier(
         numTrees=budget.trees,
         maxDepth=budget.depth,

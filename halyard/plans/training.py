@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from halyard.operators.describe import numeric_columns
 from halyard.operators.ordered import hash_positions
 from halyard.operators.scoring import classification_metrics, regression_metrics
-from halyard.session import checkpoint_ready
+from halyard.sources.scratch import written
 
 SEED = 42
 VECTOR = "__features"
@@ -227,9 +227,8 @@ CLASSIFICATION = (_classification_row, best_classification)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint: the fits below read it many times and survive lost executors."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """A written table: the fits below read its columns many times and survive lost executors."""
+    return written(df, "training")
 
 
 def importances(model: Model, features: Sequence[str], spark, top: int | None = None) -> DataFrame:
