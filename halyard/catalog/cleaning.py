@@ -266,8 +266,8 @@ def _(t):
     """Columns and row counts together: the first needs names only, the second reads the table."""
     customers, heads = E.customers(t), t.orders.withColumnsRenamed({"o_orderkey": "order_id"})
     parts = [
-        Q.required_columns(customers, "customers", rules.REQUIRED_COLUMNS["customers"].split()),
-        Q.required_columns(heads, "orders", "order_id customer_id product_id quantity".split()),
+        Q.required_columns(customers, "customers", rules.REQUIRED_COLUMNS["customers"]),
+        Q.required_columns(heads, "orders", ["order_id", "customer_id", "product_id", "quantity"]),
         Q.counts_and_ranges(customers, "customers", rules.MINIMUM_ROWS["customers"], {}),
         Q.counts_and_ranges(heads, "orders", rules.MINIMUM_ROWS["orders"], {}),
     ]

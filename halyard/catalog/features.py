@@ -277,7 +277,10 @@ CUSTOMER_BASE = f"""
  from customers c left join rolled r using (customer_id) left join customer_kpis k using (customer_id)"""
 
 CUSTOMER_GROUPS = {"segment": SEGMENTS, "industry": NATIONS, "region": REGIONS}
-CARRIED = "customer_name segment industry region country signup_date employee_count annual_revenue engagement_score customer_health_score churn_risk_score churn_flag".split()
+CARRIED = [
+    "customer_name", "segment", "industry", "region", "country", "signup_date", "employee_count", "annual_revenue",
+    "engagement_score", "customer_health_score", "churn_risk_score", "churn_flag",
+]
 
 
 def customer_feature_table(t, **kw):

@@ -16,13 +16,14 @@ from halyard.sources.sinks import write_table
 from halyard.sources.tables import parse_date_columns
 
 # fixed values: columns parsed as dates, and money columns that cannot be negative
-DATE_COLUMNS = (
-    "signup_date start_date end_date order_date hire_date snapshot_date operating_date recent_last_order"
-).split()
-MONEY_COLUMNS = (
-    "unit_cost list_price order_amount budget revenue gross_margin opex ebitda cash_balance debt_balance "
-    "inventory_value annual_revenue salary contract_value"
-).split()
+DATE_COLUMNS = [
+    "signup_date", "start_date", "end_date", "order_date", "hire_date", "snapshot_date", "operating_date",
+    "recent_last_order",
+]
+MONEY_COLUMNS = [
+    "unit_cost", "list_price", "order_amount", "budget", "revenue", "gross_margin", "opex", "ebitda", "cash_balance",
+    "debt_balance", "inventory_value", "annual_revenue", "salary", "contract_value",
+]
 SERIES_ORDER = {
     "orders": "order_date",
     "finance_monthly": "order_month",

@@ -26,14 +26,15 @@ def with_suffix(left: DataFrame, right: DataFrame, key: str, suffix: str) -> Dat
     return left.join(renamed, key, "left")
 
 
-CUSTOMER_SIDE = (
-    "customer_id annual_revenue engagement_score customer_health_score churn_risk_score churn_flag segment region"
-).split()
-PRODUCT_SIDE = "product_id unit_cost list_price margin_rate demand_score category".split()
-KPI_SIDE = (
-    "customer_id total_orders total_revenue recent_order_count recent_revenue recent_avg_discount "
-    "recent_avg_shipping_days days_since_last_order order_velocity revenue_90d_target"
-).split()
+CUSTOMER_SIDE = [
+    "customer_id", "annual_revenue", "engagement_score", "customer_health_score", "churn_risk_score", "churn_flag",
+    "segment", "region",
+]
+PRODUCT_SIDE = ["product_id", "unit_cost", "list_price", "margin_rate", "demand_score", "category"]
+KPI_SIDE = [
+    "customer_id", "total_orders", "total_revenue", "recent_order_count", "recent_revenue", "recent_avg_discount",
+    "recent_avg_shipping_days", "days_since_last_order", "order_velocity", "revenue_90d_target",
+]
 
 
 def analysis_frame(orders: DataFrame, customers: DataFrame, products: DataFrame, kpis: DataFrame) -> DataFrame:

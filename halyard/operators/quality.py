@@ -121,7 +121,7 @@ def validate(
     """
     parts = []
     for name, df in tables.items():
-        checks = [_columns_check(df, name, rules.REQUIRED_COLUMNS[name].split())]
+        checks = [_columns_check(df, name, rules.REQUIRED_COLUMNS[name])]
         if name in minimum_rows:
             checks.append(_rows_check(name, minimum_rows[name]))
         checks += [_range_check(df, name, c, *limits) for c, limits in rules.NUMERIC_RANGES.get(name, {}).items()]

@@ -22,28 +22,49 @@ FOREIGN_KEYS = [
 ]
 
 REQUIRED_COLUMNS = {
-    "customers": "customer_id customer_name segment industry region country signup_date employee_count "
-    "annual_revenue engagement_score customer_health_score churn_risk_score churn_flag",
-    "products": "product_id product_name category subcategory supplier_id unit_cost list_price margin_rate "
-    "demand_score lifecycle_stage is_active",
-    "suppliers": "supplier_id supplier_name supplier_type region country lead_time_days reliability_score "
-    "contract_value",
-    "employees": "employee_id employee_name department level region hire_date salary performance_score "
-    "manager_id is_active",
-    "marketing_campaigns": "campaign_id campaign_name channel target_segment start_date end_date budget "
-    "leads_generated conversion_rate attributed_revenue",
-    "orders": "order_id customer_id product_id campaign_id order_date sales_channel order_status quantity "
-    "unit_price discount_rate order_amount shipping_days category gross_margin order_month",
-    "inventory_snapshots": "snapshot_date warehouse_id product_id on_hand_units reserved_units reorder_point "
-    "stockout_risk inventory_value",
-    "finance_monthly": "order_month revenue gross_margin order_count cogs opex ebitda cash_balance "
-    "debt_balance dscr",
-    "operations_daily": "operating_date warehouse_id throughput_units on_time_delivery_rate fulfillment_rate "
-    "incident_count labor_hours downtime_minutes",
-    "customer_kpis": "customer_id segment industry region country signup_date employee_count annual_revenue "
-    "engagement_score customer_health_score churn_risk_score churn_flag total_orders total_revenue "
-    "recent_order_count recent_revenue recent_avg_discount recent_avg_shipping_days recent_last_order "
-    "days_since_last_order order_velocity revenue_90d_target",
+    "customers": [
+        "customer_id", "customer_name", "segment", "industry", "region", "country", "signup_date", "employee_count",
+        "annual_revenue", "engagement_score", "customer_health_score", "churn_risk_score", "churn_flag",
+    ],
+    "products": [
+        "product_id", "product_name", "category", "subcategory", "supplier_id", "unit_cost", "list_price",
+        "margin_rate", "demand_score", "lifecycle_stage", "is_active",
+    ],
+    "suppliers": [
+        "supplier_id", "supplier_name", "supplier_type", "region", "country", "lead_time_days", "reliability_score",
+        "contract_value",
+    ],
+    "employees": [
+        "employee_id", "employee_name", "department", "level", "region", "hire_date", "salary", "performance_score",
+        "manager_id", "is_active",
+    ],
+    "marketing_campaigns": [
+        "campaign_id", "campaign_name", "channel", "target_segment", "start_date", "end_date", "budget",
+        "leads_generated", "conversion_rate", "attributed_revenue",
+    ],
+    "orders": [
+        "order_id", "customer_id", "product_id", "campaign_id", "order_date", "sales_channel", "order_status",
+        "quantity", "unit_price", "discount_rate", "order_amount", "shipping_days", "category", "gross_margin",
+        "order_month",
+    ],
+    "inventory_snapshots": [
+        "snapshot_date", "warehouse_id", "product_id", "on_hand_units", "reserved_units", "reorder_point",
+        "stockout_risk", "inventory_value",
+    ],
+    "finance_monthly": [
+        "order_month", "revenue", "gross_margin", "order_count", "cogs", "opex", "ebitda", "cash_balance",
+        "debt_balance", "dscr",
+    ],
+    "operations_daily": [
+        "operating_date", "warehouse_id", "throughput_units", "on_time_delivery_rate", "fulfillment_rate",
+        "incident_count", "labor_hours", "downtime_minutes",
+    ],
+    "customer_kpis": [
+        "customer_id", "segment", "industry", "region", "country", "signup_date", "employee_count", "annual_revenue",
+        "engagement_score", "customer_health_score", "churn_risk_score", "churn_flag", "total_orders",
+        "total_revenue", "recent_order_count", "recent_revenue", "recent_avg_discount", "recent_avg_shipping_days",
+        "recent_last_order", "days_since_last_order", "order_velocity", "revenue_90d_target",
+    ],
 }
 
 # column: (lowest, highest), None meaning open

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from halyard.functions import cyclical, safe_div
 from halyard.operators.trailing import trailing_expressions
 
-FINANCE_COLUMNS = "revenue gross_margin order_count ebitda cash_balance debt_balance dscr".split()
+FINANCE_COLUMNS = ["revenue", "gross_margin", "order_count", "ebitda", "cash_balance", "debt_balance", "dscr"]
 
 
 def series_features(

@@ -11,10 +11,10 @@ from halyard.operators.joins import complete_grid, dense_grid, distinct_list, wi
 from halyard.operators.rollups import fill_numbers, prediction_stats, product_month_demand
 from halyard.operators.trailing import trailing_expressions
 
-FEATURES = (
-    "quantity_sold revenue_generated order_count demand_lag_1 demand_lag_2 demand_lag_3 "
-    "demand_roll_mean_3 demand_roll_std_3 demand_roll_mean_6 demand_roll_std_6"
-).split()
+FEATURES = [
+    "quantity_sold", "revenue_generated", "order_count", "demand_lag_1", "demand_lag_2", "demand_lag_3",
+    "demand_roll_mean_3", "demand_roll_std_3", "demand_roll_mean_6", "demand_roll_std_6",
+]
 
 # fixed values: defaults and the service-level factor of the stock rule
 LEAD_TIME_DEFAULT = 14

@@ -137,11 +137,13 @@ def classification_candidates(budget: Budget) -> list[Candidate]:
     ]
 
 
-# fixed values: search ranges (rounds relative to the budget)
+# fixed values: search ranges
 SEARCH = {
-    "regression": {"rounds": (0.6, 1.8), "depth": (2, 6), "rate": (0.01, 0.15)},
-    "classification": {"rounds": (0.67, 2.0), "depth": (3, 7), "rate": (0.01, 0.20)},
+    "regression": {"rounds": (150, 450), "depth": (2, 6), "rate": (0.01, 0.15), "gain": (0.0, 1.0)},
+    "classification": {"rounds": (100, 300), "depth": (3, 7), "rate": (0.01, 0.20), "gain": (0.0, 0.0)},
 }
+#: The rounds of a full budget; a smaller one shortens the drawn rounds in proportion.
+FULL_ROUNDS = {"regression": 250, "classification": 150}
 SHARE = (0.7, 1.0)
 
 
@@ -157,12 +159,13 @@ def random_trials(kind: str, budget: Budget, seed: int = SEED) -> list[Candidate
     trials = []
     for i in range(budget.trials):
         params = {
-            "maxIter": max(2, int(budget.rounds * draw.uniform(*ranges["rounds"]))),
+            "maxIter": max(2, int(draw.randint(*ranges["rounds"]) * budget.rounds / FULL_ROUNDS[kind])),
             "maxDepth": draw.randint(shallow, max(shallow, min(deep, budget.depth))),
             "stepSize": math.exp(draw.uniform(*map(math.log, ranges["rate"]))),
             "subsamplingRate": draw.uniform(*SHARE),
             "featureSubsetStrategy": f"{min(draw.uniform(*SHARE), 0.999):.3f}",
             "minInstancesPerNode": draw.randint(1, 6),
+            "minInfoGain": draw.uniform(*ranges["gain"]),
         }
         trials.append(Candidate(f"trial_{i + 1}", lambda p=params: estimator(**common, **p), params))
     return trials

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from halyard.session import checkpoint_ready
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,11 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as Parquet under the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the frame once and later readers
-    prune columns. Tables still there when the process ends are deleted then.
+    prune columns. The shuffles behind the table go when it is written: nothing
+    reads them again. Tables still there when the process ends are deleted then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.halyard_path = path
     _written.append((spark, path))

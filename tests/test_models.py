@@ -188,3 +188,22 @@ def test_drift_stream(spark, t, tmp_path):
     query.awaitTermination(120)
     log = spark.read.parquet(str(tmp_path / "out/log")).collect()
     assert sorted(r.drift_detected for r in log) == [False, True]
+
+
+def test_what_is_computed_from_the_rule_is_left_out():
+    columns = [
+        "customer_id", "recency_days", "days_since_last_order", "days_since_last_order_kpi", "churn_risk_score_kpi", "churn_flag",
+        "customer_activity_score", "customer_activity_score_robust_scaled", "order_velocity", "customer_value_proxy_standard_scaled",
+        "annual_revenue", "engagement_score", "total_orders",
+    ]
+    made = J.made_from(columns, J.RISK_JOBS["customer_risk_model"][2])
+    assert [c for c in columns if c not in made] == ["customer_id", "annual_revenue", "engagement_score", "total_orders"]
+    finance = ["revenue", "cash_balance_robust_scaled", "debt_balance", "cash_balance_lag_1", "dscr", "opex"]
+    assert J.made_from(finance, J.RISK_JOBS["financial_risk_model"][2]) == finance[1:5]
+
+
+def test_a_scaled_copy_of_a_rule_column_is_rejected(spark, t, registry):
+    finance = E.finance(t)
+    copied = finance.withColumn("dscr_minmax_scaled", F.col("dscr") / 5.0)
+    out = J.train_risk("financial_risk_model", copied, registry, TINY)
+    assert set(out.features) == {"revenue", "gross_margin", "order_count", "cogs", "opex", "ebitda"}
