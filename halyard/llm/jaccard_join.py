@@ -5,8 +5,9 @@
 2. Two sets of similarity num/den differ in few members: at most D of them. A set's
    members are dealt by hash into more than D cells, so two linked sets agree in
    whole cells. Sets that share a cell (its members summed to one hash) are connected, and
-   what is connected is one candidate family. No link is lost by this, and a passage that
-   many documents share connects no two of them unless it fills whole cells.
+   what is connected is one candidate family. Members that very many documents have (a
+   shared passage) are left out of the cells: what differs is not more without them, so
+   no link is lost. A set that has too few other members takes part with all of them too.
 3. Inside a family signature trees find the links (``signature_tree``). A family of
    many members is cut into blocks by size and hash; the trees of blocks of near
    sizes are traversed in pairs, one bounded pair a task.
@@ -36,10 +37,15 @@ from pyspark.sql import functions as F
 
 from halyard.llm import arrow_text, shingles, signature_tree
 from halyard.llm.components import components
-from halyard.sources.scratch import drop_written, written
+from halyard.sources.scratch import written
 
 SLICE_BYTES = 2 << 20
-FAMILY_MEMBERS = 1 << 20  # shingles in one task's block
+FAMILY_MEMBERS = 2 << 20  # shingles in one block
+SEEN = 1 << 20  # sets that a task remembers
+FREQUENT_ROWS = 50  # rows that share a shingle before it counts as frequent
+MOST_FREQUENT = 1 << 18  # of them are broadcast, two MB
+SHARED_IN_TASK = 3
+COUNTED = 4 << 20  # shingles held before a task adds them up
 U = np.uint64
 SALTS = [U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1)]
 EMPTY_CELL = U(0x6A09E667F3BCC908)
@@ -64,7 +70,7 @@ class Bands:
         bands = [band]
         if band and -(-size * self.num // self.den) < self.edges[band]:
             bands.append(band - 1)
-        return [(b, math.ceil(1.08 * self.differ(self.edges[b + 1] - 1)) + 2) for b in bands]
+        return [(b, math.ceil(1.1 * self.differ(self.edges[b + 1] - 1)) + 2) for b in bands]
 
 
 @cache
@@ -72,24 +78,45 @@ def bands(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def cells(members: np.ndarray, plan: Bands) -> np.ndarray:
-    """Hashes of the filled cells of one set."""
+def _filled(members: np.ndarray, count: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and hashes of the cells that the members fill."""
+    cell = ((shingles.mix(members ^ SALTS[0]) >> U(32)) * U(count)) >> U(32)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    if not len(starts):
+        return cell, cell
+    sums = np.add.reduceat(shingles.mix(members[order] + SALTS[1]), starts)
+    return cell[starts], shingles.mix(sums + cell[starts] * shingles.BASE + name)
+
+
+def cells(members: np.ndarray, plan: Bands, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the cells of one set; ``frequent`` holds the members to leave out, sorted.
+
+    Two linked sets share one: if either has more filled cells than members can differ, one
+    of them is untouched; else both also give the cells of all members, and, where
+    those are too few as well, the names of their empty cells.
+    """
     size = len(members)
     differ = plan.differ(size)
     if not differ:
         return np.zeros(0, U)
+    rare = members
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
+        rare = members[frequent[at] != members]
     out = []
-    values = shingles.mix(members + SALTS[1])
-    dealt = shingles.mix(members ^ SALTS[0])
     for band, count in plan.of(size):
-        cell = ((dealt >> U(32)) * U(count)) >> U(32)
-        order = np.argsort(cell, kind="stable")
-        sorted_cells = cell[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]]))
         name = shingles.mix(np.array([band], U) + SALTS[2])
-        out.append(shingles.mix(np.add.reduceat(values[order], starts) + sorted_cells[starts] * shingles.BASE + name))
-        if len(starts) <= differ:
-            empty = np.setdiff1d(np.arange(count, dtype=U), sorted_cells)
+        filled, hashes = _filled(rare, count, name)
+        out.append(hashes)
+        if len(filled) > differ:
+            continue
+        name = shingles.mix(name)
+        filled, hashes = _filled(members, count, name)
+        out.append(hashes)
+        if len(filled) <= differ:
+            empty = np.setdiff1d(np.arange(count, dtype=U), filled)
             out.append(shingles.mix(EMPTY_CELL + empty * shingles.BASE + name))
     return np.concatenate(out)
 
@@ -102,103 +129,153 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
             yield batch.slice(start, stop - start), shingles.sets(data, offsets[start : stop + 1], width)
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, key1, key2, cells) of every row: set size, hash of the set, hashes of its cells."""
+def frequent_shingles(docs: DataFrame, text: str, width: int, least: int = FREQUENT_ROWS, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The shingles that most rows have, sorted: at most ``most``, in at least ``least`` rows.
 
-    def run(batches):
-        plan = bands(num, den)
-        for part, found in _slices(batches, width):
-            n = np.array([len(s) for s in found], np.int64)
-            sums = [np.array([shingles.mix(s ^ salt).sum(dtype=U) for s in found], U).view(np.int64) for salt in SALTS[2:]]
-            hashes = [cells(s, plan) for s in found]
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes).view(np.int64)))
-            columns = [part.column(0).cast(pa.int64()), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), listed]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key1", "key2", "cells"])
+    Each task counts its rows and hands on what several of them share, so counts are lower
+    bounds. They only choose what is left out of the cells; any choice keeps all links.
+    """
 
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "id long, n long, key1 long, key2 long, cells array<long>")
+    def count(batches):
+        held, n = np.zeros(0, U), np.zeros(0, np.int64)
+        waiting, size = [], 0
 
+        def settle():
+            nonlocal held, n, waiting, size
+            values, at = np.unique(np.concatenate([held, *waiting]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n, np.ones(size, np.int64)]), len(values)).astype(np.int64)
+            held, n, waiting, size = values[sums > 1], sums[sums > 1], [], 0
 
-def families(sketched: DataFrame) -> DataFrame:
-    """(node, component): classes connected by shared cells; classes that share none are left out."""
-    classes = (
-        sketched.where((F.size("cells") > 0) & F.col("id").isNotNull())
-        .groupBy("key1", "key2")
-        .agg(F.min("id").alias("node"), F.first("cells").alias("cells"))
-        .select("node", F.explode("cells").alias("cell"))
-    )
-    first = F.expr("first_value(node) over (partition by cell order by node)")
-    return components(classes.select(first.alias("u"), F.col("node").alias("v")).where("u <> v"))
+        for _, found in _slices(batches, width):
+            waiting += found
+            size += sum(map(len, found))
+            if size > COUNTED:
+                settle()
+        settle()
+        enough = n >= SHARED_IN_TASK
+        yield pa.RecordBatch.from_arrays([pa.array(held[enough].view(np.int64)), pa.array(n[enough])], ["shingle", "n"])
 
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle long, n long")
+    summed = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = summed.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(U))
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, members: DataFrame) -> DataFrame:
-    """(node, family, n, members) of the documents that stand for a class in a family."""
+
+def _keys(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    return [np.array([shingles.mix(s ^ salt).sum(dtype=U) for s in found], U).view(np.int64) for salt in SALTS[2:]]
+
+
+def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, n, key1, key2) of every row: set size and hashes of the set."""
 
     def run(batches):
         for part, found in _slices(batches, width):
             n = pa.array([len(s) for s in found], pa.int64())
-            packed = pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, packed], ["node", "family", "n", "members"])
+            yield pa.RecordBatch.from_arrays([part.column(0), n, *map(pa.array, _keys(found))], ["id", "n", "key1", "key2"])
+
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, "id long, n long, key1 long, key2 long")
 
-    slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    # texts are shuffled whatever the number of members: the plan is the same at every size
-    joined = slim.join(members.hint("merge"), "node").select("node", F.col("component").alias("family"), "text")
-    return joined.mapInArrow(run, "node long, family long, n long, members binary").where(F.col("n") > 0)
 
+def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(node, component): first keys of sets connected by shared cells; sets that share none are left out.
 
-def links(sets: DataFrame, num: int, den: int, block_members: int = FAMILY_MEMBERS) -> DataFrame:
-    """(u, v): a spanning forest of the links between the sets of each family."""
+    A task gives the cells of a set once, so a text with very many copies has a row a cell and task.
+    """
+    left_out = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
+
+    def run(batches):
+        plan, here, seen = bands(num, den), left_out.value, set()
+        for _, found in _slices(batches, width):
+            if len(seen) > SEEN:
+                seen.clear()
+            rows = []
+            for members, node in zip(found, _keys(found)[0].tolist()):
+                if len(members) and node not in seen:
+                    seen.add(node)
+                    rows.append((node, cells(members, plan, here)))
+            nodes = np.repeat(np.array([n for n, _ in rows], np.int64), [len(c) for _, c in rows])
+            hashes = np.concatenate([np.zeros(0, U), *[c for _, c in rows]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(nodes)], ["cell", "node"])
+
+    filled = docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long")
+    first = F.expr("first_value(node) over (partition by cell order by node)")
+    return components(filled.select(first.alias("u"), F.col("node").alias("v")).where("u <> v"))
+
+
+def blocks(members: DataFrame, num: int, den: int, block_members: int = FAMILY_MEMBERS) -> DataFrame:
+    """(node, family, own, others, blocks) for rows (node, family, n): the blocks a set is compared with.
+
+    A family of at most ``block_members`` shingles is one block. A larger one is cut by set
+    size, and a size with too many by the hash of the node; only blocks of near sizes meet.
+    """
     step = math.log(den / num) * (1 + 1e-9)  # sizes of linked sets are at most one bucket apart
-    sized = sets.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
-    totals = sized.groupBy("family").agg(F.sum("n").alias("total"), F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    parts = max(1, math.ceil((totals.agg(F.sum("total")).first()[0] or 0) / block_members))
-    blocks = F.ceil(F.col("total") / F.lit(block_members))
-    one_bucket = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda s: s)
-    near = F.filter("buckets", lambda b: F.abs(b - F.col("bucket")) <= 1)
-    others = F.flatten(F.transform(near, lambda b: F.transform(one_bucket, lambda s: F.shiftleft(b, 32) + s)))
-    own = F.shiftleft("bucket", 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = (
-        sized.join(totals.withColumn("blocks", blocks), "family")
-        .withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(F.lit(0).cast("long")))
-        .withColumn("other", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(0).cast("long")))))
-        .select("node", "family", "members", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "blocks")
-        .withColumn(
-            "cell",
-            F.when(F.col("blocks") > 1, F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(parts))),
-        )
+    sized = members.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
+    buckets = sized.groupBy("family", "bucket").agg(F.sum("n").alias("total"))
+    buckets = buckets.withColumn("parts", F.ceil(F.col("total") / F.lit(block_members)))
+    whole = buckets.groupBy("family").agg(
+        F.sum("total").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "parts"))).alias("buckets")
+    )
+    near = F.filter("buckets", lambda b: F.abs(b["bucket"] - F.col("bucket")) <= 1)
+    numbers = lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["parts"] - 1), lambda s: F.shiftleft(b["bucket"], 32) + s)
+    parts = F.get(F.filter("buckets", lambda b: b["bucket"] == F.col("bucket")), F.lit(0))["parts"]
+    own = F.shiftleft("bucket", 32) + F.pmod(F.xxhash64("node"), parts)
+    cut = F.col("total") > block_members
+    zero = F.lit(0).cast("long")
+    return sized.join(whole, "family").select(
+        "node",
+        "family",
+        F.when(cut, own).otherwise(zero).alias("own"),
+        F.when(cut, F.flatten(F.transform(near, numbers))).otherwise(F.array(zero)).alias("others"),
+        cut.alias("cut"),
     )
 
+
+def links(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, members: DataFrame, block_members: int = FAMILY_MEMBERS) -> DataFrame:
+    """(u, v): a spanning forest of the links inside each family of (node, family, n); nodes are ids of documents."""
+    groups = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / block_members))
+
+    def sets(batches):
+        for part, found in _slices(batches, width):
+            columns = [part.column(i) for i in range(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], [*part.schema.names[:-1], "members"])
+
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, a, z), group in frame.groupby(["family", "a", "z"], sort=False):
             if len(group) < 2 or (a != z and group["own"].nunique() < 2):
                 continue
             nodes = group["node"].to_numpy()
-            members = [np.frombuffer(m, U) for m in group["members"]]
-            found = signature_tree.forest(members, (group["own"].to_numpy() != a).astype(int), num, den)
-            out += [(nodes[x], nodes[y]) for x, y in found]
+            found = [np.frombuffer(m, U) for m in group["members"]]
+            pairs = signature_tree.forest(found, (group["own"].to_numpy() != a).astype(int), num, den)
+            out += [(nodes[x], nodes[y]) for x, y in pairs]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    slim = placed.select("node", "family", "members", "own", "a", "z", "cell")
-    return slim.groupBy("cell").applyInPandas(join, "u long, v long")
+    slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    # texts are shuffled whatever the number of members: the plan is the same at every size
+    placed = slim.join(blocks(members, num, den, block_members).hint("merge"), "node").select("node", "family", "own", "others", "cut", "text")
+    sized = placed.mapInArrow(sets, "node long, family long, own long, others array<long>, cut boolean, members binary")
+    paired = (
+        sized.where(F.octet_length("members") > 0)
+        .withColumn("other", F.explode("others"))
+        .select("node", "family", "members", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
+        .withColumn("group", F.when(F.col("cut"), F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))))
+    )
+    return paired.drop("cut").groupBy("group").applyInPandas(join, "u long, v long")
 
 
 def linked(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """(id, n_shingles, component_id) of every row; linked are sets of similarity num / den or more."""
-    sketched = written(sketches(docs, key, text, width, num, den), "shingle-sketches")
-    family = families(sketched)
-    sets = written(_sets(docs, key, text, width, family), "shingle-sets")
-    component = components(links(sets, num, den))
-    drop_written(sets)
-    classes = (
-        sketched.where((F.col("n") > 0) & F.col("id").isNotNull())
-        .groupBy("key1", "key2")
-        .agg(F.min("id").alias("node"))
-        .join(component, "node", "left")
-        .select("key1", "key2", F.coalesce("component", "node").alias("component_id"))
+    sketched = written(sketches(docs, key, text, width), "shingle-sketches")
+    family = families(docs, text, width, num, den, frequent_shingles(docs, text, width))
+    classes = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("key1", "key2").agg(F.min("id").alias("node"), F.first("n").alias("n"))
+    members = written(
+        classes.join(family.select(F.col("node").alias("key1"), F.col("component").alias("family")), "key1").select("node", "family", "n"), "shingle-families"
     )
-    some = sketched.where(F.col("n") > 0).select("id", "n", "key1", "key2").join(classes, ["key1", "key2"], "left")
-    none = sketched.where(F.col("n") == 0).select("id", "n", F.col("id").alias("component_id"))
-    out = some.select("id", "n", "component_id").unionByName(none)
-    return out.withColumnRenamed("n", "n_shingles")
+    component = components(links(docs, key, text, width, num, den, members))
+    named = classes.join(component, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("component_id"))
+    some = sketched.where(F.col("n") > 0).join(named, ["key1", "key2"], "left")
+    none = sketched.where(F.col("n") == 0).withColumn("component_id", F.col("id"))
+    columns = ["id", F.col("n").alias("n_shingles"), "component_id"]
+    return some.select(*columns).unionByName(none.select(*columns))

@@ -65,9 +65,8 @@ def planted(seed=0):
 
 @pytest.mark.parametrize("width,num,den,block", [(3, 90, 100, 1 << 20), (5, 80, 100, 1 << 20), (3, 90, 100, 300), (1, 80, 100, 500)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, width, num, den, block):
-    monkeypatch.setattr(jaccard_join, "FAMILY_MEMBERS", block)
     plain = jaccard_join.links
-    monkeypatch.setattr(jaccard_join, "links", lambda sets, n, d: plain(sets, n, d, block))
+    monkeypatch.setattr(jaccard_join, "links", lambda *given: plain(*given, block_members=block))
     texts = planted()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs, "doc_id", "text", width, num, den).collect()}
@@ -107,8 +106,10 @@ def test_linked_sets_share_a_cell():
                 drop, add = rng.integers(0, size // 4 + 1), rng.integers(0, size // 4 + 1)
                 b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
                 a = np.unique(a)
+                shared = np.intersect1d(a, b)
                 if signature_tree.similar(a, b, num, den) and len(np.setxor1d(a, b)):
-                    assert set(jaccard_join.cells(a, plan)) & set(jaccard_join.cells(b, plan))
+                    for frequent in (shared[:0], shared[: len(shared) // 2], shared, np.union1d(a, b)):
+                        assert set(jaccard_join.cells(a, plan, frequent)) & set(jaccard_join.cells(b, plan, frequent))
 
 
 @pytest.mark.parametrize("sides", [1, 2])
