@@ -1,6 +1,7 @@
 """Spark ML jobs and attribution (survey E11-E14, L7-L10, L13-L16, L21, L23-L24, L27-L30, L32, X1-X2).
 
-The registered runs use small training budgets; the jobs' defaults are the full ones.
+Forests, clusterings and selections run at their full size. Runs of boosted trees use the
+budget SMALL: a full search is 80 fits of 250 rounds; the jobs' defaults are the full ones.
 """
 
 from __future__ import annotations
@@ -69,18 +70,18 @@ def _(t):
 
 @query("e12_recursive_elimination")
 def _(t):
-    left = S.eliminated(labelled_kpis(t), SELECTABLE, "churn_flag", 3, trees=5)
+    left = S.eliminated(labelled_kpis(t), SELECTABLE, "churn_flag", 3)
     return t.spark.createDataFrame([(c,) for c in left], "feature string")
 
 
 @query("e13_tree_importance")
 def _(t):
-    return S.tree_importance(labelled_kpis(t), SELECTABLE, "churn_flag", trees=10)
+    return S.tree_importance(labelled_kpis(t), SELECTABLE, "churn_flag")
 
 
 @query("e14_selection_report")
 def _(t):
-    return S.selection_report(labelled_kpis(t), SELECTABLE, "churn_flag", "customer_kpis", k=3, trees=(5, 5))
+    return S.selection_report(labelled_kpis(t), SELECTABLE, "churn_flag", "customer_kpis", k=3)
 
 
 # columns of the seven tables on the star's categories
@@ -129,14 +130,29 @@ def _(t):
     )
 
 
-# rows of the exploration's frames on the star
+# rows and columns of the exploration's frames on the star; the analysis frame has 30 numeric columns
 EXPLORED = {
-    "summary_statistics": ("select 17", 12),
-    "missing_values": (f"select {sum(map(len, COLUMNS.values()))}", 4),
+    "summary_statistics": ("17", 12),
+    "missing_values": (str(sum(map(len, COLUMNS.values()))), 4),
+    "correlation": ("30*29//2", 3),
+    "monthly_revenue": ("(select count(distinct order_month) from order_lines)", 5),
+    "products": ("(select count(*) from products)", 9),
+    "regions": ("(select count(*) from (select distinct region, segment from customers))", 6),
+    "seasonal": ("(select count(distinct order_month) from order_lines)", 4),
+    "segmentation": ("(select count(distinct segment) from customers)", 8),
+    "kpi_summary": ("7", 2),
 }
 
 
-@query("a16_exploration_manifest")
+@query(
+    "a16_exploration_manifest",
+    sql(
+        " union all ".join(
+            f"select '{name}' as dataset, cast({rows} as bigint) as row_count, {width}::bigint as column_count"
+            for name, (rows, width) in EXPLORED.items()
+        )
+    ),
+)
 def _(t):
     """The exploration package, written and counted."""
     from halyard.catalog.relational import scratch_folder
@@ -237,7 +253,7 @@ def risk_outcome(t, name, registry):
         "operational_risk_model": J.keyed_snapshots(used),
         "customer_risk_model": E.customer_kpis(t).withColumn("recency_days", F.col("days_since_last_order")),
     }
-    return J.train_risk(name, frames[name], registry, SMALL)
+    return J.train_risk(name, frames[name], registry)
 
 
 @query("l21_risk_training")
@@ -253,17 +269,17 @@ def _(t):
 
 @query("l24_customer_segments")
 def _(t):
-    return J.segment_customers(customer_feature_table(t), scratch_registry(t), starts=2).results["segments"]
+    return J.segment_customers(customer_feature_table(t), scratch_registry(t)).results["segments"]
 
 
 @query("l24_segment_quality")
 def _(t):
-    return J.segment_customers(customer_feature_table(t), scratch_registry(t), starts=2).comparison
+    return J.segment_customers(customer_feature_table(t), scratch_registry(t)).comparison
 
 
 @query("l27_projection")
 def _(t):
-    return J.segment_customers(customer_feature_table(t), scratch_registry(t), starts=1).results["segments"].select("customer_id", "pca_x", "pca_y")
+    return J.segment_customers(customer_feature_table(t), scratch_registry(t)).results["segments"].select("customer_id", "pca_x", "pca_y")
 
 
 @query("l28_batch_scoring")
@@ -321,7 +337,7 @@ def _(t):
 @query("l32_feature_importance")
 def _(t):
     rows = churn_rows(t)
-    model = T.classification_candidates(SMALL)[0].build().fit(rows)
+    model = T.classification_candidates(T.Budget(trees=150))[0].build().fit(rows)
     return T.importances(model, SELECTABLE, t.spark, top=15)
 
 
@@ -390,7 +406,7 @@ def _(t):
 )
 def _(t):
     """Every customer once, one persona per cluster and one cluster per persona."""
-    segments = J.segment_customers(customer_feature_table(t), scratch_registry(t), starts=1).results["segments"]
+    segments = J.segment_customers(customer_feature_table(t), scratch_registry(t)).results["segments"]
     pairs = segments.groupBy("cluster_id").agg(F.count_distinct("persona").alias("names"))
     names = segments.agg(F.count_distinct("persona") == F.count_distinct("cluster_id")).scalar()
     return segments.join(pairs, "cluster_id").select(
