@@ -39,13 +39,13 @@ from halyard.llm import arrow_text, shingles, signature_tree
 from halyard.llm.components import components
 from halyard.sources.scratch import written
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 FAMILY_MEMBERS = 2 << 20  # shingles in one block
 SEEN = 1 << 20  # sets that a task remembers
 FREQUENT_ROWS = 50  # rows that share a shingle before it counts as frequent
 MOST_FREQUENT = 1 << 18  # of them are broadcast, two MB
 SHARED_IN_TASK = 3
-COUNTED = 4 << 20  # shingles held before a task adds them up
+COUNTED = 1 << 20  # shingles held before a task adds them up
 U = np.uint64
 SALTS = [U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1)]
 EMPTY_CELL = U(0x6A09E667F3BCC908)
@@ -127,6 +127,7 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
         data, offsets = arrow_text.texts(batch.column(batch.num_columns - 1))
         for start, stop in arrow_text.ranges(offsets, SLICE_BYTES):
             yield batch.slice(start, stop - start), shingles.sets(data, offsets[start : stop + 1], width)
+    pa.default_memory_pool().release_unused()
 
 
 def frequent_shingles(docs: DataFrame, text: str, width: int, least: int = FREQUENT_ROWS, most: int = MOST_FREQUENT) -> np.ndarray:

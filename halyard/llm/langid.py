@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 PROFILE = 400
 BITS = 21  # of a code point
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 19
 HELD_GRAMS = 1 << 21
 UNKNOWN = "und"
 

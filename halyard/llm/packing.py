@@ -33,7 +33,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 CAPACITY = 4096
 SHARD_WINDOWS = 64
 MAX_PADDING = 0.01
-STORED_WORDS = 500_000
+STORED_WORDS = 200_000
 #: Texts of these characters are split on white space and lowered here, others by the tokenizer's own rules.
 PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
 #: What may follow the letters of a word and is then one piece of its own.
@@ -252,8 +252,8 @@ def pack(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 ids = tokenizer.encode([t or "" for t in part.column(1).to_pylist()])
                 rows = [r for k, i in zip(part.column(0).to_pylist(), ids) for r in packer.add(k, i + end)]
                 if rows:
@@ -261,5 +261,6 @@ def pack(
         rows = list(packer.flush())
         if rows:
             yield made(rows)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(key, text).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ MISSED = 0.001
 MARGIN = 4.0  # nats below that level; Gumbel noise seldom moves a text further
 SMOOTHING = 2.0
 OWN = 3  # occurrences of an n-gram in a text that do not speak for or against the text itself
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BINS = 1000
 FEW = 1000
 U = np.uint64
