@@ -11,7 +11,8 @@
 3. Inside a family signature trees find the links (``signature_tree``). A family of
    many members is cut into blocks by size and hash; the trees of blocks of near
    sizes are traversed in pairs, one bounded pair a task.
-4. The links found, a spanning forest, are joined into components.
+4. The links found, a spanning forest, are joined into components. Where the number of links
+   is asked for, the trees find all links and each task adds up its own.
 
 Cells are made for bands of set sizes, so that both sets of a link use the same number of
 cells; a set near the lower edge of its band also uses the band below. A set whose members
@@ -20,7 +21,8 @@ leave too few cells filled also takes part with its empty cells.
 Defined cases: null or empty text and text without words have no shingles and link
 with nothing; fewer words than the width make one shingle of the whole sequence. Repeated rows
 are in one class. Rows that share an id are one document to the links. A row with a null id joins the
-component of an equal set, else none (null). An empty table gives no rows. Other columns are not read.
+component of an equal set, else none (null). The number of links counts the other rows with an id; a row with
+a null id has one if an equal set has an id, else none (null). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -206,7 +208,7 @@ def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequen
 
 
 def blocks(members: DataFrame, num: int, den: int, block_members: int = FAMILY_MEMBERS) -> DataFrame:
-    """(node, family, own, others, blocks) for rows (node, family, n): the blocks a set is compared with.
+    """(node, family, own, others, cut) for rows (node, family, n): the blocks a set is compared with; further columns stay.
 
     A family of at most ``block_members`` shingles is one block. A larger one is cut by set
     size, and a size with too many by the hash of the node; only blocks of near sizes meet.
@@ -230,53 +232,115 @@ def blocks(members: DataFrame, num: int, den: int, block_members: int = FAMILY_M
         F.when(cut, own).otherwise(zero).alias("own"),
         F.when(cut, F.flatten(F.transform(near, numbers))).otherwise(F.array(zero)).alias("others"),
         cut.alias("cut"),
+        *[c for c in members.columns if c not in ("node", "family", "n")],
     )
 
 
-def links(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, members: DataFrame, block_members: int = FAMILY_MEMBERS) -> DataFrame:
-    """(u, v): a spanning forest of the links inside each family of (node, family, n); nodes are ids of documents."""
+def _forest(group: pd.DataFrame, found: list[np.ndarray], side: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    nodes = group["node"].to_numpy()
+    pairs = signature_tree.forest(found, side, num, den)
+    return pd.DataFrame([(nodes[x], nodes[y]) for x, y in pairs], columns=["u", "v"])
+
+
+def _pairs(group: pd.DataFrame, found: list[np.ndarray], side: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    nodes = group["node"].to_numpy()
+    runs = [pd.DataFrame({"u": nodes[x], "v": nodes[y]}) for x, y in signature_tree.pairs(found, side, num, den)]
+    return pd.concat([pd.DataFrame({"u": nodes[:0], "v": nodes[:0]}), *runs])
+
+
+def _counts(group: pd.DataFrame, found: list[np.ndarray], side: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    """A spanning forest, and a row for each set with the rows that it links with: linear however many pairs link."""
+    nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+    label, n, forest = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
+    for x, y in signature_tree.pairs(found, side, num, den):
+        np.add.at(n, x, copies[y])
+        np.add.at(n, y, copies[x])
+        apart = label[x] != label[y]
+        for a, b in zip(x[apart].tolist(), y[apart].tolist()):
+            if label[a] != label[b]:
+                forest.append((a, b))
+                label[label == label[b]] = label[a]
+    # Int64 before the concat: missing values must not make floats of the keys
+    sums = group.loc[n > 0, ["key1", "key2"]].assign(n=n[n > 0]).astype("Int64")
+    edges = pd.DataFrame([(nodes[a], nodes[b]) for a, b in forest], columns=["u", "v"]).astype("Int64")
+    return pd.concat([edges, sums])[["u", "v", "key1", "key2", "n"]]
+
+
+#: What is wanted of the links, its columns, and the function for two blocks.
+WANTED = {
+    "forest": ("u long, v long", _forest),
+    "pairs": ("u long, v long", _pairs),
+    "counts": ("u long, v long, key1 long, key2 long, n long", _counts),
+}
+
+
+def links(
+    docs: DataFrame, key: str, text: str, width: int, num: int, den: int, members: DataFrame, want: str = "forest", block_members: int = FAMILY_MEMBERS
+) -> DataFrame:
+    """The links inside each family of (node, family, n, key1, key2); nodes are ids of documents.
+
+    (u, v): a spanning forest, or with ``pairs`` all links of different sets, each once. With ``counts``, where members
+    have their ``copies``, (u, v, key1, key2, n): a spanning forest and, u and v null, summands of the copies that a set links with.
+    """
     groups = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / block_members))
+    schema, link = WANTED[want]
+    extra = [c for c in ("key1", "key2", "copies") if c in members.columns]
 
     def sets(batches):
         for part, found in _slices(batches, width):
             columns = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], [*part.schema.names[:-1], "members"])
+            made = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], [*part.schema.names[:-1], "members"])
+            one, two = _keys(found)  # of rows that share an id only those of the set that the id stands for
+            yield made.filter(pa.array((one == part.column("key1").to_numpy()) & (two == part.column("key2").to_numpy())))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({c.split()[0]: pd.Series(dtype="Int64") for c in schema.split(", ")})]
         for (_, a, z), group in frame.groupby(["family", "a", "z"], sort=False):
+            group = group.drop_duplicates(["key1", "key2"])  # repeated rows
             if len(group) < 2 or (a != z and group["own"].nunique() < 2):
                 continue
-            nodes = group["node"].to_numpy()
             found = [np.frombuffer(m, U) for m in group["members"]]
-            pairs = signature_tree.forest(found, (group["own"].to_numpy() != a).astype(int), num, den)
-            out += [(nodes[x], nodes[y]) for x, y in pairs]
-        return pd.DataFrame(out, columns=["u", "v"])
+            out.append(link(group, found, (group["own"].to_numpy() != a).astype(int), num, den))
+        return pd.concat(out)
 
     slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
     # texts are shuffled whatever the number of members: the plan is the same at every size
-    placed = slim.join(blocks(members, num, den, block_members).hint("merge"), "node").select("node", "family", "own", "others", "cut", "text")
-    sized = placed.mapInArrow(sets, "node long, family long, own long, others array<long>, cut boolean, members binary")
+    placed = slim.join(blocks(members, num, den, block_members).hint("merge"), "node").select("node", "family", "own", "others", "cut", *extra, "text")
+    more = ", ".join(f"{c} long" for c in extra)
+    sized = placed.mapInArrow(sets, f"node long, family long, own long, others array<long>, cut boolean, {more}, members binary")
     paired = (
         sized.where(F.octet_length("members") > 0)
         .withColumn("other", F.explode("others"))
-        .select("node", "family", "members", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
+        .select("node", "family", *extra, "members", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
         .withColumn("group", F.when(F.col("cut"), F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))))
     )
-    return paired.drop("cut").groupBy("group").applyInPandas(join, "u long, v long")
+    return paired.drop("cut").groupBy("group").applyInPandas(join, schema)
+
 
+def linked(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, count: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; linked are sets of similarity num / den or more.
 
-def linked(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; linked are sets of similarity num / den or more."""
+    With ``count`` also n_links: how many other rows it is linked with, equal sets included.
+    """
     sketched = written(sketches(docs, key, text, width), "shingle-sketches")
     family = families(docs, text, width, num, den, frequent_shingles(docs, text, width))
-    classes = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("key1", "key2").agg(F.min("id").alias("node"), F.first("n").alias("n"))
-    members = written(
-        classes.join(family.select(F.col("node").alias("key1"), F.col("component").alias("family")), "key1").select("node", "family", "n"), "shingle-families"
+    classes = (
+        sketched.where((F.col("n") > 0) & F.col("id").isNotNull())
+        .groupBy("key1", "key2")
+        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count("*").alias("copies"))
     )
-    component = components(links(docs, key, text, width, num, den, members))
-    named = classes.join(component, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("component_id"))
-    some = sketched.where(F.col("n") > 0).join(named, ["key1", "key2"], "left")
-    none = sketched.where(F.col("n") == 0).withColumn("component_id", F.col("id"))
+    placed = classes.join(family.select(F.col("node").alias("key1"), F.col("component").alias("family")), "key1")
+    members = written(placed.select("node", "family", "n", "key1", "key2", *["copies"] * count), "shingle-families")
+    found = links(docs, key, text, width, num, den, members, "counts" if count else "forest")
+    if count:
+        found = written(found, "shingle-links")
+    component = components(found.select("u", "v"))
+    named = classes.join(component, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     columns = ["id", F.col("n").alias("n_shingles"), "component_id"]
+    if count:
+        sums = found.where(F.col("u").isNull()).groupBy("key1", "key2").agg(F.sum("n").alias("others"))
+        named = named.join(sums, ["key1", "key2"], "left").withColumn("around", F.col("copies") + F.coalesce("others", F.lit(0)))
+        columns.append((F.col("around") - F.when(F.col("id").isNull(), 0).otherwise(1)).alias("n_links"))
+    some = sketched.where(F.col("n") > 0).join(named.select("key1", "key2", "component_id", *["around"] * count), ["key1", "key2"], "left")
+    none = sketched.where(F.col("n") == 0).withColumns({"component_id": F.col("id"), **({"around": F.when(F.col("id").isNull(), 0).otherwise(1)} if count else {})})
     return some.select(*columns).unionByName(none.select(*columns))

@@ -146,7 +146,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_signature_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return jaccard_join.linked(docs, "doc_id", "text", width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+    return jaccard_join.linked(docs, "doc_id", "text", width=3, num=90, den=100, count=True).withColumnRenamed("id", "doc_id")
 
 
 @query("op5_importance_resampling")

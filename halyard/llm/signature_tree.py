@@ -5,13 +5,15 @@ children's bitmaps and the range of their sizes. Two sets below a pair of nodes
 most as many members as the nodes share bits, plus the members that collided
 inside one bitmap, and at most the smaller of the largest sizes. Pairs of nodes
 whose bound stays under the overlap that the similarity asks for are pruned;
-pairs of leaves that are left are compared exactly. Pairs whose sets are all in
-one component already are pruned too, so what is returned is a spanning forest
-of the similarity graph, not all its edges.
+pairs of leaves that are left are compared exactly. ``pairs`` gives all edges of
+the similarity graph. ``forest`` also prunes pairs whose sets are all in one
+component already, so what it returns is a spanning forest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FANOUT = 8
@@ -65,14 +67,11 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of places that link what similarity num / den connects.
+def _leaves(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, label: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of leaves whose bound allows the similarity, in bounded runs.
 
-    Places of side 0 are compared with those of side 1; with one side only, with
-    each other. Sets are sorted, distinct and not empty. Places that share a label are
-    taken as linked already.
+    With labels, which the caller may change between runs, pairs of nodes below one label are left out.
     """
-    label = np.arange(len(sets)) if label is None else label.copy()
     sizes = np.array([len(s) for s in sets])
     bits = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(sizes) + 1)), 8, 16))
     halves = [np.flatnonzero(side == s) for s in np.unique(side)]
@@ -82,16 +81,17 @@ def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, label:
     top = max(len(left.levels), len(right.levels)) - 1
     for tree in trees:  # both trees get the same height
         tree.levels += [tree.levels[-1]] * (top + 1 - len(tree.levels))
-    found = []
+    chunk = max(CHUNK, (1 << 23) // bits)
     todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         level, i, j = todo.pop()
-        if len(i) > CHUNK:
-            todo.append((level, i[CHUNK:], j[CHUNK:]))
-            i, j = i[:CHUNK], j[:CHUNK]
-        (low_i, high_i), (low_j, high_j) = left.labels(label, level), right.labels(label, level)
-        one = (low_i[i] == high_i[i]) & (low_j[j] == high_j[j]) & (low_i[i] == low_j[j])
-        i, j = i[~one], j[~one]
+        if len(i) > chunk:
+            todo.append((level, i[chunk:], j[chunk:]))
+            i, j = i[:chunk], j[:chunk]
+        if label is not None:
+            (low_i, high_i), (low_j, high_j) = left.labels(label, level), right.labels(label, level)
+            one = (low_i[i] == high_i[i]) & (low_j[j] == high_j[j]) & (low_i[i] == low_j[j])
+            i, j = i[~one], j[~one]
         maps_i, least_i, most_i, extra_i = left.levels[level]
         maps_j, least_j, most_j, extra_j = right.levels[level]
         need = -(-num * (least_i[i] + least_j[j]) // (num + den))
@@ -110,9 +110,47 @@ def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, label:
                 once = (i <= j) if level > 1 else (i < j)
                 i, j = i[once], j[once]
             todo.append((level - 1, i, j))
-            continue
-        for x, y in zip(left.rows[i].tolist(), right.rows[j].tolist()):
+        elif len(i):
+            yield left.rows[i], right.rows[j]
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that link what similarity num / den connects.
+
+    Places of side 0 are compared with those of side 1; with one side only, with
+    each other. Sets are sorted, distinct and not empty. Places that share a label are
+    taken as linked already.
+    """
+    label = np.arange(len(sets)) if label is None else label.copy()
+    found = []
+    for left, right in _leaves(sets, side, num, den, label):
+        for x, y in zip(left.tolist(), right.tolist()):
             if label[x] != label[y] and similar(sets[x], sets[y], num, den):
                 found.append((x, y))
                 label[label == label[y]] = label[x]
     return found
+
+
+def pairs(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of similarity num / den, each once, in bounded runs; sets and sides as for ``forest``."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    values, members = np.unique(np.concatenate(sets), return_inverse=True)
+    members = members.astype(np.int32)
+    marks = np.zeros(len(values), bool)
+    for left, right in _leaves(sets, side, num, den, None):
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        shared = np.zeros(len(left), np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]]))
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x, others = left[start], right[start:stop]
+            own = members[starts[x] : starts[x] + sizes[x]]
+            marks[own] = True
+            ends = np.cumsum(sizes[others])
+            before = ends - sizes[others]
+            at = np.repeat(starts[others] - before, sizes[others]) + np.arange(ends[-1])
+            shared[start:stop] = np.add.reduceat(marks[members[at]], before, dtype=np.int64)
+            marks[own] = False
+        near = den * shared >= num * (sizes[left] + sizes[right] - shared)
+        yield left[near], right[near]

@@ -73,6 +73,39 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, width, num, den,
     assert got == brute(texts, width, num, den)
 
 
+@pytest.mark.parametrize("width,num,den,block", [(3, 90, 100, 1 << 20), (5, 80, 100, 300)])
+def test_links_are_counted_whole(spark, monkeypatch, width, num, den, block):
+    """Groups of three and more different similar texts, exact copies, a repeated row, an id of two texts."""
+    plain = jaccard_join.links
+    monkeypatch.setattr(jaccard_join, "links", lambda *given: plain(*given, block_members=block))
+    rows = [*planted().items(), (0, planted()[0]), (0, planted()[340 % len(planted())])]
+    docs = spark.createDataFrame([*rows, (None, rows[-1][1])], "doc_id long, text string").repartition(5)
+    sets = [set_of(t, width) for _, t in rows]
+    near = lambda a, b: den * len(a & b) >= num * len(a | b)
+    want = [(i, sum(k != m and bool(s) and bool(o) and near(s, o) for m, o in enumerate(sets))) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+    want.append((None, sum(near(sets[-1], o) for o in sets)))
+    got = [(r.id, r.n_links) for r in jaccard_join.linked(docs, "doc_id", "text", width, num, den, True).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert max(n for _, n in want) > 3
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_pairs_are_all_pairs(sides):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 62, 60, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(base[k % 6][k % 7 :], rng.integers(0, 1 << 62, k % 4, dtype=np.uint64))) for k in range(150)]
+    side = np.arange(len(sets)) % sides
+    want = {
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if (sides == 1 or side[i] != side[j]) and signature_tree.similar(sets[i], sets[j], 85, 100)
+    }
+    found = [(max(p), min(p)) for x, y in signature_tree.pairs(sets, side, 85, 100) for p in zip(x.tolist(), y.tolist())]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_odd_rows(spark):
     rows = jaccard_join.linked(odd_documents(spark), "doc_id", "text", 3, 90, 100).collect()
     assert len(rows) == 11
