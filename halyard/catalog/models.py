@@ -1,7 +1,7 @@
 """Spark ML jobs and attribution (survey E11-E14, L7-L10, L13-L16, L21, L23-L24, L27-L30, L32, X1-X2).
 
-Forests, clusterings and selections run at their full size. Runs of boosted trees use the
-budget SMALL: a full search is 80 fits of 250 rounds; the jobs' defaults are the full ones.
+All jobs run at their full size: the jobs' own default budgets, and ``T.Budget()`` where a query calls the
+parts of a job. Classification reads the features of the churn job.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from halyard.session import checkpoint_ready
 from halyard.sources import entities as E
 from halyard.sources.sinks import write_table
 
-SMALL = T.Budget(trees=10, rounds=5, depth=4, trials=1, folds=2)
+FULL = T.Budget()
+LABELLED = "label is not null"
 
 
 def scratch_registry(t) -> ModelRegistry:
@@ -171,50 +172,52 @@ def _(t):
     frame = supervised_months(E.finance(t)).dropna(subset=["target_revenue"])
     features = T.feature_columns(frame, ["order_month", "target_revenue"])
     rows = T.stored(T.assembled(frame.withColumn("label", F.col("target_revenue")), features, ["label"]))
-    found = [{"model_name": c.name, **T.REGRESSION[0](c.build().fit(rows), rows)} for c in T.regression_candidates(SMALL)]
+    found = [{"model_name": c.name, **T.REGRESSION[0](c.build().fit(rows), rows)} for c in T.regression_candidates(FULL)]
     return t.spark.createDataFrame([tuple(r.values()) for r in T.best_regression(found)], J.METRIC_SCHEMA["regression"])
 
 
 def churn_rows(t):
-    labelled = labelled_kpis(t).withColumn("label", F.col("churn_flag").cast("double"))
-    return T.stored(T.with_positive_weight(T.assembled(labelled, SELECTABLE, ["customer_id", "label"]), "label"))
+    """All customers, weighted, and the features of the churn job; customers without a label are explained, not trained on."""
+    table = customer_feature_table(t)
+    features = T.feature_columns(table, ["customer_id", *J.CHURN_LEAKS])
+    rows = T.assembled(table.withColumn("label", F.col("churn_flag").cast("double")), features, ["customer_id", "label"])
+    return T.stored(T.with_positive_weight(rows, "label")), features
 
 
 @query("l8_classification_candidates")
 def _(t):
-    rows = churn_rows(t)
-    found = [{"model_name": c.name, **T.CLASSIFICATION[0](c.build().fit(rows), rows)} for c in T.classification_candidates(SMALL)]
+    rows = churn_rows(t)[0].where(LABELLED)
+    found = [{"model_name": c.name, **T.CLASSIFICATION[0](c.build().fit(rows), rows)} for c in T.classification_candidates(FULL)]
     return t.spark.createDataFrame([tuple(r.values()) for r in T.best_classification(found)], J.METRIC_SCHEMA["classification"])
 
 
 @query("l9_random_search")
 def _(t):
-    budget = T.Budget(trees=5, rounds=4, depth=4, trials=2, folds=2)
-    rows = T.stored(T.stratified_folds(churn_rows(t), "customer_id", "label", budget.folds))
+    rows = T.stored(T.stratified_folds(churn_rows(t)[0].where(LABELLED), "customer_id", "label", FULL.folds))
     log = []
-    J._searched("classification", T.fold_frames(rows, budget.folds), budget, log)
+    J._searched("classification", T.fold_frames(rows, FULL.folds), FULL, log)
     return J.experiment_log(t.spark, log)
 
 
 @query("l10_model_comparison")
 def _(t):
-    rows = T.stored(T.stratified_folds(churn_rows(t), "customer_id", "label", SMALL.folds))
-    ranked = J._compared("classification", T.classification_candidates(SMALL), T.fold_frames(rows, SMALL.folds), [])
+    rows = T.stored(T.stratified_folds(churn_rows(t)[0].where(LABELLED), "customer_id", "label", FULL.folds))
+    ranked = J._compared("classification", T.classification_candidates(FULL), T.fold_frames(rows, FULL.folds), [])
     return t.spark.createDataFrame([tuple(r.values()) for r in ranked], J.METRIC_SCHEMA["classification"])
 
 
 @query("l13_revenue_forecast")
 def _(t):
-    return J.train_revenue(E.finance(t), scratch_registry(t), SMALL).results["forecast"]
+    return J.train_revenue(E.finance(t), scratch_registry(t)).results["forecast"]
 
 
 @query("l14_churn_predictions")
 def _(t):
-    return J.train_churn(customer_feature_table(t), scratch_registry(t), SMALL).results["predictions"]
+    return J.train_churn(customer_feature_table(t), scratch_registry(t)).results["predictions"]
 
 
 def demand_outcome(t):
-    return J.train_demand(E.order_lines(t), E.products(t), E.suppliers(t), scratch_registry(t), SMALL)
+    return J.train_demand(E.order_lines(t), E.products(t), E.suppliers(t), scratch_registry(t))
 
 
 @query("l16_demand_forecasts")
@@ -336,15 +339,16 @@ def _(t):
 
 @query("l32_feature_importance")
 def _(t):
-    rows = churn_rows(t)
+    labelled = labelled_kpis(t).withColumn("label", F.col("churn_flag").cast("double"))
+    rows = T.stored(T.with_positive_weight(T.assembled(labelled, SELECTABLE, ["customer_id", "label"]), "label"))
     model = T.classification_candidates(T.Budget(trees=150))[0].build().fit(rows)
     return T.importances(model, SELECTABLE, t.spark, top=15)
 
 
 def explained(t):
-    rows = churn_rows(t)
-    model = T.classification_candidates(SMALL)[0].build().fit(rows)
-    return B.attributions(model, rows, "customer_id", T.VECTOR, SELECTABLE)
+    rows, features = churn_rows(t)
+    model = T.classification_candidates(FULL)[0].build().fit(rows.where(LABELLED))
+    return B.attributions(model, rows, "customer_id", T.VECTOR, features)
 
 
 @query("x1_global_attribution")
@@ -362,9 +366,9 @@ def _(t):
 @query("x2_additivity", sql("select customer_id, true as adds_up from customers"))
 def _(t):
     """Base value plus all contributions gives the model's probability for every row."""
-    rows = churn_rows(t)
-    model = T.classification_candidates(SMALL)[0].build().fit(rows)
-    long = B.attributions(model, rows, "customer_id", T.VECTOR, SELECTABLE).where(F.col("class_id") == 1)
+    rows, features = churn_rows(t)
+    model = T.classification_candidates(FULL)[0].build().fit(rows.where(LABELLED))
+    long = B.attributions(model, rows, "customer_id", T.VECTOR, features).where(F.col("class_id") == 1)
     total = long.groupBy("customer_id").agg((F.max("base_value") + F.sum("attribution")).alias("total"))
     scores = T.scored(model, rows).select("customer_id", "score")
     return total.join(scores, "customer_id").select(
@@ -381,7 +385,7 @@ def _(t):
 )
 def _(t):
     """Every customer once, label and split as given, probability and class in agreement."""
-    found = J.train_churn(customer_feature_table(t), scratch_registry(t), T.Budget(trees=5, rounds=3, depth=3, trials=0, folds=2))
+    found = J.train_churn(customer_feature_table(t), scratch_registry(t))
     p = F.col("churn_probability")
     sound = p.between(0.0, 1.0) & ((p > 0.5) == (F.col("predicted_churn") == 1))
     return found.results["predictions"].select("customer_id", "actual_churn", "is_test", sound.alias("sound"))

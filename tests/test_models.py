@@ -207,3 +207,33 @@ def test_a_scaled_copy_of_a_rule_column_is_rejected(spark, t, registry):
     copied = finance.withColumn("dscr_minmax_scaled", F.col("dscr") / 5.0)
     out = J.train_risk("financial_risk_model", copied, registry, TINY)
     assert set(out.features) == {"revenue", "gross_margin", "order_count", "cogs", "opex", "ebitda"}
+
+
+FULL_JOBS = [
+    "l7_regression_candidates", "l8_classification_candidates", "l9_random_search", "l10_model_comparison", "l13_revenue_forecast",
+    "l14_churn_predictions", "l14_churn_prediction_rows", "l16_demand_forecasts", "l16_forecast_rows", "l16_stock_requirements",
+    "x1_global_attribution", "x2_local_attribution", "x2_additivity",
+]
+
+
+@pytest.mark.parametrize("name", FULL_JOBS)
+def test_registered_jobs_have_their_full_budget(spark, monkeypatch, name):
+    """The budget is caught before anything is trained."""
+    from __spark_entry__ import queries
+
+    class Caught(Exception):
+        pass
+
+    def candidates(*given):
+        raise Caught(given[-1])
+
+    def demand(orders, products, suppliers, registry, budget=T.Budget(trees=100, rounds=120)):
+        raise Caught(budget)
+
+    for part in ("classification_candidates", "regression_candidates", "random_trials"):
+        monkeypatch.setattr(T, part, candidates)
+    monkeypatch.setattr(J, "train_demand", demand)
+    with pytest.raises(Caught) as caught:
+        queries()[name](spark, "/root/testdata/sf0.001")
+    budget = caught.value.args[0]
+    assert (budget.trees, budget.rounds) >= (100, 120) and budget.folds == 5 and budget.trials >= 10 and budget.depth == 8
