@@ -121,7 +121,7 @@ def _(t):
 
     folder = scratch_folder(t)
     tables = {name: t.spark.read.parquet(write_table(df, folder, name)) for name, df in entity_tables(t).items()}
-    counted = write_package(feature_package(tables, as_of(), E.LINE_ORDER), f"{folder}/features", step=25)
+    counted = write_package(feature_package(tables, as_of(), E.LINE_ORDER), f"{folder}/features")
     report = F.col("dataset") == "feature_selection_report"
     return counted.select(
         "dataset",

@@ -237,3 +237,20 @@ def test_registered_jobs_have_their_full_budget(spark, monkeypatch, name):
         queries()[name](spark, "/root/testdata/sf0.001")
     budget = caught.value.args[0]
     assert (budget.trees, budget.rounds) >= (100, 120) and budget.folds == 5 and budget.trials >= 10 and budget.depth == 8
+
+
+def test_the_registered_package_eliminates_one_feature_at_a_refit(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from halyard.plans import features as X
+
+    class Caught(Exception):
+        pass
+
+    def report(*given, trees, step):
+        raise Caught(trees, step)
+
+    monkeypatch.setattr(S, "selection_report", report)
+    monkeypatch.setattr(X, "feature_package", lambda *given: {"customer_features": given[0]["customers"]})
+    with pytest.raises(Caught) as caught:
+        queries()["e23_feature_package"](spark, FOLDER)
+    assert caught.value.args == ((150, 250), 1)
