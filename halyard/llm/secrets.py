@@ -10,8 +10,9 @@ Defined cases: null text is empty and has no spans; empty tables give no rows
 (and a model without counts, which is uniform on both sides and finds nothing);
 repeated rows are scanned each; rows keep their other columns,
 but columns named base or spans are replaced. Spans are in code
-points, end exclusive. A string that touches a span of a fixed pattern is not
-reported again.
+points, end exclusive. Spans of the fixed patterns are cut out of a string, and what is left on
+either side is scored by itself if it has 20 characters. A string that is not random as a whole is
+searched for random stretches, which are reported up to the next of ``/ = _ -`` on both sides.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 
 CANDIDATE_CHARS = "[A-Za-z0-9+/_=-]"
-CANDIDATE = CANDIDATE_CHARS + "{20,}"
+LEAST_LENGTH = 20
+CANDIDATE = CANDIDATE_CHARS + f"{{{LEAST_LENGTH},}}"
 ORDINARY = CANDIDATE_CHARS + "{4,}"
 SAMPLE_ROWS = 2000
 ALPHABET = 66
@@ -126,6 +128,70 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(letters, start, step, lambda acc: acc["sum"])
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run that no span of the base covers, of the least length of a candidate."""
+
+    def part(start: Column, end: Column) -> Column:
+        text = F.substring(run["found"], (start - run["start"] + 1).cast("int"), (end - start).cast("int"))
+        made = F.struct(start.alias("start"), run["place"].alias("place"), end.alias("end"), run["kind"].alias("kind"), text.alias("found"))
+        return F.when(end - start >= LEAST_LENGTH, F.array(made)).otherwise(F.array().cast(SPANS)).cast(SPANS)
+
+    def step(acc: Column, b: Column) -> Column:
+        after = F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], F.least(b["start"], run["end"]))).alias("parts")
+        )
+        return F.when((b["start"] < run["end"]) & (run["start"] < b["end"]), after).otherwise(acc)
+
+    before = F.struct(run["start"].alias("at"), F.array().cast(SPANS).alias("parts"))
+    return F.aggregate(base, before, step, lambda acc: F.concat(acc["parts"], part(acc["at"], run["end"])))
+
+
+def _stretches(run: Column, model: list[float]) -> Column:
+    """Stretches of a run whose ratios exceed LEAST_MEAN by LEAST_RATIO in all.
+
+    The excess is summed from left to right; a stretch ends at its peak when the sum has fallen to
+    nothing, or by LEAST_RATIO.
+    """
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    none = F.array().cast("array<struct<a:int,z:int>>")
+
+    def ended(acc: Column) -> Column:
+        enough = (acc["peak"] >= LEAST_RATIO) & (acc["z"] - acc["a"] >= LEAST_LENGTH)
+        one = F.array(F.struct(acc["a"].alias("a"), acc["z"].alias("z")))
+        return F.concat(acc["out"], F.when(enough, one).otherwise(none)).cast("array<struct<a:int,z:int>>")
+
+    def state(before, i, a, z, total, peak, out) -> Column:
+        columns = {"before": before, "i": i, "a": a, "z": z, "sum": total, "peak": peak, "out": out}
+        return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+    def step(acc: Column, c: Column) -> Column:
+        more = F.when(acc["before"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["before"] * 128 + F.ascii(c)) - LEAST_MEAN)
+        total = acc["sum"] + more
+        after = acc["i"] + 1
+        higher = total > acc["peak"]
+        on = state(F.ascii(c), after, acc["a"], F.when(higher, after).otherwise(acc["z"]), total, F.greatest(total, acc["peak"]), acc["out"])
+        over = state(F.ascii(c), after, acc["i"], after, F.lit(0.0), F.lit(0.0), ended(acc))
+        return F.when((total <= 0) | (total < acc["peak"] - LEAST_RATIO), over).otherwise(on)
+
+    zero = F.lit(0)
+    letters = F.filter(F.split(run["found"], ""), lambda c: c != "")
+    found = F.aggregate(letters, state(F.lit(-1), zero, zero, zero, F.lit(0.0), F.lit(0.0), none), step, ended)
+
+    def span(s: Column) -> Column:
+        back = F.char_length(F.regexp_extract(F.substring(run["found"], F.lit(1), s["a"]), r"[A-Za-z0-9+]*$", 0))
+        on = F.char_length(F.regexp_extract(F.substring(run["found"], s["z"] + 1, F.char_length(run["found"])), r"^[A-Za-z0-9+]*", 0))
+        a, z = s["a"] - back, s["z"] + on
+        return F.struct(
+            (run["start"] + a).alias("start"),
+            run["place"].alias("place"),
+            (run["start"] + z).alias("end"),
+            run["kind"].alias("kind"),
+            F.substring(run["found"], a + 1, z - a).alias("found"),
+        )
+
+    return F.transform(found, span).cast(SPANS)
+
+
 def find(docs: DataFrame, text: str, model: list[float]) -> DataFrame:
     """The rows with ``base`` (spans of the fixed patterns) and ``spans`` (all), in order."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -135,10 +201,11 @@ def find(docs: DataFrame, text: str, model: list[float]) -> DataFrame:
     def is_random(s: Column) -> Column:
         return ratio(s["found"], model) >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (s["end"] - s["start"] - 1))
 
-    free = F.filter(RUNS, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.flatten(F.transform(RUNS, lambda s: _outside(s, F.col("base"))))
+    random = F.flatten(F.transform(RUNS, lambda s: F.when(is_random(s), F.array(s)).otherwise(_stretches(s, model))))
     return (
         with_base.withColumn(RUNS, free)
-        .withColumn(RUNS, F.filter(RUNS, is_random))
+        .withColumn(RUNS, F.array_distinct(random))
         .withColumn("spans", F.array_sort(F.concat("base", RUNS)))
         .drop(RUNS)
     )
