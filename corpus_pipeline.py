@@ -40,9 +40,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles of similarity 0.8 or more."""
-    groups = jaccard_join.linked(docs, "doc_id", "text", width=5, num=80, den=100)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-    return _only(docs, kept).dropDuplicates(["doc_id"])
+    # rows are told apart by id and text: ids may be null or repeated; only a row that is a full repetition shares its number
+    numbered = docs.withColumn("halyard_row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.linked(numbered, "halyard_row", "text", width=5, num=80, den=100).select("id", "component_id").distinct()
+    ids = numbered.select("halyard_row", "doc_id").distinct()
+    placed = groups.join(ids, groups["id"] == ids["halyard_row"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "halyard_row")).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("first.halyard_row").alias("halyard_row"))
+    return numbered.join(kept, "halyard_row", "left_semi").dropDuplicates(["halyard_row", "doc_id", "text"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,15 @@ def test_copies_go_and_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
 
 
+def test_distinct_texts_without_or_with_equal_ids_stay(spark):
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(words[k:] + words[:k][::-1]) for k in (0, 20, 40)] + [" ".join(words[::-1]), " ".join(f"other{i}" for i in range(60))]
+    rows = [(None, texts[0]), (None, texts[3]), (None, texts[4]), (1, texts[1]), (1, texts[2]), (2, texts[2]), (3, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in rows if (i, t) != (2, texts[2]))
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_on_odd_and_empty_documents(spark, stage):
     assert stage[1](spark, no_documents(spark), FOLDER).count() == 0
