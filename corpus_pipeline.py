@@ -31,8 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; one without a language gets the one found."""
+    """Documents in a language that can be told; one without a language gets the one found.
+
+    If no document with a letter has a language, there is nothing to tell by: all with a letter stay as they are.
+    """
     learned = langid.learn(docs, "text", "lang")
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, "text", learned, language="halyard_language", score="halyard_score")
     told = (F.col("halyard_language") != langid.UNKNOWN) & (F.col("halyard_score") >= LEAST_LANGUAGE_SCORE)
     return found.where(told).withColumn("lang", F.coalesce("lang", "halyard_language")).select(*docs.columns)

@@ -46,6 +46,13 @@ def test_distinct_texts_without_or_with_equal_ids_stay(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in rows if (i, t) != (2, texts[2]))
 
 
+def test_without_any_language_documents_with_letters_stay(spark):
+    rows = [(1, "a clean text"), (2, "été"), (3, "12 !?"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id, r.lang) for r in kept) == [(1, None), (2, None)]
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_on_odd_and_empty_documents(spark, stage):
     assert stage[1](spark, no_documents(spark), FOLDER).count() == 0
