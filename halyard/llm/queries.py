@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, exact_topk, hilbert, jaccard_join, langid, merge_replay, packing, resampling, secrets, vp_search
+from halyard.llm import (
+    adaptive_rules,
+    chat,
+    exact_topk,
+    hilbert,
+    jaccard_join,
+    langid,
+    lexical,
+    merge_replay,
+    packing,
+    repair,
+    resampling,
+    secrets,
+    vp_search,
+)
 from halyard.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +177,133 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     learned = langid.learn(docs.where(remainder != 2), "text", "lang")
     found = langid.predict(docs.select("doc_id", "text", (remainder == 2).alias("held_out")), "text", learned)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query(
+    "op11_mask_ranking",
+    r"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+    own as (select r, doc_id, t, len(t)::bigint as n from d where len(t) > 0),
+    total as (select count(*)::bigint as docs, sum(n)::bigint as terms from own),
+    items as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+    words as (select r, term, count(*)::bigint as tf from (select r, unnest(t) as term from own) group by 1, 2),
+    held as (select * from words where term in (select term from items)),
+    weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, total group by term, docs),
+    scored as (select i.item_id, s.r, s.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::bigint as score
+      from items i join held h on h.term = i.term join weights g on g.term = h.term join own s on s.r = h.r, total group by 1, 2, 3),
+    ranks as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0)
+    select item_id, rank::int as rank, doc_id, score from ranks where rank <= 10
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = lexical.ranked(docs, "doc_id", "text", items, "item_id", "text", 10)
+    return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
+
+
+@query(
+    "op13_adaptive_rules",
+    r"""
+    with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
+    words as (select r, unnest(ws) as a, unnest(range(len(ws))) as i from (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d)),
+    triples as (select r, i, a, lead(a) over p as b, lead(a, 2) over p as c from words window p as (partition by r order by i)),
+    twice as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from triples where c is not null) where n > 1),
+    repeats as (select r, count(distinct p)::bigint as n from (select r, unnest([i, i + 1, i + 2]) as p from twice) group by r),
+    lines as (select r, count(*)::bigint as n, (count(*) - count(distinct line))::bigint as again
+      from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+    m as (select d.r, doc_id, lang, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::bigint as n_words,
+        length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        coalesce(l.again, 0) as n_dup_lines, coalesce(p.n, 0) as n_repeat_words, coalesce(l.n, 0) as n_lines
+      from d left join lines l on l.r = d.r left join repeats p on p.r = d.r),
+    f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+    rates as (select r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as rate,
+      unnest([1000000 * n_symbols // greatest(word_chars, 1), 1000000 * n_dup_lines // greatest(n_lines, 1),
+        1000000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)]) as value from f),
+    b as (select *, greatest(length(bin(value)) - 6, 0) as bits from rates where not base_failed),
+    cells as (select lang, source, rate, ((value >> bits) << bits) + ((1::bigint << bits) - 1) // 2 as bucket, count(*) as n from b group by all),
+    levels as (select 2 as level, lang, source, rate, bucket, n from cells
+      union all select 1, lang, null, rate, bucket, sum(n) from cells group by all
+      union all select 0, null, null, rate, bucket, sum(n) from cells group by all),
+    through as (select *, sum(n) over (partition by level, lang, source, rate order by bucket) as so_far, sum(n) over (partition by level, lang, source, rate) as total from levels),
+    q as (select level, lang, source, rate, max(total) as total, min(bucket) filter (4 * so_far >= total) as q1, min(bucket) filter (4 * so_far >= 3 * total) as q3
+      from through group by all),
+    fence as (select level, lang, source, rate, total,
+        q3 + 4 * greatest(q3 - q1, case rate when 'symbols' then 5000 when 'word_length' then 250 else 100000 end) as high,
+        case rate when 'word_length' then q1 - 4 * greatest(q3 - q1, 250) end as low from q),
+    judged as (select x.r, bool_or(x.value > coalesce(a.high, g.high, z.high) or coalesce(x.value < coalesce(a.low, g.low, z.low), false)) as outside
+      from rates x left join fence a on a.level = 2 and a.total >= 200 and a.lang is not distinct from x.lang and a.source is not distinct from x.source and a.rate = x.rate
+        left join fence g on g.level = 1 and g.total >= 200 and g.lang is not distinct from x.lang and g.rate = x.rate
+        left join fence z on z.level = 0 and z.rate = x.rate group by x.r)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      not base_failed and not coalesce(outside, false) as kept from f join judged using (r)
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return adaptive_rules.judged(docs, "doc_id", "text", "lang", "source").select(
+        F.col("id").alias("doc_id"), *adaptive_rules.COUNTS[:5], "base_failed", "kept"
+    )
+
+
+def _more(state: int, cost: int | str, letter: str, line: str | None) -> str:
+    """SQL for the way to a state and one edit more: its key is the cost in nine digits and the letters."""
+    key = f"lpad((substr(s{state}.k, 1, 9)::bigint + {cost})::varchar, 9, '0') || substr(s{state}.k, 10) || '{letter}'"
+    lines = f"list_append(s{state}.t, {line})" if line else f"s{state}.t"
+    return f"case when s{state} is not null then {{'k': {key}, 't': {lines}}} end"
+
+
+def _row(to: int) -> str:
+    """SQL for the best way to a state that uses up a row."""
+    ways, stays, cut = [_more(to, 3, "D", None)], "fault in (0, 3)", "(fault = 3)::int"
+    for (state, role), after in repair.AFTER.items():
+        if after == to:
+            ways.append(f"case when {stays} and initial = '{' sua'[role]}' then {_more(state, cut, 'K', 'line')} end")
+    for state in range(4):
+        if repair.NEXT[state] == to:
+            ways.append(f"case when {stays} then {_more(state, f'2 + {cut}', 'R', repr(repair.ROLES[to] + ':') + ' || said')} end")
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserts(source: str, keys: str) -> str:
+    """SQL for the best ways when rows may be inserted."""
+    ways = {to: [f"s{to}", *(_more(s, 2, "I", repr(repair.ROLES[to] + ":")) for s in range(4) if repair.NEXT[s] == to)] for to in range(4) if to in repair.ROLES}
+    return f"select {keys}, " + ", ".join(f"list_min([{', '.join(ways[s])}]) as s{s}" if s in ways else f"s{s}" for s in range(4)) + f" from ({source})"
+
+
+@query(
+    "op12_block_repair",
+    rf"""
+    with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+    hashed as (select *, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::bigint),
+        lambda c, b: list_reduce([xor(c, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 20 as hit from raw),
+    damaged as (select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+        case hit when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when hit = 3 then 2 else 1 end)) from hashed where hit <> 0),
+    met as (select *, left(role, 1) as initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+        row_number() over (partition by conv_id, role, text order by turn nulls first) as earlier from damaged),
+    numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, earlier) as i from met),
+    faulty as (select conv_id, turn, initial, i, role || ':' || text as line, text as said, lag(initial) over (partition by conv_id order by i) as before,
+        case when bare = '' then 1 when earlier > 1 then 2 when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as fault from numbered),
+    walk as (select conv_id, 0::bigint as i, {{'k': '000000000', 't': []::varchar[]}} as s0, null::struct(k varchar, t varchar[]) as s1,
+        null::struct(k varchar, t varchar[]) as s2, null::struct(k varchar, t varchar[]) as s3 from (select distinct conv_id from conversations)
+      union all
+      select w.conv_id, w.i + 1, {_row(0)}, {_row(1)}, {_row(2)}, {_row(3)}
+      from ({_inserts(_inserts('walk', 'conv_id, i'), 'conv_id, i')}) w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1),
+    counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+        count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id),
+    last as ({_inserts(_inserts('walk', 'conv_id, i'), 'conv_id, i')}),
+    best as (select l.conv_id, l.i, list_min([l.s0, l.s3]) as s from last l
+      left join counts c on c.conv_id is not distinct from l.conv_id where l.i = coalesce(c.n, 0))
+    select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+      coalesce(illegal, 0) as illegal, substr(s.k, 1, 9)::bigint as cost, substr(s.k, 10) as audit, sha256(array_to_string(s.t, chr(10))) as repaired_sha256
+    from best b left join counts c on c.conv_id is not distinct from b.conv_id
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    found = repair.audited(repair.damaged(rows, "conv_id", "turn", "role", "text"))
+    return found.withColumnRenamed("conv", "conv_id")
