@@ -166,14 +166,15 @@ def _(t):
 
 @query("l7_regression_candidates")
 def _(t):
-    """Forest and boosted trees on the months, compared on the training rows."""
+    """Forest and boosted trees on the months, judged on the months after those they are fitted on."""
     from halyard.operators.series import supervised_months
 
+    candidates = T.regression_candidates(FULL)
     frame = supervised_months(E.finance(t)).dropna(subset=["target_revenue"])
     features = T.feature_columns(frame, ["order_month", "target_revenue"])
-    rows = T.stored(T.assembled(frame.withColumn("label", F.col("target_revenue")), features, ["label"]))
-    found = [{"model_name": c.name, **T.REGRESSION[0](c.build().fit(rows), rows)} for c in T.regression_candidates(FULL)]
-    return t.spark.createDataFrame([tuple(r.values()) for r in T.best_regression(found)], J.METRIC_SCHEMA["regression"])
+    rows = T.stored(T.assembled(frame.withColumn("label", F.col("target_revenue").cast("double")), features, ["order_month", "label"]))
+    found = T.fold_metrics("regression", candidates, T.expanding_folds(rows, "order_month", FULL.folds))
+    return J._table(t.spark, "regression", T.best_regression(found))
 
 
 def churn_rows(t):
@@ -186,24 +187,27 @@ def churn_rows(t):
 
 @query("l8_classification_candidates")
 def _(t):
-    rows = churn_rows(t)[0].where(LABELLED)
-    found = [{"model_name": c.name, **T.CLASSIFICATION[0](c.build().fit(rows), rows)} for c in T.classification_candidates(FULL)]
-    return t.spark.createDataFrame([tuple(r.values()) for r in T.best_classification(found)], J.METRIC_SCHEMA["classification"])
+    """Forest and boosted trees fitted on four fifths of the customers, judged on the others."""
+    candidates = T.classification_candidates(FULL)
+    split = T.one_split(T.holdout(churn_rows(t)[0].where(LABELLED), "customer_id", "label"), "customer_id")
+    return J._table(t.spark, "classification", T.best_classification(T.fold_metrics("classification", candidates, split)))
+
+
+def churn_folds(t):
+    return T.held_out_folds(T.stratified_folds(churn_rows(t)[0].where(LABELLED), "customer_id", "label", FULL.folds), "customer_id", FULL.folds)
 
 
 @query("l9_random_search")
 def _(t):
-    rows = T.stored(T.stratified_folds(churn_rows(t)[0].where(LABELLED), "customer_id", "label", FULL.folds))
-    log = []
-    J._searched("classification", T.fold_frames(rows, FULL.folds), FULL, log)
-    return J.experiment_log(t.spark, log)
+    trials, log = T.random_trials("classification", FULL), []
+    J.compared("classification", [], trials, churn_folds(t), log)
+    return J.experiment_log(t.spark, log[: len(trials)])
 
 
 @query("l10_model_comparison")
 def _(t):
-    rows = T.stored(T.stratified_folds(churn_rows(t)[0].where(LABELLED), "customer_id", "label", FULL.folds))
-    ranked = J._compared("classification", T.classification_candidates(FULL), T.fold_frames(rows, FULL.folds), [])
-    return t.spark.createDataFrame([tuple(r.values()) for r in ranked], J.METRIC_SCHEMA["classification"])
+    candidates = T.classification_candidates(FULL)
+    return J._table(t.spark, "classification", J.compared("classification", candidates, [], churn_folds(t), [])[0])
 
 
 @query("l13_revenue_forecast")

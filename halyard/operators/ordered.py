@@ -176,21 +176,21 @@ def ks_two_sample(reference: DataFrame, incoming: DataFrame, columns: list[str])
 # ---------------------------------------------------------------- ranked scores
 
 
-def score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score with their running totals."""
-    counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+def score_counts(scored: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score with their running totals, for every group."""
+    counts = scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    return running_totals(counts, [], ["score"], ["pos", "neg"])
+    return running_totals(counts, [*by], ["score"], ["pos", "neg"])
 
 
-def area_under_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
+def area_under_curve(scored: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """ROC area by mid-ranks: a positive beats every lower negative and half of the tied ones."""
-    counts = score_counts(scored, label, score)
+    counts = score_counts(scored, label, score, by)
     lower = (F.col("neg_through") - F.col("neg")).cast("double")
     wins = F.sum(F.col("pos").cast("double") * (lower + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return counts.agg(F.try_divide(wins, pairs).alias("roc_auc"))
+    return counts.groupBy(*by).agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
 def roc_points(scored: DataFrame, label: str, score: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.functions import half_up, ladder, safe_div, zero_if_none
-from halyard.operators.ordered import area_under_curve
+from halyard.operators.ordered import area_under_curve, same_keys
 
 # fixed values: risk limits
 SCORE_LEVELS = [(70.0, "High"), (35.0, "Medium")]
@@ -30,6 +30,18 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
+def regression_metrics_by(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
+    """MAE, RMSE and R2 of every group in one pass."""
+    error = F.col(actual) - F.col(predicted)
+    sums = df.groupBy(*by).agg(
+        F.avg(F.abs(error)).alias("mae"),
+        F.avg(error * error).alias("mse"),
+        F.sum(error * error).alias("residual"),
+        (F.var_pop(actual) * F.count(actual)).alias("variation"),
+    )
+    return sums.select(*by, "mae", F.sqrt("mse").alias("rmse"), (F.lit(1.0) - safe_div("residual", "variation")).alias("r2"))
+
+
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """Count per (label, prediction), zero where a pair does not occur."""
     cells = [(a, p) for a in (0, 1) for p in (0, 1)]
@@ -42,23 +54,32 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     )
 
 
-def classification_metrics(df: DataFrame, label: str, predicted: str, score: str) -> DataFrame:
-    """Accuracy, precision, recall, F1 (zero when undefined) and the ROC area."""
+def _cells(label: str, predicted: str) -> list[Column]:
+    pairs = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    return [F.count_if((F.col(label) == a) & (F.col(predicted) == p)).alias(n) for n, (a, p) in pairs.items()]
 
-    def cell(a: int, p: int) -> Column:
-        return F.count_if((F.col(label) == a) & (F.col(predicted) == p))
 
-    counts = df.agg(
-        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
-    )
+def _shares() -> list[Column]:
     tp = F.col("tp").cast("double")
-    return counts.select(
+    return [
         safe_div(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"),
         zero_if_none(safe_div(tp, F.col("tp") + F.col("fp"))).alias("precision"),
         zero_if_none(safe_div(tp, F.col("tp") + F.col("fn"))).alias("recall"),
         zero_if_none(safe_div(tp * 2.0, F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("f1"),
-        area_under_curve(df, label, score).scalar().alias("roc_auc"),
-    )
+    ]
+
+
+def classification_metrics(df: DataFrame, label: str, predicted: str, score: str) -> DataFrame:
+    """Accuracy, precision, recall, F1 (zero when undefined) and the ROC area."""
+    return df.agg(*_cells(label, predicted)).select(*_shares(), area_under_curve(df, label, score).scalar().alias("roc_auc"))
+
+
+def classification_metrics_by(df: DataFrame, by: list[str], label: str, predicted: str, score: str) -> DataFrame:
+    """The same of every group: one aggregate and one running total, however many groups."""
+    counts = df.groupBy(*by).agg(*_cells(label, predicted))
+    areas = area_under_curve(df, label, score, by)
+    joined = counts.join(areas, same_keys(counts, areas, by)).drop(*[areas[c] for c in by])
+    return joined.select(*by, *_shares(), "roc_auc")
 
 
 # ---------------------------------------------------------------- risk

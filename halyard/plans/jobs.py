@@ -57,29 +57,28 @@ def _table(spark: SparkSession, kind: str, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
 
 
-def _searched(kind: str, folds, budget: T.Budget, log: list[dict]) -> T.Candidate | None:
-    """The best random trial by the fold metrics."""
-    measure, rank = T.REGRESSION if kind == "regression" else T.CLASSIFICATION
-    rows, by_name = [], {}
-    for trial in T.random_trials(kind, budget):
-        found = T.cross_validated(trial, folds, measure)
-        log.append({"model_name": trial.name, "parameters": dict(trial.params), **found})
-        rows.append({"model_name": trial.name, **found})
-        by_name[trial.name] = trial
-    if not rows:
-        return None
-    best = by_name[rank(rows)[0]["model_name"]]
-    return T.Candidate("boosted_tuned", best.build, best.params)
-
-
-def _compared(kind: str, candidates: list[T.Candidate], folds, log: list[dict]) -> list[dict]:
-    measure, rank = T.REGRESSION if kind == "regression" else T.CLASSIFICATION
-    rows = []
-    for candidate in candidates:
-        found = T.cross_validated(candidate, folds, measure)
-        log.append({"model_name": candidate.name, "parameters": dict(candidate.params), **found})
-        rows.append({"model_name": candidate.name, **found})
-    return rank(rows)
+RANKS = {"regression": T.best_regression, "classification": T.best_classification}
+
+
+def compared(
+    kind: str, candidates: list[T.Candidate], trials: list[T.Candidate], folds: T.Folds, log: list[dict], balanced: bool = False
+) -> tuple[list[dict], list[T.Candidate]]:
+    """Candidates by their fold metrics, best first; the best trial joins them as ``boosted_tuned``.
+
+    Trials and candidates are fitted and judged together, each once.
+    """
+    rank = RANKS[kind]
+    rows = T.fold_metrics(kind, [*candidates, *trials], folds, balanced)
+    for candidate, row in zip([*trials, *candidates], [*rows[len(candidates) :], *rows[: len(candidates)]]):
+        log.append({"parameters": dict(candidate.params), **row})
+    own, tried = rows[: len(candidates)], rows[len(candidates) :]
+    if trials:
+        best = rank(tried)[0]
+        chosen = next(c for c in trials if c.name == best["model_name"])
+        candidates = [*candidates, T.Candidate("boosted_tuned", chosen.build, chosen.params, chosen.spec)]
+        own = [*own, {**best, "model_name": "boosted_tuned"}]
+        log.append({"parameters": dict(chosen.params), **own[-1]})
+    return rank(own), candidates
 
 
 def experiment_log(spark: SparkSession, log: list[dict]) -> DataFrame:
@@ -108,17 +107,12 @@ def train_revenue(finance: DataFrame, registry: ModelRegistry, budget: T.Budget
         )
     )
     known = vectors.where(F.col("label").isNotNull())
-    months = known.count()
-    splits = min(budget.folds, max(months - 1, 2))
-    folded = T.stored(T.time_folds(known, "order_month", splits))
-    folds = T.time_fold_frames(folded, splits)
+    splits = min(budget.folds, max(known.count() - 1, 2))
+    folds = T.expanding_folds(known, "order_month", splits)
 
     log: list[dict] = []
-    candidates = T.regression_candidates(budget)
-    tuned = _searched("regression", folds, budget, log)
-    if tuned:
-        candidates.append(tuned)
-    ranked = _compared("regression", candidates, folds, log)
+    candidates, trials = T.regression_candidates(budget), T.random_trials("regression", budget)
+    ranked, candidates = compared("regression", candidates, trials, folds, log)
     best = next(c for c in candidates if c.name == ranked[0]["model_name"])
     model = best.build().fit(known)
     metrics = {m: ranked[0][m] for m in ("mae", "rmse", "r2")}
@@ -165,15 +159,12 @@ def train_churn(
     split = T.stored(T.holdout(vectors, "customer_id", "label"))
     known = split.where(F.col("label").isNotNull())
     train = T.stored(T.stratified_folds(known.where(~F.col("is_test")), "customer_id", "label", budget.folds))
-    folds = [(T.with_positive_weight(part, "label"), test) for part, test in T.fold_frames(train, budget.folds)]
+    folds = T.held_out_folds(train, "customer_id", budget.folds)
     train = T.with_positive_weight(train, "label")
 
     log: list[dict] = []
-    candidates = T.classification_candidates(budget)
-    tuned = _searched("classification", folds, budget, log)
-    if tuned:
-        candidates.append(tuned)
-    ranked = _compared("classification", candidates, folds, log)
+    candidates, trials = T.classification_candidates(budget), T.random_trials("classification", budget)
+    ranked, candidates = compared("classification", candidates, trials, folds, log, balanced=True)
     best = next(c for c in candidates if c.name == ranked[0]["model_name"])
     model = best.build().fit(train)
     metrics = T.CLASSIFICATION[0](model, known.where("is_test"))

@@ -6,20 +6,24 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halyard.operators.boosting import Spec
 from halyard.operators.describe import numeric_columns
 from halyard.operators.ordered import hash_positions
-from halyard.operators.scoring import classification_metrics, regression_metrics
-from halyard.sources.scratch import written
+from halyard.operators.scoring import classification_metrics, classification_metrics_by, regression_metrics, regression_metrics_by
+from halyard.plans import boosted
+from halyard.plans.together import together
+from halyard.sources.scratch import drop_written, written
 
 SEED = 42
 VECTOR = "__features"
@@ -101,9 +105,16 @@ class Budget:
 
 @dataclass
 class Candidate:
+    """An estimator of Spark ML, or an ensemble of ``plans.boosted`` by its ``spec``."""
+
     name: str
     build: Callable[[], object]
     params: Mapping[str, object] = field(default_factory=dict)
+    spec: Spec | None = None
+
+
+def _boosted(name: str, spec: Spec, params: Mapping[str, object] | None = None) -> Candidate:
+    return Candidate(name, lambda: boosted.BoostedTrees(spec, VECTOR), params or {}, spec)
 
 
 def regression_candidates(budget: Budget) -> list[Candidate]:
@@ -114,18 +125,8 @@ def regression_candidates(budget: Budget) -> list[Candidate]:
             "random_forest",
             lambda: RandomForestRegressor(numTrees=budget.trees, maxDepth=budget.depth, minInstancesPerNode=2, **common),
         ),
-        Candidate("gradient_boosting", lambda: GBTRegressor(maxIter=budget.rounds, stepSize=0.05, maxDepth=3, **common)),
-        Candidate(
-            "boosted_subsample",
-            lambda: GBTRegressor(
-                maxIter=int(budget.rounds * 1.2),
-                stepSize=0.05,
-                maxDepth=4,
-                subsamplingRate=0.9,
-                featureSubsetStrategy="0.9",
-                **common,
-            ),
-        ),
+        _boosted("gradient_boosting", Spec(False, budget.rounds, 3, 0.05)),
+        _boosted("boosted_subsample", Spec(False, int(budget.rounds * 1.2), 4, 0.05, 0.9, 0.9)),
     ]
 
 
@@ -133,7 +134,7 @@ def classification_candidates(budget: Budget) -> list[Candidate]:
     common = {"featuresCol": VECTOR, "labelCol": "label", "weightCol": "weight", "seed": SEED}
     return [
         Candidate("random_forest", lambda: RandomForestClassifier(numTrees=budget.trees, maxDepth=budget.depth, **common)),
-        Candidate("gradient_boosting", lambda: GBTClassifier(maxIter=budget.rounds, **common)),
+        _boosted("gradient_boosting", Spec(True, budget.rounds, 5, 0.1)),
     ]
 
 
@@ -142,7 +143,7 @@ SEARCH = {
     "regression": {"rounds": (150, 450), "depth": (2, 6), "rate": (0.01, 0.15), "gain": (0.0, 1.0)},
     "classification": {"rounds": (100, 300), "depth": (3, 7), "rate": (0.01, 0.20), "gain": (0.0, 0.0)},
 }
-#: The rounds of a full budget; a smaller one shortens the drawn rounds in proportion.
+#: The rounds of a full budget; a smaller one shortens the drawn rounds in proportion, a larger one leaves the ranges.
 FULL_ROUNDS = {"regression": 250, "classification": 150}
 SHARE = (0.7, 1.0)
 
@@ -152,22 +153,18 @@ def random_trials(kind: str, budget: Budget, seed: int = SEED) -> list[Candidate
     ranges = SEARCH[kind]
     shallow, deep = ranges["depth"]
     draw = random.Random(seed)
-    common = {"featuresCol": VECTOR, "labelCol": "label", "seed": SEED}
-    if kind == "classification":
-        common["weightCol"] = "weight"
-    estimator = GBTRegressor if kind == "regression" else GBTClassifier
     trials = []
     for i in range(budget.trials):
         params = {
-            "maxIter": max(2, int(draw.randint(*ranges["rounds"]) * budget.rounds / FULL_ROUNDS[kind])),
-            "maxDepth": draw.randint(shallow, max(shallow, min(deep, budget.depth))),
-            "stepSize": math.exp(draw.uniform(*map(math.log, ranges["rate"]))),
-            "subsamplingRate": draw.uniform(*SHARE),
-            "featureSubsetStrategy": f"{min(draw.uniform(*SHARE), 0.999):.3f}",
-            "minInstancesPerNode": draw.randint(1, 6),
-            "minInfoGain": draw.uniform(*ranges["gain"]),
+            "rounds": max(2, int(draw.randint(*ranges["rounds"]) * min(1.0, budget.rounds / FULL_ROUNDS[kind]))),
+            "depth": draw.randint(shallow, max(shallow, min(deep, budget.depth))),
+            "rate": math.exp(draw.uniform(*map(math.log, ranges["rate"]))),
+            "rows_share": draw.uniform(*SHARE),
+            "columns_share": draw.uniform(*SHARE),
+            "least_weight": float(draw.randint(1, 6)),
+            "least_gain": draw.uniform(*ranges["gain"]),
         }
-        trials.append(Candidate(f"trial_{i + 1}", lambda p=params: estimator(**common, **p), params))
+        trials.append(_boosted(f"trial_{i + 1}", Spec(kind == "classification", seed=seed + i, **params), params))
     return trials
 
 
@@ -190,30 +187,98 @@ def _classification_row(model: Model, rows: DataFrame) -> dict[str, float]:
     return classification_metrics(scored(model, rows), "label", "prediction", "score").first().asDict()
 
 
-def cross_validated(
-    candidate: Candidate,
-    folds: Sequence[tuple[DataFrame, DataFrame]],
-    measure: Callable[[Model, DataFrame], dict[str, float]],
-) -> dict[str, float]:
-    """Mean metrics over the folds; each fit and each metric is a distributed job."""
-    rows = [measure(candidate.build().fit(train), test) for train, test in folds]
-    found = {}
-    for name in rows[0]:
-        values = [r[name] for r in rows if r[name] is not None]
-        found[name] = sum(values) / len(values) if values else None
-    return found
+@dataclass
+class Folds:
+    """Rows with a vector and a label, and bits for the folds that they train and test."""
 
+    rows: DataFrame
+    key: str
+    count: int
 
-def fold_frames(data: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
-    """(train, test) per ``fold`` column value."""
-    return [(data.where(F.col("fold") != k), data.where(F.col("fold") == k)) for k in range(folds)]
+    def frames(self) -> list[tuple[DataFrame, DataFrame]]:
+        """(train, test) of every fold."""
 
+        def part(column: str, k: int) -> DataFrame:
+            return self.rows.where(F.col(column).bitwiseAND(1 << k) != 0)
 
-def time_fold_frames(data: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
-    return [
-        tuple(data.where((F.col("fold") == k) & (F.col("part") == part)) for part in ("train", "test"))
-        for k in range(1, folds + 1)
-    ]
+        return [(part("__train", k), part("__test", k)) for k in range(self.count)]
+
+
+def held_out_folds(data: DataFrame, key: str, count: int) -> Folds:
+    """Every value of ``fold`` 0..count-1 is the test part once, all others train."""
+    own = F.expr("shiftleft(1, fold)")
+    return Folds(stored(data.select("*", own.alias("__test"), (F.lit((1 << count) - 1) - own).alias("__train"))), key, count)
+
+
+def one_split(data: DataFrame, key: str) -> Folds:
+    """One fold: the rows that ``is_test`` marks are the test part."""
+    test = F.col("is_test").cast("int")
+    return Folds(stored(data.select("*", test.alias("__test"), (1 - test).alias("__train"))), key, 1)
+
+
+def expanding_folds(known: DataFrame, order: str, splits: int) -> Folds:
+    """``time_folds`` as bits on the rows."""
+    fold = time_folds(known.select(order), order, splits).withColumn("bit", F.expr("shiftleft(1, fold - 1)"))
+    masks = fold.groupBy(order).agg(
+        *[F.sum(F.when(F.col("part") == part, F.col("bit")).otherwise(0)).cast("int").alias(f"__{part}") for part in ("train", "test")]
+    )
+    return Folds(stored(known.join(masks, order)), order, splits)
+
+
+def positive_weights(folds: Folds) -> list[float]:
+    """Negatives by positives in the training part of every fold, from one aggregate."""
+    bits = [F.col("__train").bitwiseAND(1 << k) != 0 for k in range(folds.count)]
+    found = folds.rows.agg(
+        *[F.struct(F.count_if(b & (F.col("label") == 1)).alias("p"), F.count_if(b & (F.col("label") == 0)).alias("n")).alias(f"f{k}") for k, b in enumerate(bits)]
+    ).first()
+    return [float(r.n / max(r.p, 1)) for r in found]
+
+
+def fold_metrics(kind: str, candidates: Sequence[Candidate], folds: Folds, balanced: bool = False) -> list[dict]:
+    """Mean metrics of every candidate over the folds.
+
+    All boosted ensembles are fitted by one call of ``plans.boosted``, the others in a pool of Spark fits. The scores of all
+    candidates and folds are written once, and judged by one aggregate and one running total. With ``balanced`` the
+    positive rows weigh as much as the negative ones of the fold's training part.
+    """
+    spark = folds.rows.sparkSession
+    positive = positive_weights(folds) if balanced else [1.0] * folds.count
+    numbers = [(i, k) for i in range(len(candidates)) for k in range(folds.count)]
+    model = {pair: n for n, pair in enumerate(numbers)}
+    own = [(i, k) for i, k in numbers if candidates[i].spec]
+    parts = []
+    if own:
+        tasks = [boosted.Task(candidates[i].spec, k, positive[k]) for i, k in own]
+        found = boosted.fold_scores(folds.rows, VECTOR, folds.key, F.col("__train"), F.col("__test"), folds.count, tasks)
+        parts.append(found.withColumn("model", F.get(F.array(*[F.lit(model[p]) for p in own]), F.col("model"))))
+    frames = folds.frames()
+
+    def fit(i: int, k: int) -> DataFrame:
+        train, test = frames[k]
+        if balanced:
+            train = train.withColumn("weight", F.when(F.col("label") == 1, positive[k]).otherwise(1.0))
+        out = scored(candidates[i].build().fit(train), test)
+        score = F.col("score") if "score" in out.columns else F.lit(None).cast("double")
+        return out.select(F.lit(model[i, k]).alias("model"), "label", "prediction", score.alias("score"))
+
+    parts += together(spark, [lambda i=i, k=k: fit(i, k) for i, k in numbers if not candidates[i].spec])
+    scores = written(reduce(DataFrame.unionByName, parts), "fold-scores")
+    if kind == "regression":
+        judged = regression_metrics_by(scores, ["model"], "label", "prediction")
+    else:
+        judged = classification_metrics_by(scores, ["model"], "label", "prediction", "score")
+    names = [c for c in judged.columns if c != "model"]
+    by_model = {r.model: r for r in judged.collect()}
+    drop_written(scores)
+    out = []
+    for i, candidate in enumerate(candidates):
+        rows = [by_model[model[i, k]] for k in range(folds.count) if model[i, k] in by_model]
+        means = {}
+        for name in names:
+            values = [r[name] for r in rows if r[name] is not None]
+            means[name] = sum(values) / len(values) if values else None
+        out.append({"model_name": candidate.name, **means})
+    return out
 
 
 def best_regression(rows: list[dict]) -> list[dict]:
