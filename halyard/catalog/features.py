@@ -120,6 +120,52 @@ def _(t):
     return N.indicator_rows(people, "customer_id", ["segment", "region", "day"])
 
 
+ONE_HOT_WORDS = """select *, row_number() over (order by column_name, value) - 1 as i from (
+  select distinct 'segment' as column_name, segment as value from customers union select distinct 'day', strftime(signup_date, '%Y-%m-%d') from customers)"""
+
+
+@query(
+    "e2_one_hot_sparse",
+    sql(
+        """select customer_id, (select count(*) from words) as size, least(a.i, b.i) as first_index, greatest(a.i, b.i) as second_index, 2e0 as total from customers
+        join words a on a.column_name = 'segment' and a.value = segment join words b on b.column_name = 'day' and b.value = strftime(signup_date, '%Y-%m-%d')""",
+        words=ONE_HOT_WORDS,
+    ),
+)
+def _(t):
+    """One sparse vector a customer over all values of two columns, none of them on the driver."""
+    people = E.customers(t).select("customer_id", "segment", F.date_format("signup_date", "yyyy-MM-dd").alias("day"))
+    out = N.one_hot_sparse(people, "customer_id", ["segment", "day"])
+    return out.select(
+        "customer_id",
+        "size",
+        F.get("indices", F.lit(0)).alias("first_index"),
+        F.get("indices", F.lit(1)).alias("second_index"),
+        F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"),
+    )
+
+
+OUT_OF_FOLD = """case when coalesce(s.n, 0) - coalesce(o.n, 0) > 0
+  then (coalesce(s.total, 0) - coalesce(o.total, 0) + m.mean*10e0)/(s.n - coalesce(o.n, 0) + 10e0) else m.mean end"""
+
+
+@query(
+    "e5_out_of_fold_encoding",
+    sql(
+        f"""select c.customer_id, {hu(OUT_OF_FOLD, 8)} as region_target_encoded
+        from folded c left join (select region, sum(n) as n, sum(total) as total from by_fold where region is not null group by region) s on s.region = c.region
+          left join by_fold o on o.region = c.region and o.fold = c.fold
+          join (select f.fold, sum(b.total)/sum(b.n) as mean from (select distinct fold from folded) f join by_fold b on b.fold <> f.fold group by f.fold) m on m.fold = c.fold""",
+        folded="select customer_id, region, churn_flag::double as y, customer_id % 5 as fold from customers",
+        by_fold="select region, fold, count(y) as n, sum(y) as total from folded group by region, fold",
+    ),
+)
+def _(t):
+    people = E.customers(t).select("customer_id", "region", "churn_flag")
+    out = N.out_of_fold(people, "customer_id", ["region"], "churn_flag", fold=F.pmod(F.col("customer_id"), F.lit(5)))
+    return out.select("customer_id", half_up("region_target_encoded", 8).alias("region_target_encoded"))
+
+
 @query(
     "e3_ordinal",
     sql("select order_id, case order_status when 'Cancelled' then 0e0 when 'Shipped' then 1e0 else -1e0 end as order_status_ordinal from order_lines"),

@@ -18,6 +18,7 @@ from halyard.catalog.windows import DEMAND_SET, PANEL
 from halyard.functions import half_up
 from halyard.operators import attribution as B
 from halyard.operators import metrics as M
+from halyard.operators.information import neighbour_information
 from halyard.operators.union import stacked
 from halyard.plans import jobs as J
 from halyard.plans import selecting as S
@@ -69,6 +70,36 @@ def _(t):
     return S.mutual_information(bands, FEW, "churn_flag", bins=2000).withColumn("information", half_up("information", 8))
 
 
+MEASURED = ["engagement_score", "total_orders", "days_since_last_order"]
+
+
+def psi(n: str) -> str:
+    """Digamma of a whole number by its series, as ``operators.information``."""
+    x = f"({n} + 8e0)"
+    series = f"ln{x} - 0.5e0/{x} - 1e0/(12e0*{x}*{x}) + 1e0/(120e0*{x}**4) - 1e0/(252e0*{x}**6)"
+    return f"({series} - list_sum(list_transform(range(8), lambda i: 1e0/({n} + i))))"
+
+
+INFORMATION = f"greatest({psi('count(*)')} + avg({psi('used')}) - avg({psi('size')}) - avg({psi('m')}), 0)"
+
+
+@query(
+    "e11_neighbour_information",
+    sql(
+        f"""select f as feature, {hu(INFORMATION, 8)} as information from (select r.f, r.used, r.size,
+          (select count(*) from long u where u.f = r.f and (u.v > r.v - r.radius and u.v < r.v + r.radius or r.radius = 0 and u.v = r.v)) as m from radii r) group by f""",
+        long=" union all ".join(f"select '{c}' as f, customer_id, churn_flag as c, coalesce({c}, 0)::double as v from customer_kpis" for c in MEASURED),
+        gaps="""select a.f, a.customer_id, a.v, abs(a.v - b.v) as gap, row_number() over (partition by a.f, a.customer_id order by abs(a.v - b.v)) as place,
+          count(*) over (partition by a.f, a.customer_id) + 1 as size from long a join long b on a.f = b.f and a.c = b.c and a.customer_id <> b.customer_id""",
+        radii="select f, customer_id, v, gap as radius, size, least(3, size - 1) as used from gaps where place = least(3, size - 1)",
+    ),
+)
+def _(t):
+    """By the third neighbour of the same class; customers without a class take no part."""
+    kpis = E.customer_kpis(t).select("churn_flag", *MEASURED)
+    return neighbour_information(kpis, MEASURED, "churn_flag").withColumn("information", half_up("information", 8))
+
+
 @query("e12_recursive_elimination")
 def _(t):
     left = S.eliminated(labelled_kpis(t), SELECTABLE, "churn_flag", 3)

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions import calendar_parts, half_up
 from halyard.operators.describe import numeric_columns
-from halyard.operators.ordered import exact_quantiles
+from halyard.operators.ordered import exact_quantiles, running_totals
+from halyard.sources.scratch import written
 
 MAX_CATEGORIES = 10_000
 SMOOTHING = 10.0
@@ -74,6 +76,7 @@ def encode(
         total = sum(r.n for r in first)
         seen, summed = sum(r.target_n for r in first), sum(r.target_sum or 0.0 for r in first)
     else:
+        stats = written(stats, "category-stats")
         whole = stats.where(F.col("column_name") == columns[0]).agg(F.sum("n"), F.sum("target_n"), F.sum("target_sum"))
         total, seen, summed = whole.first()
     mean = summed / seen if seen else None
@@ -103,12 +106,87 @@ def encode(
     return out.select(*df.columns, *named)
 
 
+def out_of_fold(
+    df: DataFrame, key: str, columns: Sequence[str], target: str, folds: int = 5, smoothing: float = SMOOTHING, seed: int = 42, fold: Column | None = None
+) -> DataFrame:
+    """Adds ``<c>_target_encoded`` whose value for a row is learned from the rows of the other folds only.
+
+    The fold is the hash of the key, or a column 0..folds-1. One pass adds up the target by (column, value, fold); the total of a value less the own
+    fold's is the smoothed mean of the others. A value that no other fold has, and a missing one,
+    gets the mean of the other folds.
+    """
+    fold = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)) if fold is None else fold).cast("int")
+    texts = [F.col(c).cast("string").alias(c) for c in columns]
+    narrow = df.select(fold.alias("__fold"), F.col(target).cast("double").alias("__target"), *texts)
+    sums = written(
+        narrow.unpivot(["__fold", "__target"], list(columns), "column_name", "value")
+        .groupBy("column_name", "value", "__fold")
+        .agg(F.count("__target").alias("n"), half_up(F.sum("__target"), 4).alias("total")),
+        "out-of-fold-sums",
+    )
+    of_fold = {r["__fold"]: (r.n, r.total or 0.0) for r in sums.where(F.col("column_name") == columns[0]).groupBy("__fold").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    means = []
+    for f in range(folds):
+        n, total = (sum(v[i] for k, v in of_fold.items() if k != f) for i in (0, 1))
+        means.append(F.lit(total / n if n else None).cast("double"))
+    # every value has a row for every fold it must be encoded in: its total less that fold's part
+    totals = sums.groupBy("column_name", "value").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("__fold", F.struct("n", "total")))).alias("own")
+    )
+    out = df.withColumn("__fold", fold).withColumn("__mean", F.get(F.array(*means), F.col("__fold")))
+    for c in columns:
+        table = totals.where((F.col("column_name") == c) & F.col("value").isNotNull()).select(
+            F.col("value").alias(f"__{c}_value"), F.struct("n", "total", "own").alias(f"__{c}")
+        )
+        out = out.join(table, out[c].cast("string") == table[f"__{c}_value"], "left").drop(f"__{c}_value")
+    named = []
+    for c in columns:
+        own = F.try_element_at(F.col(f"__{c}")["own"], F.col("__fold"))
+        n = F.col(f"__{c}")["n"] - F.coalesce(own["n"], F.lit(0))
+        total = F.coalesce(F.col(f"__{c}")["total"], F.lit(0.0)) - F.coalesce(own["total"], F.lit(0.0))
+        smoothed = (total + F.col("__mean") * F.lit(smoothing)) / (n + F.lit(smoothing))
+        named.append(F.when(n > 0, smoothed).otherwise(F.col("__mean")).alias(f"{c}_target_encoded"))
+    return out.select(*df.columns, *named)
+
+
 def categories(df: DataFrame, column: str) -> list[str]:
     """The sorted distinct values, missing as ``Unknown``: the names of the columns to come."""
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN)).alias("v")).distinct()
     return sorted(r.v for r in values.collect())
 
 
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A written table (column_name, value, index): the values of all columns, numbered 0.. in order of column and value.
+
+    The distinct values are range-partitioned; a slice's first number is the count of the slices before it.
+    """
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in columns]
+    values = df.select(*texts).unpivot([], list(columns), "column_name", "value").distinct()
+    numbered = running_totals(values.withColumn("one", F.lit(1)), [], ["column_name", "value"], ["one"])
+    return written(numbered.select("column_name", "value", (F.col("one_through") - 1).cast("long").alias("index")), "one-hot-dictionary")
+
+
+def one_hot_sparse(df: DataFrame, key: str, columns: Sequence[str], words: DataFrame | None = None) -> DataFrame:
+    """(key, size, indices, values): one sparse vector a row, over the values of all columns.
+
+    ``words`` is a dictionary, fitted here when not given; a value it does not hold gives no entry. The key names a row.
+    Nothing is collected, and the number of values changes no plan; ``as_vector`` makes a Spark ML vector of the three columns.
+    """
+    words = dictionary(df, columns) if words is None else words
+    found = indicator_rows(df, key, columns).join(words, ["column_name", "value"], "left")
+    entries = F.sort_array(F.collect_list("index"))  # one for each column at most
+    size = words.agg(F.count("*")).scalar()
+    return found.groupBy(key).agg(entries.alias("indices")).select(
+        key, size.alias("size"), "indices", F.transform("indices", lambda _: F.lit(1.0)).alias("values")
+    )
+
+
+def as_vector(size: str = "size", indices: str = "indices", values: str = "values"):
+    """A Spark ML vector from the columns of ``one_hot_sparse``."""
+    make = F.udf(lambda n, i, v: Vectors.sparse(n, i, v), VectorUDT())
+    return make(size, indices, values)
+
+
 def indicator_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The same indicators as rows (key, column_name, value), one for each 1, for columns of any number of values."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in columns]
@@ -121,7 +199,7 @@ def one_hot(
     """One 0/1 column ``<column>_<value>`` per category, all in one projection.
 
     A mapping gives the categories; otherwise they are read from the data. A column
-    for each value is what is asked for here; ``indicator_rows`` needs none.
+    for each value is what is asked for here; ``one_hot_sparse`` needs none.
     """
     if not isinstance(columns, Mapping):
         columns = {c: categories(df, c) for c in columns if c in df.columns}

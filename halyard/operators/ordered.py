@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from halyard.sources.scratch import written
 
@@ -143,8 +146,47 @@ def kolmogorov_tail(distance: Column, n: Column, m: Column, terms: int = 100) ->
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+#: Both samples at most this large: the exact p-value; above, the series. The reference changes over here too (fixed value).
+EXACT_ROWS = 10_000
+
+
+def lattice_tail(n: int, m: int, gap: int) -> float:
+    """Share of the orders of n and m rows in which the two distributions part by gap / (n m) or more.
+
+    An order is a path over the lattice (i, j); the last step into (i, j) came from i - 1 with probability
+    i / (i + j). All paths are followed diagonal by diagonal; one that reaches the gap counts whatever follows,
+    so small shares keep their digits.
+    """
+    n, m = min(n, m), max(n, m)
+    if gap <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    reached = np.zeros(n + 1)
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - m), min(n, s)  # the diagonal's part of the lattice
+        at = i[low : high + 1]
+        stay = reached[low : high + 1] * (s - at)
+        stay[1 if low == 0 else 0 :] += reached[max(low - 1, 0) : high] * at[1 if low == 0 else 0 :]
+        reached[low : high + 1] = np.where(np.abs(at * m - (s - at) * n) >= gap, 1.0, stay / s)
+        if low:
+            reached[low - 1] = 0.0
+    return float(min(reached[n], 1.0))
+
+
+@F.pandas_udf(DoubleType())
+def _exact_tail(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """One row a tested column; null where a sample is empty or larger than ``EXACT_ROWS``."""
+
+    def tail(d, a, b):
+        if pd.isna(d) or min(a, b) < 1 or max(a, b) > EXACT_ROWS:
+            return None
+        return lattice_tail(int(a), int(b), round(d * a * b))
+
+    return pd.Series([tail(*row) for row in zip(distance, n, m)], dtype="float64")
+
+
 def ks_two_sample(reference: DataFrame, incoming: DataFrame, columns: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance and p-value per column."""
+    """Two-sample Kolmogorov-Smirnov distance and p-value per column, exact for samples of at most ``EXACT_ROWS``."""
 
     def side(df: DataFrame, is_reference: bool) -> DataFrame:
         return df.select(
@@ -170,7 +212,8 @@ def ks_two_sample(reference: DataFrame, incoming: DataFrame, columns: list[str])
         F.max("ref_rows").alias("ref_rows"), F.max("inc_rows").alias("inc_rows"), F.max(gap).alias("statistic")
     )
     n, m = F.col("ref_rows").cast("double"), F.col("inc_rows").cast("double")
-    return found.select("*", kolmogorov_tail(F.col("statistic"), n, m).alias("p_value"))
+    exact = _exact_tail("statistic", "ref_rows", "inc_rows")
+    return found.select("*", F.coalesce(exact, kolmogorov_tail(F.col("statistic"), n, m)).alias("p_value"))
 
 
 # ---------------------------------------------------------------- ranked scores

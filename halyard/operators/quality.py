@@ -110,28 +110,94 @@ def counts_and_ranges(
     return _graded(_unpacked(df.agg(F.array(*checks).alias("s"))))
 
 
+def _tagged(df: DataFrame, children: list[tuple[int, str]], parents: list[tuple[int, str]], sums: list[tuple[int, Column]]) -> DataFrame:
+    """(rule, key, n, parent) entries of one table, from one read of it.
+
+    A row gives an entry for every rule that it takes part in: its key as a child, its key as a parent, and
+    one for a plain count (rows, values out of range) that it adds to.
+    """
+
+    def entry(rule: int, key: Column, n: int, parent: bool) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(n).cast("long").alias("n"), F.lit(parent).alias("parent"))
+
+    entries = [entry(rule, F.col(key), 1, False) for rule, key in children]
+    entries += [entry(rule, F.col(key), 0, True) for rule, key in parents]
+    entries += [F.when(hit, entry(rule, F.lit(None), 1, False)) for rule, hit in sums]
+    return df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+def _out_of_range(column: str, low: float | None, high: float | None) -> Column:
+    tests = [f"{column} < {low}"] * (low is not None) + [f"{column} > {high}"] * (high is not None)
+    return F.expr(" or ".join(tests) or "false")
+
+
 def validate(
     tables: Mapping[str, DataFrame],
     minimum_rows: Mapping[str, int] = rules.MINIMUM_ROWS,
 ) -> DataFrame:
     """Every rule on every table as one long report.
 
-    Columns, row count and ranges of a table share one aggregate; keys and
-    references take one each.
+    Each table is read once: its rows become tagged entries of all rules that concern it, as child or as parent. The
+    entries of all tables are counted together by rule and key, which adds up frequent keys before the one
+    shuffle, and the rules are read off these counts.
     """
-    parts = []
+    listed: list[tuple] = []  # rule, table, check, kind, minimum, good, bad before and after the count
+    children: dict[str, list] = {name: [] for name in tables}
+    parents: dict[str, list] = {name: [] for name in tables}
+    sums: dict[str, list] = {name: [] for name in tables}
+
+    def rule(table: str, check: str, kind: str, good: str, before: str = "", after: str = "", minimum: int = 0) -> int:
+        listed.append((len(listed), table, check, kind, minimum, good, before, after))
+        return len(listed) - 1
+
     for name, df in tables.items():
-        checks = [_columns_check(df, name, rules.REQUIRED_COLUMNS[name])]
+        missing = [c for c in rules.REQUIRED_COLUMNS[name] if c not in df.columns]
+        rule(name, "required_columns", "given", "all columns present", "missing: " + ", ".join(missing), "", len(missing))
         if name in minimum_rows:
-            checks.append(_rows_check(name, minimum_rows[name]))
-        checks += [_range_check(df, name, c, *limits) for c, limits in rules.NUMERIC_RANGES.get(name, {}).items()]
-        parts.append(_unpacked(df.agg(F.array(*checks).alias("s"))))
+            least = minimum_rows[name]
+            number = rule(name, "minimum_row_count", "least", "enough rows", f"fewer than {least} rows", "", least)
+            sums[name].append((number, F.lit(True)))
+        for column, limits in rules.NUMERIC_RANGES.get(name, {}).items():
+            if column in df.columns:
+                number = rule(name, f"range_{column}", "sum", f"{column} in range", "", f" values of {column} out of range")
+                sums[name].append((number, _out_of_range(column, *limits)))
+            else:
+                rule(name, f"range_{column}", "skip", "")
         if name in rules.PRIMARY_KEYS:
-            parts.append(_key_checks(df, name, rules.PRIMARY_KEYS[name]))
+            key = rules.PRIMARY_KEYS[name]
+            children[name].append((rule(name, "primary_key_uniqueness", "extra", "key is unique", f"repeated values of {key}"), key))
     for name, key, parent, parent_key in rules.FOREIGN_KEYS:
         if name in tables and parent in tables:
-            parts.append(_reference_checks(tables[name], name, key, tables[parent], parent, parent_key))
-    return _graded(stacked(parts))
+            text = f" rows without a parent for {key}"
+            number = rule(name, f"foreign_key_{key}_to_{parent}", "lost", "every reference resolves", "", text)
+            children[name].append((number, key))
+            parents[parent].append((number, parent_key))
+
+    parts = [_tagged(df, children[n], parents[n], sums[n]) for n, df in tables.items() if children[n] or parents[n] or sums[n]]
+    counted = stacked(parts).groupBy("rule", "key").agg(F.sum("n").alias("n"), F.bool_or("parent").alias("parent"))
+    found = counted.groupBy("rule").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.col("n") - 1).alias("extra"),
+        # a missing key has no parent, whatever the parents hold
+        F.sum(F.when(F.col("parent") & F.col("key").isNotNull(), 0).otherwise(F.col("n"))).alias("lost"),
+    )
+    spark = next(iter(tables.values())).sparkSession
+    schema = "rule int, table_name string, check_name string, kind string, minimum long, good string, before string, after string"
+    told = spark.createDataFrame(listed, schema).join(F.broadcast(found), "rule", "left")  # one row a rule
+    kind, minimum = F.col("kind"), F.col("minimum")
+
+    def counted_or_zero(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(0))
+
+    failed = (
+        F.when(kind == "given", minimum)
+        .when(kind == "least", F.greatest(minimum - counted_or_zero("total"), F.lit(0)))
+        .when(kind == "sum", counted_or_zero("total"))
+        .when(kind == "extra", counted_or_zero("extra"))
+        .when(kind == "lost", counted_or_zero("lost"))
+    )
+    bad = F.concat("before", F.when(kind.isin("sum", "lost"), failed.cast("string")).otherwise(F.lit("")), F.col("after"))
+    return _graded(told.select("table_name", "check_name", failed.alias("failed_records"), "good", bad.alias("bad")))
 
 
 def summarise(report: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from halyard.operators import recommend as A
 from halyard.operators import rollups as R
 from halyard.operators import scoring as Z
 from halyard.operators.describe import correlated_columns, correlation_pairs, describe_all
+from halyard.operators.information import neighbour_information
 from halyard.sources import sinks, tables
+from tests.checking import plan
 
 
 def rows(df):
@@ -100,8 +103,84 @@ def test_one_hot_and_ordinal(sample):
     assert [r.category_Unknown for r in hot.collect()] == [0, 0, 0, 0, 1]
     placed = N.ordinal(sample, {"category": ["B", "A"]})
     assert [r.category_ordinal for r in placed.collect()] == [1, 0, 1, -1, -1]
-    with pytest.raises(ValueError):
-        N.categories(sample, "segment", limit=2)
+    assert N.categories(sample, "category") == ["A", "B", "C", "Unknown"]
+
+
+def test_one_hot_of_a_hundred_thousand_values(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    n = 100_000
+    df = spark.range(n, numPartitions=4).select("id", F.concat(F.lit("v"), F.col("id") % n).alias("a"), (F.col("id") % 3).alias("b"))
+
+    def collected(*given):
+        raise AssertionError("collected")
+
+    for name in ("collect", "toPandas", "toLocalIterator", "first"):
+        monkeypatch.setattr(Classic, name, collected)
+    words = N.dictionary(df, ["a", "b"])
+    out = N.one_hot_sparse(df, "id", ["a", "b"], words)
+    monkeypatch.undo()
+    shape = words.agg(F.count("*"), F.min("index"), F.max("index"), F.count_distinct("index")).first()
+    assert tuple(shape) == (n + 3, 0, n + 2, n + 3)
+    ordered = words.orderBy("column_name", "value").select("index").limit(1000)
+    assert [r["index"] for r in ordered.collect()] == list(range(1000))
+    assert out.where("size = 100003 and size(indices) = 2 and size(values) = 2").count() == n
+
+
+def test_sparse_one_hot_agrees_with_wide_columns(spark, sample):
+    rows = sample.withColumn("id", F.monotonically_increasing_id())
+    words = N.dictionary(rows, ["category", "segment"])
+    names = {r["index"]: f"{r.column_name}_{r.value}" for r in words.collect()}
+    wide = {r.id: r for r in N.one_hot(rows, ["category", "segment"]).collect()}
+    sparse = N.one_hot_sparse(rows, "id", ["category", "segment"]).select("*", N.as_vector().alias("v"))
+    for r in sparse.collect():
+        assert {names[i] for i in r.indices} == {c for c in names.values() if wide[r.id][c] == 1.0}
+        assert r.v.size == len(names) and list(r.v.indices) == list(r.indices)
+    unseen = N.one_hot_sparse(spark.createDataFrame([(1, "new")], "id int, category string"), "id", ["category"], words).first()
+    assert unseen.indices == [] and unseen["size"] == len(names)
+
+
+def test_out_of_fold_means_leave_the_own_fold_out(spark):
+    rows = [(i, f"c{i % 3}" if i % 7 else None, float(i % 2 + i % 3) if i % 5 else None) for i in range(60)] + [(100, "alone", 9.0)]
+    df = spark.createDataFrame(rows, "id long, c string, y double")
+    out = N.out_of_fold(df, "id", ["c"], "y", folds=4)
+    fold = {r.id: r.f for r in df.select("id", F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(4)).alias("f")).collect()}
+    got = {r.id: r.c_target_encoded for r in out.collect()}
+    assert out.columns == ["id", "c", "y", "c_target_encoded"] and len(got) == 61
+    for i, c, _ in rows:
+        others = [(cc, y) for j, cc, y in rows if fold[j] != fold[i] and y is not None]
+        mean = sum(y for _, y in others) / len(others)
+        same = [y for cc, y in others if cc == c and c is not None]
+        want = (sum(same) + mean * 10) / (len(same) + 10) if same else mean
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_neighbour_information_against_brute_force(spark):
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / i for i in range(1, n))
+
+    draw = random.Random(6)
+    rows = [(draw.choice("abc"), round(draw.gauss(0, 1) * 4) / 4, draw.random(), float(draw.randint(0, 2)), None) for _ in range(500)]
+    rows = [(c, x + (c == "a"), y, z, w) for c, x, y, z, w in rows] + [("lonely", 0.0, 0.5, 1.0, 2.0), (None, 1.0, 1.0, 1.0, 1.0), ("two", 0.25, 0.5, 0.0, 0.0), ("two", 3.0, 0.6, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cls string, x double, y double, z double, w double").repartition(5)
+    got = {r.feature: r.information for r in neighbour_information(df, ["x", "y", "z", "w"], "cls").collect()}
+    for f in range(1, 5):
+        pairs = [(r[0], r[f] or 0.0) for r in rows if r[0] not in (None, "lonely")]
+        total = 0.0
+        for i, (c, v) in enumerate(pairs):
+            same = sorted(abs(v - u) for j, (d, u) in enumerate(pairs) if d == c and j != i)
+            used = min(3, len(same))
+            radius = same[used - 1]
+            m = sum(abs(v - u) < radius if radius else v == u for _, u in pairs)
+            total += psi(used) - psi(len(same) + 1) - psi(m)
+        want = max(psi(len(pairs)) + total / len(pairs), 0.0)
+        assert got["xyzw"[f - 1]] == pytest.approx(want, abs=1e-9)
+
+
+def test_neighbour_information_has_no_window_over_a_whole_feature(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("c"))
+    assert "SinglePartition" not in plan(neighbour_information(df, ["x"], "c")).split("Window")[0]
+    assert neighbour_information(df.where("x < 0"), ["x"], "c").count() == 0
 
 
 @pytest.mark.parametrize("limit", [100, 1])

@@ -1,5 +1,7 @@
 """Order statistics against brute force, with heavy ties and a hot group."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -11,7 +13,9 @@ from halyard.operators.ordered import (
     area_under_curve,
     exact_quantiles,
     hash_positions,
+    kolmogorov_tail,
     ks_two_sample,
+    lattice_tail,
     roc_points,
     running_totals,
 )
@@ -81,6 +85,52 @@ def test_ks_against_brute_force(spark):
     assert same.statistic == 0 and same.p_value == 1.0
 
 
+def by_all_orders(x, y):
+    """The share of all assignments of the pooled places to the first sample whose distance is as large."""
+    pooled = sorted([(v, 0) for v in x] + [(v, 1) for v in y])
+    n, m = len(x), len(y)
+
+    def gap(places):
+        chosen, worst, i = set(places), 0, 0
+        for place in range(n + m):
+            i += place in chosen
+            worst = max(worst, abs(i * m - (place + 1 - i) * n))
+        return worst
+
+    ends = [k for k in range(n + m) if k == n + m - 1 or pooled[k][0] != pooled[k + 1][0]]
+    counts = [sum(s == 0 for _, s in pooled[: k + 1]) for k in ends]
+    seen = max(abs(i * m - (k + 1 - i) * n) for i, k in zip(counts, ends))
+    orders = list(itertools.combinations(range(n + m), n))
+    return seen, sum(gap(o) >= seen for o in orders) / len(orders)
+
+
+def test_exact_p_value_of_small_samples(spark):
+    cases = [([1, 2, 2, 3, 9], [2, 4, 4, 5, 6, 7, 8]), ([1, 1, 1, 1, 1], [1, 1, 2, 2, 3, 3, 3]), ([5, 6, 7], [5, 6, 7, 8])]
+    for x, y in cases:
+        seen, share = by_all_orders(x, y)
+        assert lattice_tail(len(x), len(y), seen) == pytest.approx(share, abs=1e-12)
+        sides = [spark.createDataFrame([(float(v),) for v in side], "v double") for side in (x, y)]
+        assert ks_two_sample(*sides, ["v"]).first().p_value == pytest.approx(share, abs=1e-12)
+
+
+def test_exact_p_value_of_twenty_against_twenty():
+    """Equal sizes have a closed form: paths that leave the band, by reflection."""
+    n = 20
+    for h in range(1, n + 1):
+        outside = 2 * sum((-1) ** (k - 1) * math.comb(2 * n, n - k * h) for k in range(1, n // h + 1)) / math.comb(2 * n, n)
+        assert lattice_tail(n, n, h * n) == pytest.approx(outside, rel=1e-9)
+    assert lattice_tail(20, 20, 0) == 1.0
+    # the two ends of one sample wholly below the other: two orders of all
+    assert lattice_tail(5, 7, 35) == pytest.approx(2 / math.comb(12, 5), rel=1e-12)
+
+
+def test_the_series_takes_over_near_the_exact_value(spark):
+    n = m = 5000
+    exact = lattice_tail(n, m, round(0.02 * n * m))
+    series = spark.range(1).select(kolmogorov_tail(F.lit(0.02), F.lit(float(n)), F.lit(float(m)))).first()[0]
+    assert exact == pytest.approx(series, rel=0.05)
+
+
 def test_auc_counts_ties_half(spark):
     rows = [(1, 0.9), (0, 0.9), (1, 0.2), (0, 0.1), (0, 0.2), (1, 0.9)]
     df = spark.createDataFrame(rows, "label int, score double")

@@ -41,3 +41,17 @@ def test_scans_read_only_what_is_used(spark):
 
 def test_top_k_keeps_k_rows_per_partition(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["t2_top_products"](spark, FOLDER))
+
+
+def test_all_rules_read_each_table_once(nothing_small, tmp_path):
+    from halyard.catalog.tables import entity_tables
+    from halyard.operators.quality import validate
+    from halyard.sources.sinks import write_table
+    from halyard.sources.tables import StarTables
+
+    spark, folder = nothing_small, str(tmp_path)
+    tables = {n: spark.read.parquet(write_table(df, folder, n)) for n, df in entity_tables(StarTables(spark, FOLDER)).items()}
+    text = plan(validate(tables))
+    scans = re.findall(rf"FileScan parquet .*?Location: .*?/(\w+)\.parquet", text)
+    assert len(re.findall("FileScan", text)) == len(tables) and len(set(scans)) == len(scans)
+    assert len(re.findall(r"Exchange hashpartitioning\(rule#\d+, key#\d+", text)) == 1  # all keys of all tables
