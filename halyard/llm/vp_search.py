@@ -28,7 +28,8 @@ SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 LEAF_ROWS = 256
 FACTOR = 0.7
-SPARE = 8  # distances further than the k-th that are scored again exactly
+PAIRS = 1 << 16  # scored again at once
+NO_ID = np.iinfo(np.int64).max
 
 
 def build_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple]]:
@@ -60,28 +61,50 @@ def build_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple]]:
 
 
 class Search:
-    """One block of queries in one tree."""
+    """One block of queries in one tree: each query's ``keep`` best places by product, then by the smallest id there.
 
-    def __init__(self, points, order, nodes, own, queries, keep, factor):
+    Products by matrix only choose what is scored: all places within their rounding bound of the last one kept,
+    however many, are scored again in one order of addition, and these scores decide.
+    """
+
+    def __init__(self, points, order, nodes, own, queries, first_ids, keep, factor):
         self.points, self.order, self.nodes, self.factor = points, order, nodes, factor
-        self.queries, self.own = queries, own
+        self.queries, self.own, self.first_ids = queries, own, first_ids
         self.norms = (queries**2).sum(1)
         self.longest = (points**2).sum(1).max() if len(points) else 0.0
+        self.bound = 8 * queries.shape[1] * np.finfo(float).eps * np.sqrt(self.norms * self.longest)
         self.best = np.full((len(queries), keep), -np.inf)
         self.rows = np.full((len(queries), keep), -1)
 
     def distance(self, products, who):
         return np.sqrt(np.maximum(self.norms[who][:, None] + self.longest - 2 * products, 0))
 
+    def exact(self, who, rows):
+        dim, out = self.queries.shape[1], np.empty(len(who))
+        for i in range(0, len(who), PAIRS):
+            part = slice(i, i + PAIRS)
+            out[part] = (self.queries[who[part]] * self.points[rows[part], :dim]).sum(1)
+        return out
+
     def leaf(self, start, stop, who):
-        rows = self.order[start:stop]
+        rows, keep = self.order[start:stop], self.best.shape[1]
         found = self.queries[who] @ self.points[rows, : self.queries.shape[1]].T
         found[self.own[who][:, None] == rows[None, :]] = -np.inf
-        scores = np.concatenate([self.best[who], found], 1)
-        names = np.concatenate([self.rows[who], np.broadcast_to(rows, found.shape)], 1)
-        top = np.argpartition(-scores, self.best.shape[1] - 1, axis=1)[:, : self.best.shape[1]]
-        self.best[who] = np.take_along_axis(scores, top, 1)
-        self.rows[who] = np.take_along_axis(names, top, 1)
+        last = self.best[who, -1]
+        if len(rows) > keep:
+            last = np.maximum(last, -np.partition(-found, keep - 1, axis=1)[:, keep - 1])
+        near = (found >= (last - self.bound[who])[:, None]) & np.isfinite(found)
+        who = who[near.any(axis=1)]
+        if not len(who):
+            return
+        query, column = np.nonzero(near[near.any(axis=1)])
+        names = np.concatenate([self.rows[who].ravel(), rows[column]])
+        scores = np.concatenate([self.best[who].ravel(), self.exact(who[query], rows[column])])
+        query = np.concatenate([np.repeat(np.arange(len(who)), keep), query])
+        order = np.lexsort((np.where(names < 0, NO_ID, self.first_ids[names]), -scores, query))
+        starts = np.searchsorted(query[order], np.arange(len(who)))
+        top = order[starts[:, None] + np.arange(keep)]
+        self.best[who], self.rows[who] = scores[top], names[top]
 
     def run(self, at, who):
         start, stop, vantage, radius, inner, outer = self.nodes[at]
@@ -96,8 +119,9 @@ class Search:
         for first, second, group in ((inner, outer, inside), (outer, inner, ~inside)):
             own = who[group]
             self.run(first, own)
-            worst = self.distance(self.best[own].min(1)[:, None], own)[:, 0]
-            self.run(second, own[np.abs(away[group] - radius) <= self.factor * worst])
+            worst = self.distance((self.best[own, -1] - self.bound[own])[:, None], own)[:, 0]
+            # what rounding can do to the distances is added: equal products on the other side are met
+            self.run(second, own[np.abs(away[group] - radius) <= self.factor * worst + 2 * np.sqrt(self.bound[own])])
 
 
 def _index(shard: pd.Series) -> tuple:
@@ -152,12 +176,11 @@ def _searcher(k: int, factor: float):
         alone = np.flatnonzero(np.diff(starts) == 1)
         of_id = dict(zip(ids[starts[alone]].tolist(), alone.tolist()))
         own = np.array([of_id.get(q, -2) for q in query_ids.tolist()])
-        keep = min(k + SPARE, len(points))
-        search = Search(points, order, nodes, own, queries, keep, factor)
+        # one place more than asked for: a place may hold the query itself beside its copies
+        search = Search(points, order, nodes, own, queries, ids[starts[:-1]], k + 1, factor)
         search.run(0, np.arange(len(queries)))
         who, slot = np.nonzero(np.isfinite(search.best))
-        rows = search.rows[who, slot]
-        scores = (queries[who] * points[rows, :dim]).sum(1)  # one order of addition for every pair
+        rows, scores = search.rows[who, slot], search.best[who, slot]
         counts = np.minimum(np.diff(starts)[rows], k + 1)
         at = np.repeat(np.arange(len(rows)), counts)
         step = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)

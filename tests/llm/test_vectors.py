@@ -57,6 +57,24 @@ def test_vantage_point_search(spark, factor, least):
             assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
 
 
+@pytest.mark.parametrize("kind", ["small numbers", "one line", "rounded"])
+def test_more_ties_than_places(spark, kind):
+    draw = np.random.default_rng(4)
+    if kind == "small numbers":
+        points = draw.integers(-2, 3, (300, 3)).astype(float) + [0, 0, 3]
+    elif kind == "one line":
+        points = np.stack([np.ones(600), draw.normal(size=600)], axis=1)
+        points[0] = [1.0, 0.0]  # its products are all one
+    else:
+        points = np.round(draw.normal(size=(300, 5)), 1) / 3  # products tie but for the order of addition
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    rows = vp_search.nearest(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, factor=1.0, shard_rows=100, block_rows=7, leaf_rows=8).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(points, range(0, len(points), 20), 20, lambda q: (points * q).sum(1))
+
+
 @pytest.mark.parametrize("bin_bits", [2, 11])
 def test_exact_top_k(spark, bin_bits):
     df, points = frame(spark, seed=1)
