@@ -8,9 +8,10 @@ other, until one partition is left. When its fullest window exceeds the capacity
 number of windows rises; when that would pad more than ``max_padding`` the pieces
 are cut in half first, longest allowed length by longest allowed length.
 
-Each Spark task packs the documents of its input split as they stream by, so
-nothing is shuffled, memory holds one shard, and a task that is run again gives the same
-sequences. A sequence's id holds the split's number above 2**40.
+Each Spark task packs the documents of its input split as they stream by; memory holds one shard, and a task
+that is run again gives the same sequences. What is left when a split ends, less than a shard, is shuffled: the
+rests of ``SPLITS`` neighbouring splits are packed together, so padding does not grow with their number.
+A sequence's id holds the split's number above 2**40; those of rests lie above 2**62.
 
 Defined cases: null text is empty and has the end token only; repeated rows are
 packed each; a null id stays null; an empty table gives no rows. Columns other than id and text are not read.
@@ -20,102 +21,101 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from halyard.llm import arrow_text
+from halyard.sources.scratch import written
+
 CAPACITY = 4096
 SHARD_WINDOWS = 64
 MAX_PADDING = 0.01
-STORED_WORDS = 200_000
-#: Texts of these characters are split on white space and lowered here, others by the tokenizer's own rules.
-PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
-#: What may follow the letters of a word and is then one piece of its own.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+STORED_WORDS = 100_000
+SLICE_BYTES = 2 << 20
+SPLITS = 64  # whose rests are packed together
+#: Texts of these characters are lowered and split here as the tokenizer does it, others go through it whole.
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
+#: The tokenizer's own split for lowered texts of these characters; letters come first, as no other piece starts with one.
+PIECES = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+").findall
 
 _tokenizers: dict[int, WordIds] = {}
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that treats each word alone; words met before are stored.
+    """Ids of texts by a tokenizer that treats each piece of its own split alone; pieces met before are stored.
 
-    Only the tokenizer makes ids: distinct words of plain texts go through it in
-    one call, and the ids that end a word (the suffix of its vocabulary) part them.
+    Only the tokenizer makes ids: distinct pieces of plain texts go through it in one call, and the
+    ids that end a piece (the suffix of its vocabulary) part them. Pieces are kept in two generations, so that
+    frequent ones stay when the store fills up.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, literal: bool = False):
         self.full = Tokenizer.from_str(file)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = literal
         self.words = Tokenizer.from_str(file)
         self.words.encode_special_tokens = True
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
+        self.added = [] if literal else [t.content for t in self.full.get_added_tokens_decoder().values()]
         vocabulary, suffix = self.full.get_vocab(), self.full.model.end_of_word_suffix
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> None:
         """Pieces that the tokenizer's own split leaves whole, in one call."""
         ids = np.array(self.words.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         packed = ids.tobytes()
-        return {w: packed[a:b] for w, a, b in zip(pieces, [0, *stops], stops, strict=False)} if len(stops) == len(pieces) else dict(
-            zip(pieces, self._encoded(pieces))
-        )
-
-    def _learn(self, words: list[str]) -> None:
-        """A word of letters with a tail of marks is two pieces; any other goes through the whole tokenizer."""
-        parted, mixed = [], []
-        for w in words:
-            low = w.lower()
-            body = low.rstrip(MARKS)
-            if body.isalpha():
-                parted.append((w, body, low[len(body) :]))
-            else:
-                mixed.append(w)
-        ids = self._pieces(list({body for _, body, _ in parted} | {tail for _, _, tail in parted if tail})) if parted else {}
-        ids[""] = b""
-        for w, body, tail in parted:
-            self.store[w] = ids[body] + ids[tail]
-        for w, packed in zip(mixed, self._encoded(mixed)):
-            self.store[w] = packed
+        if len(stops) == len(pieces):
+            self.store.update(zip(pieces, [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]))
+        else:
+            self.store.update(zip(pieces, self._encoded(pieces)))
+
+    def _hold(self, wanted: set[str]) -> None:
+        """Have all wanted pieces in the store."""
+        if len(self.store) + len(wanted) > STORED_WORDS:
+            self.older, self.store = self.store, {}
+        missing = wanted - self.store.keys()
+        known = missing & self.older.keys()
+        self.store.update(zip(known, map(self.older.__getitem__, known)))
+        if len(known) < len(missing):
+            self._learn(list(missing - known))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)]
-        split = [texts[i].split() for i in plain]
-        missing = {w for words in split for w in words if w not in self.store}
-        if len(self.store) + len(missing) > STORED_WORDS:
-            self.store.clear()
-            missing = {w for words in split for w in words}
-        if missing:
-            self._learn(list(missing))
-        for i, words in zip(plain, split):
-            out[i] = b"".join(map(self.store.__getitem__, words))
+        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t) and not any(a in t for a in self.added)]
+        split = [PIECES(texts[i].lower()) for i in plain]
+        self._hold(set().union(*split))
+        for i, pieces in zip(plain, split):
+            out[i] = b"".join(map(self.store.__getitem__, pieces))
         others = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(others, self._encoded([texts[i] for i in others])):
             out[i] = ids
         return out
 
 
-def _tokenizer(file: Broadcast) -> WordIds:
+def _tokenizer(file: Broadcast, literal: bool) -> WordIds:
     """One tokenizer a Python worker, kept over tasks."""
-    key = hash(file.value)
+    key = hash((file.value, literal))
     if key not in _tokenizers:
-        _tokenizers[key] = WordIds(file.value)
+        _tokenizers[key] = WordIds(file.value, literal)
     return _tokenizers[key]
 
 
@@ -194,8 +194,12 @@ class Packer:
             self.sequence += 1
             start += self.capacity
         if start < n:
-            self.waiting.append((key, start, ids[4 * start :], n))
-            self.tokens += n - start
+            yield from self.add_rest(key, start, ids[4 * start :], n)
+
+    def add_rest(self, key, start: int, ids: bytes, n: int) -> Iterator[tuple]:
+        """The same of a part of a document that is shorter than a window."""
+        self.waiting.append((key, start, ids, n))
+        self.tokens += len(ids) // 4
         if self.tokens >= self.full:
             yield from self.flush()
 
@@ -213,6 +217,11 @@ class Packer:
             self.sequence += 1
         self.waiting, self.tokens = [], 0
 
+    def rest(self) -> Iterator[tuple]:
+        """What waits for a shard to fill: (key, start, ids, doc_tokens)."""
+        yield from self.waiting
+        self.waiting, self.tokens = [], 0
+
 
 def pack(
     docs: DataFrame,
@@ -223,44 +232,56 @@ def pack(
     capacity: int = CAPACITY,
     shard_windows: int = SHARD_WINDOWS,
     max_padding: float = MAX_PADDING,
+    literal: bool = False,
 ) -> DataFrame:
-    """One row a piece: (id, start, ids, doc_tokens, sequence_id, offset); ids packed as little-endian unsigned 32-bit."""
+    """One row a piece: (id, start, ids, doc_tokens, sequence_id, offset); ids packed as little-endian unsigned 32-bit.
+
+    With ``literal`` the names of added tokens inside texts are text like any other.
+    """
+    spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        file = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, under two MB
-    key_type = docs.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", key_type),
-            T.StructField("start", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-            T.StructField("doc_tokens", T.LongType()),
-            T.StructField("sequence_id", T.LongType()),
-            T.StructField("offset", T.LongType()),
-        ]
-    )
+        file = spark.sparkContext.broadcast(f.read())  # a vocabulary, under two MB
+    columns = [
+        T.StructField("id", docs.schema[key].dataType),
+        T.StructField("start", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("doc_tokens", T.LongType()),
+        T.StructField("sequence_id", T.LongType()),
+        T.StructField("offset", T.LongType()),
+    ]
+    schema = T.StructType(columns)
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(file)
-        packer = Packer(capacity, shard_windows, max_padding, TaskContext.get().partitionId() << 40)
-        kind = None
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows))
-            kinds = [kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema.names)
+    def made(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.binary(), *[pa.int64()] * (len(names) - 3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, split = _tokenizer(file, literal), TaskContext.get().partitionId()
+        packer = Packer(capacity, shard_windows, max_padding, split << 40)
+        names, kind = [*schema.names, "split"], None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            _, offsets = arrow_text.texts(batch.column(1))
+            for start, stop in arrow_text.ranges(offsets, SLICE_BYTES):
+                part = batch.slice(start, stop - start)
                 ids = tokenizer.encode([t or "" for t in part.column(1).to_pylist()])
-                rows = [r for k, i in zip(part.column(0).to_pylist(), ids) for r in packer.add(k, i + end)]
+                rows = [(*r, split) for k, i in zip(part.column(0).to_pylist(), ids) for r in packer.add(k, i + end)]
                 if rows:
-                    yield made(rows)
-        rows = list(packer.flush())
+                    yield made(rows, kind, names)
+        rows = [(*r, None, place, split) for place, r in enumerate(packer.rest())]
         if rows:
-            yield made(rows)
+            yield made(rows, kind, names)
         pa.default_memory_pool().release_unused()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["split", "offset"])
+        packer = Packer(capacity, shard_windows, max_padding, (1 << 62) + (int(frame["split"].iloc[0]) // SPLITS << 32))
+        rows = [r for k, ids, n, s in zip(frame["id"], frame["ids"], frame["doc_tokens"], frame["start"]) for r in packer.add_rest(k, int(s), ids, int(n))]
+        rows += packer.flush()
+        return pd.DataFrame(rows, columns=schema.names)
+
+    first = written(docs.select(key, text).mapInArrow(run, T.StructType([*columns, T.StructField("split", T.LongType())])), "packed-pieces")
+    rests = first.where("sequence_id is null")
+    last = rests.groupBy(F.floor(F.col("split") / SPLITS)).applyInPandas(gather, schema)
+    return first.where("sequence_id is not null").select(*schema.names).unionByName(last)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from halyard.llm import merge_replay, packing
@@ -22,7 +23,6 @@ def test_pieces_hold_every_id_once(spark, capacity, shard_windows):
         docs = docs.where("doc_id <= 5")
     rows = packing.pack(docs, "doc_id", "text", WORDS, 2, capacity=capacity, shard_windows=shard_windows).collect()
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     want = sorted(tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + (2,) for r in docs.collect())
     by_place = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
     used = {}
@@ -48,6 +48,46 @@ def test_pieces_hold_every_id_once(spark, capacity, shard_windows):
     assert sorted(got) == want
 
 
+def test_names_of_added_tokens(spark):
+    texts = ["<|endoftext|> a", "x<|startoftext|>", "<|endoftext|", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for literal in (False, True):
+        tokenizer = Tokenizer.from_file(WORDS)
+        tokenizer.encode_special_tokens = literal
+        got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs, "doc_id", "text", WORDS, 2, literal=literal).collect()}
+        assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+        assert (49407 in got[0]) != literal
+
+
+def test_ids_of_all_plain_characters():
+    import random
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    with open(WORDS, encoding="utf-8") as f:
+        own = packing.WordIds(f.read())
+    draw = random.Random(1)
+    characters = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xC0, 0x250)]]
+    texts = ["".join(draw.choices(characters, k=draw.randint(0, 60))) for _ in range(3000)] + ["it's don't we'll I'd THEY'RE 'S 's", "ſ K İstanbul"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_store_that_is_too_small_changes_nothing(monkeypatch):
+    with open(WORDS, encoding="utf-8") as f:
+        file = f.read()
+    texts = [f"word{i % 7} other{i} same thing" for i in range(300)]
+    whole = packing.WordIds(file).encode(texts)
+    monkeypatch.setattr(packing, "STORED_WORDS", 40)
+    small = packing.WordIds(file)
+    assert [small.encode(texts[i : i + 10]) for i in range(0, 300, 10)] == [whole[i : i + 10] for i in range(0, 300, 10)]
+
+
+def test_padding_does_not_grow_with_the_splits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartitionByRange(1000, "doc_id")
+    pieces = packing.pack(docs, "doc_id", "text", WORDS, 2).select("sequence_id", (F.octet_length("ids") / 4).alias("n"))
+    tokens, windows = pieces.agg(F.sum("n"), F.count_distinct("sequence_id")).first()
+    assert 1 - tokens / (4096 * windows) < 0.02
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(no_documents(spark), "doc_id", "text", WORDS, 2).count() == 0
 
