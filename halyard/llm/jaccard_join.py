@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from halyard.llm import arrow_text, shingles, signature_tree
 from halyard.llm.components import components
-from halyard.sources.scratch import written
+from halyard.sources.scratch import drop_written, written
 
 SLICE_BYTES = 1 << 20
 FAMILY_MEMBERS = 2 << 20  # shingles in one block
 SEEN = 1 << 20  # sets that a task remembers
 FREQUENT_ROWS = 50  # rows that share a shingle before it counts as frequent
 MOST_FREQUENT = 1 << 18  # of them are broadcast, two MB
+CELL_PASSES = 4  # the cells are shuffled a share at a time
 SHARED_IN_TASK = 3
 COUNTED = 1 << 20  # shingles held before a task adds them up
 U = np.uint64
@@ -184,7 +185,8 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """(node, component): first keys of sets connected by shared cells; sets that share none are left out.
 
-    A task gives the cells of a set once, so a text with very many copies has a row a cell and task.
+    A task gives the cells of a set once, so a text with very many copies has a row a cell and task. The cells
+    are written, and shuffled in ``CELL_PASSES`` shares.
     """
     left_out = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
 
@@ -202,9 +204,18 @@ def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequen
             hashes = np.concatenate([np.zeros(0, U), *[c for _, c in rows]]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(nodes)], ["cell", "node"])
 
-    filled = docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long")
-    first = F.expr("first_value(node) over (partition by cell order by node)")
-    return components(filled.select(first.alias("u"), F.col("node").alias("v")).where("u <> v"))
+    filled = written(docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long"), "shingle-cells")
+    parts = []
+    for part in range(CELL_PASSES):
+        mine = filled.where(F.pmod("cell", F.lit(CELL_PASSES)) == part)
+        # most cells have one set: they end here, and a cell of any number of sets is one row
+        least = mine.groupBy("cell").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
+        shared = written(least.select("cell", "u"), "shingle-shared")
+        met = mine.join(shared.hint("shuffle_hash"), "cell").where("u <> node")
+        parts.append(written(met.groupBy("u", F.col("node").alias("v")).agg(F.lit(1).alias("once")).select("u", "v"), "shingle-edges"))
+        drop_written(shared)
+    drop_written(filled)
+    return components(reduce(DataFrame.union, parts), consume=parts)
 
 
 def blocks(members: DataFrame, num: int, den: int, block_members: int = FAMILY_MEMBERS) -> DataFrame:
@@ -286,12 +297,11 @@ def links(
     schema, link = WANTED[want]
     extra = [c for c in ("key1", "key2", "copies") if c in members.columns]
 
-    def sets(batches):
+    def own_sets(batches):
+        """Of rows that share an id only those of the set that the id stands for."""
         for part, found in _slices(batches, width):
-            columns = [part.column(i) for i in range(part.num_columns - 1)]
-            made = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], [*part.schema.names[:-1], "members"])
-            one, two = _keys(found)  # of rows that share an id only those of the set that the id stands for
-            yield made.filter(pa.array((one == part.column("key1").to_numpy()) & (two == part.column("key2").to_numpy())))
+            one, two = _keys(found)
+            yield part.filter(pa.array((one == part.column("key1").to_numpy()) & (two == part.column("key2").to_numpy())))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({c.split()[0]: pd.Series(dtype="Int64") for c in schema.split(", ")})]
@@ -299,7 +309,8 @@ def links(
             group = group.drop_duplicates(["key1", "key2"])  # repeated rows
             if len(group) < 2 or (a != z and group["own"].nunique() < 2):
                 continue
-            found = [np.frombuffer(m, U) for m in group["members"]]
+            data, offsets = arrow_text.texts(pa.array(group["text"], pa.large_string()))
+            found = [s for x, y in arrow_text.ranges(offsets, SLICE_BYTES) for s in shingles.sets(data, offsets[x : y + 1], width)]
             out.append(link(group, found, (group["own"].to_numpy() != a).astype(int), num, den))
         return pd.concat(out)
 
@@ -307,11 +318,11 @@ def links(
     # texts are shuffled whatever the number of members: the plan is the same at every size
     placed = slim.join(blocks(members, num, den, block_members).hint("merge"), "node").select("node", "family", "own", "others", "cut", *extra, "text")
     more = ", ".join(f"{c} long" for c in extra)
-    sized = placed.mapInArrow(sets, f"node long, family long, own long, others array<long>, cut boolean, {more}, members binary")
+    sized = placed.mapInArrow(own_sets, f"node long, family long, own long, others array<long>, cut boolean, {more}, text string")
+    # texts travel, not sets: hashes are longer than words and cannot be compressed
     paired = (
-        sized.where(F.octet_length("members") > 0)
-        .withColumn("other", F.explode("others"))
-        .select("node", "family", *extra, "members", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
+        sized.withColumn("other", F.explode("others"))
+        .select("node", "family", *extra, "text", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
         .withColumn("group", F.when(F.col("cut"), F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))))
     )
     return paired.drop("cut").groupBy("group").applyInPandas(join, schema)

@@ -37,6 +37,18 @@ def test_copies_go_and_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
 
 
+def test_quality_judges_each_text_whatever_shares_its_id(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = {r.text for r in corpus_pipeline.quality(spark, docs, FOLDER).collect()}
+    gone = [r for r in docs.collect() if r.text not in kept]
+    assert len(gone) > 20
+    some = F.col("text").isin([r.text for r in gone]) | (F.col("doc_id") == min(r.doc_id for r in docs.collect() if r.text in kept))
+    for shared in (None, 10**6):  # unlabelled ids: no text is a target through its id
+        odd = docs.withColumn("doc_id", F.when(some, F.lit(shared).cast("long")).otherwise(F.col("doc_id")))
+        out = corpus_pipeline.quality(spark, odd, FOLDER).collect()
+        assert 0.8 * len(kept) < len(out) < docs.count() - 0.8 * len(gone)
+
+
 def test_distinct_texts_without_or_with_equal_ids_stay(spark):
     words = [f"word{i}" for i in range(60)]
     texts = [" ".join(words[k:] + words[:k][::-1]) for k in (0, 20, 40)] + [" ".join(words[::-1]), " ".join(f"other{i}" for i in range(60))]
@@ -66,7 +78,7 @@ def test_queries_with_sql_agree(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     for name, text in queries.ORACLES.items():
         assert compare(queries.QUERIES[name](spark, FOLDER), con, text) is None, name
@@ -75,6 +87,6 @@ def test_queries_with_sql_agree(spark):
 def test_one_query_for_each_operator():
     import __spark_entry__ as entry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "secrets", "packing"]
