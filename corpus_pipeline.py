@@ -12,22 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import jaccard_join, langid, packing, resampling, secrets
-from halyard.sources.scratch import written
+from halyard.sources.scratch import drop_written, written
 
 LEAST_LANGUAGE_SCORE = 0.25
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is listed; a null id counts as an id."""
-    named = ids.select(F.col("id").alias("halyard_id")).distinct()
-    return docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("halyard_id")), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards the good labelled ones keeps."""
+    """Documents that importance resampling towards the good labelled ones keeps.
+
+    Rows are told apart by id and text: a text stays or goes whatever other texts share its id, null being an id.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
-    sampled = resampling.resample(docs, "doc_id", "text", labels.select(F.col("doc_id").alias("id")))
-    return _only(docs, sampled.where("kept"))
+    numbered = docs.withColumn("halyard_row", F.xxhash64("doc_id", "text"))
+    target = numbered.select("halyard_row", "doc_id").join(labels.select(F.col("doc_id").alias("halyard_id")), F.col("doc_id") == F.col("halyard_id"), "left_semi")
+    sampled = resampling.resample(numbered, "halyard_row", "text", target.select(F.col("halyard_row").alias("id")).distinct())
+    kept = sampled.where("kept").select(F.col("id").alias("halyard_kept")).distinct()
+    return numbered.join(kept, F.col("halyard_row") == F.col("halyard_kept"), "left_semi").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences: one row a piece, with its token ids."""
-    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2, literal=True)
 
 
 STAGES = [
@@ -82,6 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents under a folder, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_written(before)
+        before = docs
     return docs
