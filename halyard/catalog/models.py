@@ -24,6 +24,7 @@ from halyard.plans import jobs as J
 from halyard.plans import selecting as S
 from halyard.plans import training as T
 from halyard.plans.registry import ModelRegistry, leaderboard
+from halyard.plans.together import together
 from halyard.session import checkpoint_ready
 from halyard.sources import entities as E
 from halyard.sources.sinks import write_table
@@ -297,7 +298,7 @@ def risk_outcome(t, name, registry):
 @query("l21_risk_training")
 def _(t):
     registry = scratch_registry(t)
-    return stacked([risk_outcome(t, name, registry).comparison for name in J.RISK_JOBS])
+    return stacked([o.comparison for o in together(t.spark, [lambda n=name: risk_outcome(t, n, registry) for name in J.RISK_JOBS])])
 
 
 @query("l23_customer_risk_report")

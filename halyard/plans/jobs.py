@@ -35,6 +35,7 @@ from halyard.plans import training as T
 from halyard.plans.demand import FEATURES as DEMAND_FEATURES
 from halyard.plans.demand import demand_dataset, inventory_requirements
 from halyard.plans.registry import ModelRegistry
+from halyard.plans.together import together
 
 METRIC_SCHEMA = {
     "regression": "model_name string, mae double, rmse double, r2 double",
@@ -353,7 +354,7 @@ def segment_customers(
     carried = ["customer_id", "annual_revenue", "customer_activity_score"]
     filled = frame.select(*carried, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in used])
     vectors = T.stored(T.assembled(filled, used, [*carried, *used]))
-    fits = [KMeans(k=clusters, seed=T.SEED + i, featuresCol=T.VECTOR).fit(vectors) for i in range(starts)]
+    fits = together(spark, [lambda i=i: KMeans(k=clusters, seed=T.SEED + i, featuresCol=T.VECTOR).fit(vectors) for i in range(starts)])
     model = min(fits, key=lambda m: m.summary.trainingCost)
     labelled = model.transform(vectors).withColumnRenamed("prediction", "cluster_id")
     metrics = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
+from threading import Lock
 
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
@@ -18,6 +19,7 @@ SCHEMA = (
     "trained_at string, model_type string, description string"
 )
 REGRESSION_METRICS = ["mae", "rmse", "r2"]
+_appending = Lock()
 CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
@@ -44,7 +46,8 @@ class ModelRegistry:
         model.write().overwrite().save(path)
         known = {k: float(v) for k, v in metrics.items() if v is not None}
         row = (name, path, known, list(feature_names), stamp, model_type, description)
-        append_log(self.spark.createDataFrame([row], SCHEMA).coalesce(1), self.table)
+        with _appending:  # jobs may run at once, two writers of one table may not
+            append_log(self.spark.createDataFrame([row], SCHEMA).coalesce(1), self.table)
         return path
 
     def models(self) -> DataFrame:
