@@ -3,8 +3,11 @@
 Character bigram models of random strings and of ordinary identifiers are
 compared by the sum of log-likelihood ratios over a candidate string. Random
 strings are learned from the values that the fixed patterns find in all rows,
-mixed with the uniform model; ordinary ones from the other runs of the same
-characters in a bounded sample of rows (``sample_rows``, by hash).
+mixed with the uniform model; ordinary ones in equal parts from the other runs of the same
+characters in a bounded sample of rows (``sample_rows``, by hash) and from a labelled sample of
+identifiers (``names``, by default those of Python's and Spark's own interfaces). Pairs that an
+ordinary sample lacks get the share of their second character, so words that
+the documents do not hold are not taken for random.
 
 Defined cases: null text is empty and has no spans; empty tables give no rows
 (and a model without counts, which is uniform on both sides and finds nothing);
@@ -18,6 +21,10 @@ searched for random stretches, which are reported up to the next of ``/ = _ -``
 from __future__ import annotations
 
 import math
+import sys
+from collections import Counter
+from collections.abc import Sequence
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +43,12 @@ SAMPLE_ROWS = 2000
 ALPHABET = 66
 UNIFORM_SHARE = 0.5
 SMOOTHING = 0.5
+SINGLE_SHARE = 0.9  # of single characters in what unseen pairs get, the rest is uniform
+NAMED_MODULES = [
+    "argparse", "ast", "builtins", "collections", "datetime", "email.message", "http.client", "inspect", "json", "logging",
+    "os", "pathlib", "pyspark.ml.classification", "pyspark.ml.feature", "pyspark.sql", "pyspark.sql.functions",
+    "pyspark.sql.types", "shutil", "socket", "subprocess", "tempfile", "threading", "typing", "unittest", "urllib.request",
+]
 LEAST_RATIO = 12.0  # nats in favour of random
 LEAST_MEAN = 0.5  # nats a bigram
 RUNS = "halyard_candidate_runs"
@@ -82,7 +95,52 @@ def _pairs(tokens: DataFrame, token: str) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> list[float]:
+def identifiers() -> list[str]:
+    """Ordinary identifiers: public names of well-known modules and of their classes, alone and joined as names are.
+
+    The labelled sample that ``train`` takes by default; it does not depend on the documents.
+    """
+    found = set(sys.stdlib_module_names)
+    for name in NAMED_MODULES:
+        module = import_module(name)
+        for attribute in dir(module):
+            found.add(attribute)
+            if isinstance(getattr(module, attribute), type):
+                found.update(dir(getattr(module, attribute)))
+    names = sorted(n for n in found if n.isascii() and not n.startswith("_"))
+    joined = []
+    for i, name in enumerate(names):
+        other = names[(i * 7919 + 1) % len(names)]
+        joined += [f"{name}{joint}{other}" for joint in "_/-="]
+        joined.append("".join(part[:1].upper() + part[1:] for part in f"{name}_{other}".split("_")))
+    return names + joined
+
+
+def _named(names: Sequence[str]) -> Counter:
+    return Counter((ord(a), ord(b)) for name in names for a, b in zip(name, name[1:], strict=False))
+
+
+def _backed_off(counts: dict) -> list[float]:
+    """Probability of the second character after the first, at 128 * first + second.
+
+    The share left to single characters grows with the number of different successors seen.
+    """
+    total = sum(counts.values())
+    single, first, kinds = Counter(), Counter(), Counter()
+    for (a, b), n in counts.items():
+        single[b] += n
+        first[a] += n
+        kinds[a] += 1
+    out = []
+    for a in range(128):
+        left = (kinds[a] + 1) / (first[a] + kinds[a] + 1)
+        for b in range(128):
+            alone = SINGLE_SHARE * single[b] / total + (1 - SINGLE_SHARE) / ALPHABET if total else 1 / ALPHABET
+            out.append((1 - left) * counts.get((a, b), 0) / max(first[a], 1) + left * alone)
+    return out
+
+
+def train(docs: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS, names: Sequence[str] | None = None) -> list[float]:
     """Log-likelihood ratio of each pair of characters, at 128 * first + second.
 
     The two tables of counts that reach the driver have at most ALPHABET**2 rows.
@@ -98,21 +156,19 @@ def train(docs: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> list[fl
     for pattern in KINDS.values():
         sample = sample.withColumn("body", F.regexp_replace("body", pattern, " "))
     ordinary = sample.select(F.explode(F.regexp_extract_all("body", F.lit(ORDINARY), F.lit(0))).alias("token"))
-    models = []
-    for tokens in (random, ordinary):
-        counts = {(r.a, r.b): r.n for r in _pairs(tokens, "token").collect()}
-        first: dict[int, int] = {}
-        for (a, _), n in counts.items():
-            first[a] = first.get(a, 0) + n
-        models.append((counts, first))
-    (random_counts, random_first), (plain_counts, plain_first) = models
+    random_counts, plain_counts = ({(r.a, r.b): r.n for r in _pairs(tokens, "token").collect()} for tokens in (random, ordinary))
+    random_first = Counter()
+    for (a, _), n in random_counts.items():
+        random_first[a] += n
+    # without a count a sample says nothing: the other one stands for both
+    plain = [_backed_off(c) for c in (plain_counts, _named(identifiers() if names is None else names)) if c]
     ratios = []
     for a in range(128):
         for b in range(128):
-            learned = (random_counts.get((a, b), 0) + SMOOTHING) / (random_first.get(a, 0) + SMOOTHING * ALPHABET)
+            learned = (random_counts.get((a, b), 0) + SMOOTHING) / (random_first[a] + SMOOTHING * ALPHABET)
             by_chance = UNIFORM_SHARE / ALPHABET + (1 - UNIFORM_SHARE) * learned
-            plain = (plain_counts.get((a, b), 0) + SMOOTHING) / (plain_first.get(a, 0) + SMOOTHING * ALPHABET)
-            ratios.append(math.log(by_chance / plain))
+            at = 128 * a + b
+            ratios.append(math.log(by_chance / (sum(p[at] for p in plain) / len(plain) if plain else 1 / ALPHABET)))
     return ratios
 
 

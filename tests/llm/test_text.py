@@ -88,6 +88,86 @@ def test_the_ratio_is_the_sum_over_pairs(spark):
         assert r == pytest.approx(sum(model[128 * ord(a) + ord(b)] for a, b in zip(w, w[1:])), abs=1e-3)
 
 
+STRANGE = (
+    "kubernetes replica invoice ledger reconcile warehouse gateway throttle payload quorum zookeeper fiscal manifest lexer voltage "
+    "gyroscope oxygen hydrogen genome quantum mortgage dividend syllable fjord rhythm jazz vertex shader polygon pharmacy dosage"
+).split()
+
+
+def strange_names(rng, joint):
+    out = []
+    while len(out) < 60:
+        words = [str(w) for w in rng.choice(STRANGE, 4)]
+        out.append("".join(w.capitalize() for w in words) if joint == "C" else joint.join(words))
+    return [n for n in out if len(n) >= secrets.LEAST_LENGTH]
+
+
+def test_unfamiliar_names_are_spared_and_random_strings_found(spark):
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    names = [n for joint in "C_-/" for n in strange_names(rng, joint)]
+    random = ["".join(rng.choice(letters, 32)) for _ in range(200)]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(docs, "text")
+    rows = [("name", f"see {n} here") for n in names] + [("random", f"see {r} here") for r in random]
+    found = secrets.find(spark.createDataFrame(rows, "kind string, text string"), "text", model)
+    share = {r.kind: r.share for r in found.groupBy("kind").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share")).collect()}
+    assert share["name"] < 0.05 and share["random"] >= 0.95, share
+
+
+def plain_stretches(run, model):
+    out, before, a, z, total, peak = [], None, 0, 0, 0.0, 0.0
+
+    def end():
+        if peak >= secrets.LEAST_RATIO and z - a >= secrets.LEAST_LENGTH:
+            back = len(re.search("[A-Za-z0-9+]*$", run[:a])[0])
+            on = len(re.match("[A-Za-z0-9+]*", run[z:])[0])
+            out.append((a - back, z + on))
+
+    for i, c in enumerate(run):
+        total += 0.0 if before is None else float(f"{model[128 * ord(before) + ord(c)]:.6f}") - secrets.LEAST_MEAN
+        before = c
+        if total <= 0 or total < peak - secrets.LEAST_RATIO:
+            end()
+            a, z, total, peak = i, i + 1, 0.0, 0.0
+        elif total > peak:
+            z, peak = i + 1, total
+    end()
+    return out
+
+
+def test_random_stretches_of_runs_by_plain_loops(spark):
+    rng = np.random.default_rng(12)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    model = secrets.train(spark.read.parquet(f"{FOLDER}/documents.parquet"), "text")
+    runs = []
+    for i in range(80):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            parts += ["/".join(str(w) for w in rng.choice(STRANGE, int(rng.integers(2, 8)))), "".join(rng.choice(letters, int(rng.integers(5, 60))))]
+        runs.append("/-_="[i % 4].join(parts))
+    span = F.struct(
+        F.lit(7).cast("long").alias("start"), F.lit(3).alias("place"), (F.char_length("w") + 7).cast("long").alias("end"),
+        F.lit("random").alias("kind"), F.col("w").alias("found"),
+    )
+    rows = spark.createDataFrame([(w,) for w in runs], "w string").select("w", secrets._stretches(span, model).alias("s")).collect()
+    some = 0
+    for w, spans in rows:
+        assert [(s.start - 7, s.end - 7) for s in spans] == plain_stretches(w, model), w
+        assert all(s.found == w[s.start - 7 : s.end - 7] for s in spans)
+        some += len(spans)
+    assert some > 40
+
+
+def test_single_characters_back_unseen_pairs():
+    p = secrets._backed_off({(97, 98): 8, (97, 99): 2, (98, 97): 10})
+    left = 3 / 13
+    alone = secrets.SINGLE_SHARE * 8 / 20 + (1 - secrets.SINGLE_SHARE) / secrets.ALPHABET
+    assert p[128 * 97 + 98] == pytest.approx((1 - left) * 0.8 + left * alone)
+    assert p[128 * 120 + 98] == pytest.approx(alone)  # a first character never seen
+    assert secrets._backed_off({})[0] == 1 / secrets.ALPHABET
+
+
 # ---------------------------------------------------------------- language
 
 
