@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.operators.describe import numeric_columns, text_columns
-from halyard.operators.ordered import ks_two_sample
+from halyard.operators.ordered import ks_of_counts, ks_two_sample, value_counts
 from halyard.operators.selection import unexpected_values
 from halyard.operators.union import stacked
 
@@ -52,7 +55,11 @@ def shared_numbers(reference: DataFrame, incoming: DataFrame) -> list[str]:
 
 
 def range_check(reference: DataFrame, incoming: DataFrame, columns: list[str]) -> DataFrame:
-    joined = _side(reference, columns, "ref").join(_side(incoming, columns, "inc"), "column_name")
+    return _ranges(_side(reference, columns, "ref"), _side(incoming, columns, "inc"))
+
+
+def _ranges(reference: DataFrame, incoming: DataFrame) -> DataFrame:
+    joined = reference.join(incoming, "column_name")
     outside = (F.col("inc_min") < F.col("ref_min")) | (F.col("inc_max") > F.col("ref_max"))
     return joined.select(
         "column_name", "ref_min", "ref_max", "inc_min", "inc_max", F.coalesce(outside, F.lit(False)).alias("out_of_bounds")
@@ -84,10 +91,103 @@ def category_check(reference: DataFrame, incoming: DataFrame, columns: list[str]
     return stacked(parts)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What the checks need of a reference: its columns and the rows of each distinct value.
+
+    ``numbers`` and ``texts`` hold (column_name, value, n), ``ranges`` one row a numeric column with
+    ref_min and ref_max. Profiles of parts of a reference can be merged.
+    """
+
+    columns: tuple[str, ...]
+    numbers: DataFrame
+    texts: DataFrame
+    ranges: DataFrame
+    numeric: tuple[str, ...]
+    text: tuple[str, ...]
+
+    def write(self, folder: str) -> None:
+        """Four tables under a folder; an earlier profile there is replaced."""
+        spark = self.numbers.sparkSession
+        for name in ("numbers", "texts", "ranges"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows = [(i, c, "number" if c in self.numeric else "text" if c in self.text else None) for i, c in enumerate(self.columns)]
+        spark.createDataFrame(rows, "place int, column_name string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/columns")
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> "Profile":
+        rows = sorted(spark.read.parquet(f"{folder}/columns").collect())  # one a column of the reference
+        tables = [spark.read.parquet(f"{folder}/{name}") for name in ("numbers", "texts", "ranges")]
+        kinds = [tuple(r.column_name for r in rows if r.kind == kind) for kind in ("number", "text")]
+        return Profile(tuple(r.column_name for r in rows), *tables, *kinds)
+
+
+COUNTS = "column_name string, value {}, n long"
+RANGES = "column_name string, ref_min double, ref_max double"
+
+
+def profile_of(reference: DataFrame) -> Profile:
+    """The profile of a reference frame, from its per-value counts and one aggregate."""
+    spark = reference.sparkSession
+    numeric, text = numeric_columns(reference), text_columns(reference)
+    numbers = value_counts(reference, numeric) if numeric else spark.createDataFrame([], COUNTS.format("double"))
+    ranges = _side(reference, numeric, "ref").select("column_name", "ref_min", "ref_max") if numeric else spark.createDataFrame([], RANGES)
+    texts = _text_counts(reference, text) if text else spark.createDataFrame([], COUNTS.format("string"))
+    return Profile(tuple(reference.columns), numbers, texts, ranges, tuple(numeric), tuple(text))
+
+
+def _text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    long = df.select(*columns).unpivot([], list(columns), "column_name", "value").where(F.col("value").isNotNull())
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(first: Profile, second: Profile) -> Profile:
+    """The profile of the rows of both references, which have the same columns."""
+    if (first.columns, first.numeric, first.text) != (second.columns, second.numeric, second.text):
+        raise ValueError("profiles of different columns")
+
+    def added(one: DataFrame, other: DataFrame) -> DataFrame:
+        return one.unionByName(other).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+
+    ranges = first.ranges.unionByName(second.ranges).groupBy("column_name")
+    ranges = ranges.agg(F.min("ref_min").alias("ref_min"), F.max("ref_max").alias("ref_max"))
+    return Profile(
+        first.columns, added(first.numbers, second.numbers), added(first.texts, second.texts), ranges, first.numeric, first.text
+    )
+
+
+def drift_against(profile: Profile, dataset: str, incoming: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """``drift_report`` against a stored profile: only the incoming rows are aggregated, the reference is not read."""
+    numbers = [c for c in profile.numeric if c in incoming.columns]
+    texts = [c for c in profile.text if c in incoming.columns]
+    ranges = distances = categories = None
+    if numbers:
+        tested = F.col("column_name").isin(numbers)
+        ranges = _ranges(profile.ranges.where(tested), _side(incoming, numbers, "inc"))
+        found = ks_of_counts(profile.numbers.where(tested), value_counts(incoming, numbers))
+        distances = found.select("*", (F.col("p_value") < SIGNIFICANCE).alias("drift_detected"))
+    if texts:
+        new = _text_counts(incoming.select(*[F.col(c).cast("string").alias(c) for c in texts]), texts)
+        categories = new.join(profile.texts, ["column_name", "value"], "left_anti").select("column_name", "value")
+    return _report(dataset, schema_check(expected or list(profile.columns), incoming), ranges, distances, categories)
+
+
 def drift_report(dataset: str, reference: DataFrame, incoming: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """All checks as one long table: (dataset, column, check, statistic, p_value, detail, flagged)."""
     numbers = shared_numbers(reference, incoming)
     texts = [c for c in text_columns(reference) if c in incoming.columns]
+    return _report(
+        dataset,
+        schema_check(expected or reference.columns, incoming),
+        range_check(reference, incoming, numbers) if numbers else None,
+        distance_check(reference, incoming, numbers) if numbers else None,
+        category_check(reference, incoming, texts) if texts else None,
+    )
+
+
+def _report(
+    dataset: str, schema: DataFrame, ranges: DataFrame | None, distances: DataFrame | None, categories: DataFrame | None
+) -> DataFrame:
     none = F.lit(None)
 
     def rows(df: DataFrame, check: str, statistic, p_value, detail, flagged) -> DataFrame:
@@ -101,27 +201,13 @@ def drift_report(dataset: str, reference: DataFrame, incoming: DataFrame, expect
             flagged.alias("flagged"),
         )
 
-    parts = [
-        rows(schema_check(expected or reference.columns, incoming), "schema", none, none, none, F.col("missing"))
-    ]
-    if numbers:
-        parts.append(
-            rows(range_check(reference, incoming, numbers), "range", none, none, none, F.col("out_of_bounds"))
-        )
-        parts.append(
-            rows(
-                distance_check(reference, incoming, numbers),
-                "distance",
-                F.col("statistic"),
-                F.col("p_value"),
-                none,
-                F.col("drift_detected"),
-            )
-        )
-    if texts:
-        parts.append(
-            rows(category_check(reference, incoming, texts), "category", none, none, F.col("value"), F.lit(True))
-        )
+    parts = [rows(schema, "schema", none, none, none, F.col("missing"))]
+    if ranges is not None:
+        parts.append(rows(ranges, "range", none, none, none, F.col("out_of_bounds")))
+    if distances is not None:
+        parts.append(rows(distances, "distance", F.col("statistic"), F.col("p_value"), none, F.col("drift_detected")))
+    if categories is not None:
+        parts.append(rows(categories, "category", none, none, F.col("value"), F.lit(True)))
     return stacked(parts)
 
 

@@ -201,6 +201,25 @@ def ks_two_sample(reference: DataFrame, incoming: DataFrame, columns: list[str])
         .groupBy("column_name", "value")
         .agg(F.count_if("is_reference").alias("ref"), F.count_if(~F.col("is_reference")).alias("inc"))
     )
+    return _distance(values)
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, n): rows of each distinct value of numeric columns, null left out."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
+    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ks_of_counts(reference: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``ks_two_sample`` of two tables of ``value_counts``, whose rows of one value add up."""
+    none = F.lit(0).cast("long")
+    both = reference.select("column_name", "value", F.col("n").alias("ref"), none.alias("inc")).unionByName(
+        incoming.select("column_name", "value", none.alias("ref"), F.col("n").alias("inc"))
+    )
+    return _distance(both.groupBy("column_name", "value").agg(F.sum("ref").alias("ref"), F.sum("inc").alias("inc")))
+
+
+def _distance(values: DataFrame) -> DataFrame:
     through = running_totals(values, ["column_name"], ["value"], ["ref", "inc"])
     sizes = through.groupBy("column_name").agg(F.sum("ref").alias("ref_rows"), F.sum("inc").alias("inc_rows"))
     gap = F.abs(

@@ -33,6 +33,13 @@ def drop_written(df: DataFrame) -> None:
         _written.remove((df.sparkSession, path))
 
 
+def drop_written_through(spark: SparkSession) -> None:
+    """Delete all tables written through this session object, such as that of one micro-batch."""
+    for session, path in [entry for entry in _written if entry[0] is spark]:
+        _delete(session, path)
+        _written.remove((session, path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as Parquet under the shared folder and read it back.
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from glob import glob
 
 import numpy as np
 import pytest
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 
 from halyard.catalog.features import customer_feature_table
 from halyard.operators import attribution as B
+from halyard.operators import drift
 from halyard.plans import jobs as J
 from halyard.plans import selecting as S
 from halyard.plans import training as T
 from halyard.plans.registry import ModelRegistry, leaderboard
 from halyard.sources import entities as E
+from halyard.sources import scratch
 from halyard.sources.tables import StarTables
 from halyard.streaming.drift_batches import watch_drift
 
@@ -188,6 +191,57 @@ def test_drift_stream(spark, t, tmp_path):
     query.awaitTermination(120)
     log = spark.read.parquet(str(tmp_path / "out/log")).collect()
     assert sorted(r.drift_detected for r in log) == [False, True]
+    assert not [path for _, path in scratch._written if "drift-batch" in path]
+    reports = {f: sorted(map(str, spark.read.parquet(f).collect())) for f in glob(f"{tmp_path}/out/report/*")}
+    assert len(reports) == 2
+    # the batches again without the reference: a new checkpoint replays them over the counts that are there
+    again = watch_drift(stream, None, "orders", str(tmp_path / "out"), str(tmp_path / "ck2"), available_now=True)
+    again.awaitTermination(120)
+    assert again.exception() is None
+    assert reports == {f: sorted(map(str, spark.read.parquet(f).collect())) for f in glob(f"{tmp_path}/out/report/*")}
+
+
+def drift_frames(spark):
+    rng = np.random.default_rng(3)
+    schema = "a double, b long, empty double, kind string, day date"
+
+    def frame(n, shift, kinds):
+        rows = [(None if i % 9 == 0 else float(round(rng.normal() + shift, 1)), int(rng.integers(0, 5 + shift)), None, kinds[i % len(kinds)], None) for i in range(n)]
+        return spark.createDataFrame(rows, schema)
+
+    return frame(300, 0, ["x", "y", None]), frame(80, 2, ["y", "z", None, "w"])
+
+
+def test_a_stored_profile_gives_the_report_of_the_reference(spark, tmp_path):
+    reference, incoming = drift_frames(spark)
+    reference.write.parquet(str(tmp_path / "reference-rows"))
+    reference = spark.read.parquet(str(tmp_path / "reference-rows"))
+    drift.profile_of(reference).write(str(tmp_path / "profile"))
+    profile = drift.Profile.read(spark, str(tmp_path / "profile"))
+    for batch in (incoming, incoming.drop("b", "kind"), incoming.limit(0)):
+        want = drift.drift_report("d", reference, batch, reference.columns)
+        got = drift.drift_against(profile, "d", batch)
+        assert any("reference-rows" in f for f in want.inputFiles()) and not any("reference-rows" in f for f in got.inputFiles())
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_profiles_of_parts_merge(spark):
+    reference, incoming = drift_frames(spark)
+    halves = [reference.where(F.pmod(F.xxhash64(*reference.columns), F.lit(2)) == i) for i in (0, 1)]
+    whole, parts = drift.profile_of(reference), drift.merged(*map(drift.profile_of, halves))
+    for name in ("numbers", "texts", "ranges"):
+        assert sorted(map(str, getattr(parts, name).collect())) == sorted(map(str, getattr(whole, name).collect()))
+    got, want = (drift.drift_against(p, "d", incoming).collect() for p in (parts, whole))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        drift.merged(whole, drift.profile_of(reference.drop("a")))
+
+
+def test_a_profile_without_numbers_or_texts(spark, tmp_path):
+    days = spark.sql("select date'2024-01-01' as day")
+    drift.profile_of(days).write(str(tmp_path / "p"))
+    rows = drift.drift_against(drift.Profile.read(spark, str(tmp_path / "p")), "d", days).collect()
+    assert [(r.column_name, r.check_name, r.flagged) for r in rows] == [("day", "schema", False)]
 
 
 def test_what_is_computed_from_the_rule_is_left_out():
