@@ -73,6 +73,24 @@ class ModelRegistry:
         ready = aligned(rows, features, keep=list(keep))
         return scored(self.load(name), assembled(ready, features, keep))
 
+    def predict_together(self, requests: DataFrame, model: str, keep: Sequence[str]) -> DataFrame:
+        """Score requests to several models at once: (model, kept columns, prediction, score).
+
+        ``model`` names the column with each row's model; the other columns are the union of what the models
+        read. Every part is aligned to its model's own list, and all parts are one plan. Score is null for
+        regressors and clusterings. Rows of a null name or of a model that is not registered come back without prediction.
+        """
+        found = [r.name for r in self.models().select("name").collect()]  # one row a registered model
+        shape = [model, *keep, "prediction", "score"]
+        none = F.lit(None).cast("double")
+        unknown = requests.where(~F.coalesce(F.col(model).isin(found), F.lit(False))) if found else requests
+        out = unknown.withColumns({"prediction": none, "score": none}).select(*shape)
+        for name in sorted(found):
+            part = self.predict(name, requests.where(F.col(model) == name), [model, *keep])
+            score = F.col("score") if "score" in part.columns else none
+            out = out.unionByName(part.select(model, *keep, F.col("prediction").cast("double").alias("prediction"), score.alias("score")))
+        return out
+
 
 def leaderboard(models: DataFrame) -> DataFrame:
     """Regressors by MAE, the rest by F1, models without the metric last."""

@@ -244,6 +244,35 @@ def test_a_profile_without_numbers_or_texts(spark, tmp_path):
     assert [(r.column_name, r.check_name, r.flagged) for r in rows] == [("day", "schema", False)]
 
 
+def test_four_kinds_of_model_score_one_request_frame(spark, t, registry):
+    kpis = E.customer_kpis(t).select("customer_id", "annual_revenue", "engagement_score", "total_orders", "days_since_last_order")
+    labelled = kpis.withColumn("label", F.col("days_since_last_order") % 2).withColumn("amount", F.col("annual_revenue") / 2)
+    classes, numbers = ["engagement_score", "total_orders"], ["total_orders", "days_since_last_order"]
+    forest = RandomForestClassifier(featuresCol=T.VECTOR, labelCol="label", numTrees=5, seed=1)
+    trees = GBTRegressor(featuresCol=T.VECTOR, labelCol="amount", maxIter=3, seed=1)
+    fits = {
+        "churn": (forest, classes, "label"), "risk": (forest.copy().setMaxDepth(3), ["days_since_last_order", *classes], "label"),
+        "revenue": (trees, numbers, "amount"), "demand": (trees.copy().setMaxIter(2), ["annual_revenue", "total_orders"], "amount"),
+    }
+    for name, (learner, features, target) in fits.items():
+        registry.register(name, learner.fit(T.assembled(labelled, features, [target])), {}, features, "tree", name)
+    # every kind gets its rows; the revenue rows lack a feature, one model is not registered, one row names none
+    parts = [kpis.withColumn("model", F.lit(name)) for name in ("churn", "risk", "demand", "other")]
+    parts += [kpis.drop("days_since_last_order").withColumn("model", F.lit("revenue")), kpis.limit(1).withColumn("model", F.lit(None).cast("string"))]
+    requests = parts[0]
+    for part in parts[1:]:
+        requests = requests.unionByName(part, allowMissingColumns=True)
+    got = {(r.model, r.customer_id): (r.prediction, r.score) for r in registry.predict_together(requests, "model", ["customer_id"]).collect()}
+    n = kpis.count()
+    assert len(got) == 5 * n + 1
+    for name, rows in (("churn", kpis), ("risk", kpis), ("demand", kpis), ("revenue", kpis.drop("days_since_last_order"))):
+        for r in registry.predict(name, rows, ["customer_id"]).collect():
+            prediction, score = got[name, r.customer_id]
+            assert prediction == r.prediction and score == (r.score if "score" in r else None)
+    assert all(v == (None, None) for (name, _), v in got.items() if name in (None, "other"))
+    assert registry.predict_together(requests.limit(0), "model", ["customer_id"]).count() == 0
+
+
 def test_what_is_computed_from_the_rule_is_left_out():
     columns = [
         "customer_id", "recency_days", "days_since_last_order", "days_since_last_order_kpi", "churn_risk_score_kpi", "churn_flag",
