@@ -184,6 +184,32 @@ def plain_grams(text):
     return out
 
 
+def plain_nearest(text, learned, length):
+    counts = Counter(langid.grams(text).tolist())
+    if not counts:
+        return langid.UNKNOWN, 0.0
+    own = sorted(counts, key=lambda g: (-counts[g], g))[:length]
+    away = {}
+    for name, grams in learned.items():
+        rank = {g: i for i, g in enumerate(grams)}
+        away[name] = sum(abs(rank[g] - i) if g in rank else length for i, g in enumerate(own))
+    best = min(sorted(away), key=away.get)
+    return best, 1.0 - away[best] / (length * len(own))
+
+
+def test_the_distance_is_out_of_place_by_plain_loops(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(120).collect()]
+    texts += ["", "12 !", "a", "été", "zzzz qqqq", "the the the the", texts[0] * 30, texts[1][:25], "漢字 and 😀"]
+    for length in (40, 400):
+        learned = langid.learn(docs, "text", "lang", length=length)
+        learned["copy"] = list(learned[min(learned)])  # two equal profiles: the smaller name wins
+        profiles = langid.Profiles(learned, length)
+        for text in texts:
+            name, score = plain_nearest(text, learned, length)
+            assert profiles.nearest(text) == (name, pytest.approx(score, abs=1e-12)), text[:60]
+
+
 @pytest.mark.parametrize("text", ["", "?!", "a", "L'été, à 3 heures!  漢字", "aaa bbb aaa"])
 def test_grams_are_counted_plainly(text):
     def key(g):
@@ -381,3 +407,46 @@ def test_runs_prune_by_each_dimension(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().where("count = 25").count() == 40
 
 
+
+
+# ---------------------------------------------------------------- importance by plain loops
+
+
+def own_buckets(text, count):
+    data = np.frombuffer(text, np.uint8)
+    return resampling.buckets(data, np.array([0, len(data)]), count)[0].tolist()
+
+
+def plain_buckets(text, count):
+    """Every token and pair of neighbouring tokens, each hashed by itself."""
+    words = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0d]+", text)
+    out = Counter(own_buckets(w, count)[0] for w in words)
+    out.update(own_buckets(a + b" " + b, count)[2] for a, b in zip(words, words[1:]))
+    return out
+
+
+def test_log_importance_by_plain_loops(spark):
+    count = 512
+    bodies = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    bodies += [None, "", " \n", "a", "a a a a a a", "été — 漢字 😀!", bodies[0], "x, y; z", "tab\tand\x0bmore\x01marks", bodies[1]]
+    rows = [(i, b, None if i % 7 == 5 else i % 3 == 0) for i, b in enumerate(bodies)]
+    docs = spark.createDataFrame(rows, "id long, body string, flag boolean").repartition(3)
+    raw, wanted = resampling.train(docs, "body", "flag", count)
+    grams = {i: plain_buckets((b or "").encode(), count) for i, b, _ in rows}
+    plain_raw, plain_wanted = Counter(), Counter()
+    for i, _, flag in rows:
+        plain_raw.update(grams[i])
+        if flag:
+            plain_wanted.update(grams[i])
+    assert raw.tolist() == [plain_raw[b] for b in range(count)]
+    assert wanted.tolist() == [plain_wanted[b] for b in range(count)]
+    share = sum(plain_wanted.values()) / sum(plain_raw.values())
+    got = {r.id: r.log_ratio for r in resampling.score(docs.fillna({"flag": False}), "body", "flag", raw, wanted).collect()}
+    for i, _, flag in rows:
+        total = 0.0
+        for bucket, n in grams[i].items():
+            mine = min(n, resampling.OWN)
+            in_target = plain_wanted[bucket] - (mine if flag else 0) + resampling.SMOOTHING
+            in_raw = (plain_raw[bucket] - mine) * share + resampling.SMOOTHING
+            total += n * (np.log(in_target) - np.log(in_raw))
+        assert got[i] == pytest.approx(total, abs=1e-9), i
