@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.catalog.features import customer_feature_table
@@ -17,12 +18,12 @@ from halyard.catalog.views import hu, sql
 from halyard.catalog.windows import DEMAND_SET, PANEL
 from halyard.functions import half_up
 from halyard.operators import attribution as B
-from halyard.operators import metrics as M
 from halyard.operators.information import neighbour_information
 from halyard.operators.union import stacked
 from halyard.plans import jobs as J
 from halyard.plans import selecting as S
 from halyard.plans import training as T
+from halyard.plans.features import SELECTION_TARGET, finance_features, inventory_features
 from halyard.plans.registry import ModelRegistry, leaderboard
 from halyard.plans.together import together
 from halyard.session import checkpoint_ready
@@ -39,11 +40,10 @@ def scratch_registry(t) -> ModelRegistry:
     return ModelRegistry(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/registry-{uuid.uuid4().hex}")
 
 
-SELECTABLE = ["annual_revenue", "engagement_score", "customer_health_score", "recent_revenue", "order_velocity", "recent_order_count"]
-
-
-def labelled_kpis(t):
-    return E.customer_kpis(t).select("customer_id", "churn_flag", *SELECTABLE)
+def selection_table(t):
+    """The customer feature table, written once, and the features that the package selects from."""
+    table = T.stored(customer_feature_table(t))
+    return table, T.feature_columns(table, ["customer_id", SELECTION_TARGET])
 
 
 # few-valued features make the bins exact: every value is its own bin
@@ -103,18 +103,52 @@ def _(t):
 
 @query("e12_recursive_elimination")
 def _(t):
-    left = S.eliminated(labelled_kpis(t), SELECTABLE, "churn_flag", 3)
+    table, features = selection_table(t)
+    left = S.eliminated(table, features, SELECTION_TARGET, 10)
     return t.spark.createDataFrame([(c,) for c in left], "feature string")
 
 
 @query("e13_tree_importance")
 def _(t):
-    return S.tree_importance(labelled_kpis(t), SELECTABLE, "churn_flag")
+    table, features = selection_table(t)
+    return S.tree_importance(table, features, SELECTION_TARGET)
+
+
+@query(
+    "e13_importance_rows",
+    sql(
+        """select 'planted_constant' as feature, count(*) > 0 as sound from customers union all select 'planted_noise', count(*) > 0 from customers
+        union all select 'planted_signal', count(*) > 0 from customers union all select 'shares', count(*) > 0 from customers"""
+    ),
+)
+def _(t):
+    """Columns of known worth beside the table's own: a constant weighs nothing, a noisy copy of the target most, noise little; shares add up to one."""
+    table, features = selection_table(t)
+    draw = F.abs(F.xxhash64("customer_id")) % 1000
+    planted = table.select(
+        "*",
+        F.lit(1.0).alias("planted_constant"),
+        F.when(draw < 50, 1 - F.col(SELECTION_TARGET)).otherwise(F.col(SELECTION_TARGET)).cast("double").alias("planted_signal"),
+        (F.abs(F.xxhash64("customer_id", F.lit("noise"))) % 1000).cast("double").alias("planted_noise"),
+    )
+    # columns that the target is made of would outweigh the copy
+    kept = [c for c in features if c not in J.CHURN_LEAKS]
+    found = S.tree_importance(planted, [*kept, "planted_constant", "planted_signal", "planted_noise"], SELECTION_TARGET)
+    most = F.max("importance").over(W.partitionBy())
+    judged = found.select("feature", "importance", most.alias("most"))
+    sound = (
+        F.when(F.col("feature") == "planted_constant", F.col("importance") == 0.0)
+        .when(F.col("feature") == "planted_signal", F.col("importance") == F.col("most"))
+        .when(F.col("feature") == "planted_noise", F.col("importance") < 0.1 * F.col("most"))
+    )
+    shares = found.agg(F.lit("shares").alias("feature"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sound"))
+    return judged.where(F.col("feature").startswith("planted_")).select("feature", sound.alias("sound")).union(shares)
 
 
 @query("e14_selection_report")
 def _(t):
-    return S.selection_report(labelled_kpis(t), SELECTABLE, "churn_flag", "customer_kpis", k=3)
+    table, features = selection_table(t)
+    return S.selection_report(table, features, SELECTION_TARGET, "customer_features")
 
 
 # columns of the seven tables on the star's categories
@@ -285,14 +319,17 @@ def _(t):
     return demand_outcome(t).results["requirements"]
 
 
+def risk_frame(t, name):
+    """The feature table that a risk job reads in a training run."""
+    if name == "financial_risk_model":
+        return finance_features(E.finance(t))
+    if name == "operational_risk_model":
+        return J.keyed_snapshots(inventory_features(E.inventory(t), E.products(t)))
+    return customer_feature_table(t).withColumn("recency_days", F.col("days_since_last_order"))
+
+
 def risk_outcome(t, name, registry):
-    used = E.inventory(t).withColumn("inventory_utilization", M.inventory_utilization())
-    frames = {
-        "financial_risk_model": E.finance(t),
-        "operational_risk_model": J.keyed_snapshots(used),
-        "customer_risk_model": E.customer_kpis(t).withColumn("recency_days", F.col("days_since_last_order")),
-    }
-    return J.train_risk(name, frames[name], registry)
+    return J.train_risk(name, risk_frame(t, name), registry)
 
 
 @query("l21_risk_training")
@@ -325,9 +362,9 @@ def _(t):
 def _(t):
     """Train, then score a frame that lacks one feature (taken as zero)."""
     registry = scratch_registry(t)
-    kpis = E.customer_kpis(t).withColumn("recency_days", F.col("days_since_last_order"))
-    risk_outcome(t, "customer_risk_model", registry)
-    return registry.predict("customer_risk_model", kpis.drop("employee_count"), ["customer_id"]).select("customer_id", "prediction", "score")
+    customers = T.stored(risk_frame(t, "customer_risk_model"))
+    J.train_risk("customer_risk_model", customers, registry)
+    return registry.predict("customer_risk_model", customers.drop("employee_count"), ["customer_id"]).select("customer_id", "prediction", "score")
 
 
 def filled_registry(t):
@@ -375,10 +412,9 @@ def _(t):
 
 @query("l32_feature_importance")
 def _(t):
-    labelled = labelled_kpis(t).withColumn("label", F.col("churn_flag").cast("double"))
-    rows = T.stored(T.with_positive_weight(T.assembled(labelled, SELECTABLE, ["customer_id", "label"]), "label"))
-    model = T.classification_candidates(T.Budget(trees=150))[0].build().fit(rows)
-    return T.importances(model, SELECTABLE, t.spark, top=15)
+    rows, features = churn_rows(t)
+    model = T.classification_candidates(T.Budget(trees=150))[0].build().fit(rows.where(LABELLED))
+    return T.importances(model, features, t.spark, top=15)
 
 
 def explained(t):
