@@ -11,6 +11,6 @@ def load_all() -> None:
         importlib.import_module(f"halyard.catalog.{name}")
 
 
-MODULES = ["aggregations", "cleaning", "relational", "windows", "metrics", "features", "rules", "models"]
+MODULES = ["aggregations", "cleaning", "relational", "windows", "metrics", "features", "rules", "models", "judged"]
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]
