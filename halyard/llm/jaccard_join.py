@@ -130,7 +130,7 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
         data, offsets = arrow_text.texts(batch.column(batch.num_columns - 1))
         for start, stop in arrow_text.ranges(offsets, SLICE_BYTES):
             yield batch.slice(start, stop - start), shingles.sets(data, offsets[start : stop + 1], width)
-    pa.default_memory_pool().release_unused()
+    arrow_text.give_back()
 
 
 def frequent_shingles(docs: DataFrame, text: str, width: int, least: int = FREQUENT_ROWS, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -312,6 +312,8 @@ def links(
             data, offsets = arrow_text.texts(pa.array(group["text"], pa.large_string()))
             found = [s for x, y in arrow_text.ranges(offsets, SLICE_BYTES) for s in shingles.sets(data, offsets[x : y + 1], width)]
             out.append(link(group, found, (group["own"].to_numpy() != a).astype(int), num, den))
+            del data, found
+        arrow_text.give_back()
         return pd.concat(out)
 
     slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))

@@ -272,7 +272,7 @@ def pack(
         rows = [(*r, None, place, split) for place, r in enumerate(packer.rest())]
         if rows:
             yield made(rows, kind, names)
-        pa.default_memory_pool().release_unused()
+        arrow_text.give_back()
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["split", "offset"])
