@@ -41,12 +41,13 @@ from halyard.llm import arrow_text, shingles, signature_tree
 from halyard.llm.components import components
 from halyard.sources.scratch import drop_written, written
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 FAMILY_MEMBERS = 2 << 20  # shingles in one block
 SEEN = 1 << 20  # sets that a task remembers
 FREQUENT_ROWS = 50  # rows that share a shingle before it counts as frequent
 MOST_FREQUENT = 1 << 18  # of them are broadcast, two MB
 CELL_PASSES = 4  # the cells are shuffled a share at a time
+TEXT_PASS = 1 << 24  # shingles whose texts are shuffled to their pairs of blocks at once, or half of all where that is more
 SHARED_IN_TASK = 3
 COUNTED = 1 << 20  # shingles held before a task adds them up
 U = np.uint64
@@ -286,14 +287,19 @@ WANTED = {
 
 
 def links(
-    docs: DataFrame, key: str, text: str, width: int, num: int, den: int, members: DataFrame, want: str = "forest", block_members: int = FAMILY_MEMBERS
-) -> DataFrame:
+    docs: DataFrame, key: str, text: str, width: int, num: int, den: int, members: DataFrame, want: str = "forest", block_members: int = FAMILY_MEMBERS,
+    pass_members: int = TEXT_PASS,
+) -> DataFrame:
     """The links inside each family of (node, family, n, key1, key2); nodes are ids of documents.
 
     (u, v): a spanning forest, or with ``pairs`` all links of different sets, each once. With ``counts``, where members
     have their ``copies``, (u, v, key1, key2, n): a spanning forest and, u and v null, summands of the copies that a set links with.
+
+    A text goes to every pair of blocks that its own is in, so more text is shuffled than there is, and the more the larger a family is.
+    Beyond ``pass_members`` shingles the texts are written once beside their blocks, and shuffled a share of the pairs at a time.
     """
-    groups = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / block_members))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, math.ceil(total / block_members))
     schema, link = WANTED[want]
     extra = [c for c in ("key1", "key2", "copies") if c in members.columns]
 
@@ -318,16 +324,33 @@ def links(
 
     slim = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
     # texts are shuffled whatever the number of members: the plan is the same at every size
-    placed = slim.join(blocks(members, num, den, block_members).hint("merge"), "node").select("node", "family", "own", "others", "cut", *extra, "text")
+    placed_in = blocks(members, num, den, block_members)
+    placed = slim.join(placed_in.hint("merge"), "node").select("node", "family", "own", "others", "cut", *extra, "text")
     more = ", ".join(f"{c} long" for c in extra)
     sized = placed.mapInArrow(own_sets, f"node long, family long, own long, others array<long>, cut boolean, {more}, text string")
-    # texts travel, not sets: hashes are longer than words and cannot be compressed
-    paired = (
-        sized.withColumn("other", F.explode("others"))
-        .select("node", "family", *extra, "text", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
-        .withColumn("group", F.when(F.col("cut"), F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))))
-    )
-    return paired.drop("cut").groupBy("group").applyInPandas(join, schema)
+
+    def paired(texts: DataFrame) -> DataFrame:
+        # texts travel, not sets: hashes are longer than words and cannot be compressed
+        return (
+            texts.withColumn("other", F.explode("others"))
+            .select("node", "family", *extra, "text", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("z"), "cut")
+            .withColumn("group", F.when(F.col("cut"), F.xxhash64("family", "a", "z")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))))
+            .drop("cut")
+        )
+
+    moved = members.select("node", "family", "n") if total > pass_members else None
+    if moved is not None:
+        moved = blocks(moved.withColumn("size", F.col("n")), num, den, block_members).agg(F.sum(F.col("size") * F.size("others"))).first()[0] or 0
+    passes = math.ceil(moved / max(pass_members, total // 2)) if moved else 1
+    if passes == 1:
+        return paired(sized).groupBy("group").applyInPandas(join, schema)
+    texts = written(sized, "shingle-texts")
+    parts = []
+    for part in range(passes):
+        mine = paired(texts).where(F.pmod(F.xxhash64("group"), F.lit(passes)) == part)
+        parts.append(written(mine.groupBy("group").applyInPandas(join, schema), "shingle-found"))
+    drop_written(texts)
+    return reduce(DataFrame.union, parts)
 
 
 def linked(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, count: bool = False) -> DataFrame:

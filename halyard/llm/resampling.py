@@ -36,7 +36,7 @@ MISSED = 0.001
 MARGIN = 4.0  # nats below that level; Gumbel noise seldom moves a text further
 SMOOTHING = 2.0
 OWN = 3  # occurrences of an n-gram in a text that do not speak for or against the text itself
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BINS = 1000
 FEW = 1000
 U = np.uint64
@@ -94,6 +94,7 @@ def train(docs: DataFrame, text: str, target: str, count: int = BUCKETS) -> tupl
                 wanted += np.bincount(bucket[flags[start:stop][row]], minlength=count)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(wanted[some])], ["bucket", "raw", "target"])
+        arrow_text.give_back()
 
     slim = docs.select(F.col(text).alias("body"), F.coalesce(F.col(target), F.lit(False)).alias("flag"))
     rows = slim.mapInArrow(add, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
@@ -123,6 +124,7 @@ def score(docs: DataFrame, text: str, target: str, raw: np.ndarray, wanted: np.n
                 found[start:stop] = np.bincount(row, n * ratio, stop - start)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(found)], schema.names)
+        arrow_text.give_back()
 
     return docs.mapInArrow(run, schema)
 

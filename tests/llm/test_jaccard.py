@@ -7,6 +7,7 @@ import pytest
 
 from halyard.llm import jaccard_join, shingles, signature_tree
 from halyard.llm.components import components
+from halyard.sources import scratch
 from tests.llm.frames import no_documents, odd_documents
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -178,3 +179,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_go_to_their_blocks_in_passes(spark):
+    """A family of many blocks: a share of the pairs at a time finds the links of all at once, and leaves no table of texts."""
+    texts = [" ".join(f"w{i}" for i in range(n, n + 40 + n % 7)) for n in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sized = jaccard_join.sketches(docs, "doc_id", "text", 1).selectExpr("id as node", "7L as family", "n", "key1", "key2")
+    for want in ("pairs", "forest"):
+        found = [
+            jaccard_join.links(docs, "doc_id", "text", 1, 80, 100, sized, want, block_members=300, pass_members=most)
+            for most in (1 << 24, 200)
+        ]
+        # a set is compared in several blocks: an edge may come more than once
+        whole, shares = [{tuple(sorted(r)) for r in f.collect()} for f in found]
+        assert len(whole) > 60 if want == "pairs" else whole
+        assert whole == shares
+    assert len(found[1].inputFiles()) > 1  # written a pass at a time
+    assert not [path for _, path in scratch._written if "shingle-texts" in path]
