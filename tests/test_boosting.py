@@ -168,3 +168,28 @@ def test_the_pool_keeps_the_order_and_raises(spark):
 
     with pytest.raises(ValueError):
         together(spark, [fails, lambda: spark.range(10).count()])
+
+
+def test_of_two_children_only_the_smaller_is_added_up(monkeypatch):
+    """The sums of a level are read off at most half of the rows; the trees are those of all sums."""
+    draw = np.random.default_rng(5)
+    bins = draw.integers(0, 32, (5000, 6)).astype(np.uint8)
+    label = (bins[:, 0] * 1.0 + bins[:, 3] + draw.normal(0, 5, len(bins)) > 31).astype(float)
+    spec = B.Spec(True, 3, 4, 0.3, 0.8, 0.7)
+    added, seen = B._added, []
+    monkeypatch.setattr(B, "_added", lambda parts, at, *rest: seen.append(len(at)) or added(parts, at, *rest))
+    names, weight = draw.integers(0, 1 << 62, len(bins)).astype(np.uint64), np.where(label == 1, 1.7, 1.0)
+    trees, margin = B.fitted(spec, bins, names, label, weight, 0.0, 32, 1.0, np.ones(len(bins), bool))
+    roots = [n for n in seen if n > 2500]
+    assert len(roots) == 3 and max(n for n in seen if n not in roots) <= max(roots) / 2
+    again = np.zeros(len(bins))
+    for number, tree in enumerate(trees):
+        now, more = B.Growing(spec, number, 6), True
+        g, h = B.gradients(spec, label, weight, again)
+        rows = np.flatnonzero(B.drawn(spec, number, names))
+        while more:
+            total = B.sums(bins[rows], now.tree.place(bins[rows]), now.frontier, now.columns, g[rows], h[rows], 32)
+            more = now.take(B.best_splits(total, spec))
+        assert (now.tree.value == tree.value).all() and (now.tree.feature == tree.feature).all()
+        again = again + tree.value[tree.place(bins)]
+    assert (again == margin).all()
