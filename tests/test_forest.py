@@ -124,3 +124,18 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(1.0, 2.0, 1)] * 5, kinds)
     assert {r.importance for r in S.tree_importance(one, ["a", "b"], "y", 3).collect()} == {0.0}
     assert S.eliminated(one, [], "y", 1) == []
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_large_nodes_read_a_column_at_a_time_give_the_same(monkeypatch, classes):
+    draw = np.random.default_rng(8)
+    bins = draw.integers(0, 32, (3000, 9)).astype(np.uint8)
+    label = bins[:, 2] + bins[:, 5] + draw.normal(0, 6, len(bins))
+    label = (label > 31).astype(float) if classes else label / 64
+    names = draw.integers(0, 1 << 62, len(bins)).astype(np.uint64)
+    found = []
+    for least in (1, 256, 1 << 30):
+        monkeypatch.setattr(R, "LARGE", least)
+        found.append(R.tree_gains(R.Spec(classes, 8, 3), 0, bins, names, label, 32))
+    assert found[0].sum() == pytest.approx(1.0)
+    assert all((f == found[0]).all() for f in found)
