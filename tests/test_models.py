@@ -337,3 +337,37 @@ def test_the_registered_package_eliminates_one_feature_at_a_refit(spark, monkeyp
     with pytest.raises(Caught) as caught:
         queries()["e23_feature_package"](spark, FOLDER)
     assert caught.value.args == ((150, 250), 1)
+
+
+def test_looked_up_contributions_are_those_worked_out_row_by_row():
+    """Paths shared by leaves, open limits, values on a limit, several outputs."""
+    draw = np.random.default_rng(6)
+    depth, leaves = 4, 12
+    feature = np.array([draw.permutation(6)[:depth] for _ in range(leaves)])
+    low = np.where(draw.random((leaves, depth)) < 0.5, -np.inf, draw.integers(0, 4, (leaves, depth)) - 0.0)
+    high = np.where(np.isinf(low), draw.integers(1, 5, (leaves, depth)) - 0.0, np.inf)
+    block = B.LeafBlock(feature, low, high, draw.random((leaves, depth)), draw.random((leaves, 3)))
+    x = draw.integers(0, 6, (B.RUN + 50, 6)).astype(float)
+    looked_up, worked_out = np.zeros((2, 6, 3, len(x)))
+    B._by_pattern(np.ascontiguousarray(x.T), block, looked_up)
+    B._row_by_row(x, block, worked_out)
+    assert np.abs(looked_up - worked_out).max() < 1e-12 and np.abs(looked_up).max() > 0.1
+    assert np.abs(B.contributions(x, [block]) - worked_out.transpose(2, 0, 1)).max() < 1e-12
+
+
+def test_large_tables_lie_in_equal_files(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 2).selectExpr("id", "id % 7 as v")
+    assert len(T.stored(rows, "id").inputFiles()) == 2
+    monkeypatch.setattr(T, "SPREAD_ROWS", 1000)
+    spread = T.stored(rows, "id")
+    assert len(spread.inputFiles()) == 3 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_the_registry_of_linear_fits_reads_the_months_from_a_table(t, monkeypatch):
+    from halyard.catalog import models
+
+    read, stored = [], T.stored
+    monkeypatch.setattr(models.T, "stored", lambda df, *key: read.append(stored(df, *key)) or read[-1])
+    assert models.filled_registry(t).models().count() == 4
+    assert len(read) == 1 and read[0].columns == ["label", T.VECTOR]
