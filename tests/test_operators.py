@@ -218,6 +218,28 @@ def test_correlation_filter_keeps_the_first(spark):
     assert correlation_pairs(df).count() == 3
 
 
+def test_correlations_of_many_columns_in_one_pass(spark, monkeypatch):
+    from halyard.operators import describe
+
+    draw = random.Random(5)
+    names = [f"c{i}" for i in range(8)]
+    table = [[None if draw.random() < 0.2 else 1e6 + draw.gauss(0, 1) * (i + 1) for i in range(8)] for _ in range(300)]
+    for row in table:
+        row[1] = None if row[0] is None else 3.0 - 2.0 * row[0]
+        row[2] = None  # never present
+    table[7][3], table[7][4] = float("nan"), 1.0
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in names)).repartition(5)
+    monkeypatch.setattr(describe, "MOMENT_ROWS", 16)
+    found = correlation_pairs(df)
+    assert "corr(" not in plan(found)  # hundreds of aggregates in one row are neither compiled nor fast
+    got = {(r.column_a, r.column_b): r.correlation for r in found.collect()}
+    want = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in got]).first().asDict()
+    assert len(got) == 28
+    for (a, b), value in got.items():
+        assert value == pytest.approx(want[f"{a}|{b}"], abs=1e-9, nan_ok=True), (a, b)
+    assert [r.correlation for r in correlation_pairs(df.limit(0)).collect()] == [None] * 28
+
+
 def test_describe_mixed_columns(sample):
     got = {r.column_name: r for r in describe_all(sample).collect()}
     assert (got["value"].q50, got["value"].min, got["value"].max) == (30.0, 10.0, 50.0)
