@@ -19,6 +19,8 @@ from halyard.operators.ordered import exact_quantiles, running_totals
 from halyard.sources.scratch import written
 
 MAX_CATEGORIES = 10_000
+#: Indicator columns beyond which making a row costs more than moving it.
+MANY_COLUMNS = 500
 SMOOTHING = 10.0
 UNKNOWN = "Unknown"
 
@@ -199,10 +201,13 @@ def one_hot(
     """One 0/1 column ``<column>_<value>`` per category, all in one projection.
 
     A mapping gives the categories; otherwise they are read from the data. A column
-    for each value is what is asked for here; ``one_hot_sparse`` needs none.
+    for each value is what is asked for here; ``one_hot_sparse`` needs none. Rows that become
+    more than ``MANY_COLUMNS`` wide are dealt over all cores while they are narrow, however few files hold them.
     """
     if not isinstance(columns, Mapping):
         columns = {c: categories(df, c) for c in columns if c in df.columns}
+    if sum(map(len, columns.values())) > MANY_COLUMNS:
+        df = df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
     indicators = [
         (F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) == F.lit(v)).cast("double").alias(f"{c}_{v}")
         for c, values in columns.items()

@@ -218,6 +218,16 @@ def test_correlation_filter_keeps_the_first(spark):
     assert correlation_pairs(df).count() == 3
 
 
+def test_wide_indicators_are_made_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(N, "MANY_COLUMNS", 3)
+    df = spark.createDataFrame([(i, f"v{i % 5}", "x" if i % 2 else None) for i in range(40)], "id int, a string, b string").coalesce(1)
+    wide = N.one_hot(df, ["a"], keep_source=False)
+    assert wide.rdd.getNumPartitions() > 1  # the one file's rows are dealt out before they are widened
+    assert N.one_hot(df, ["b"]).rdd.getNumPartitions() == 1
+    got = {r.id: [r[f"a_v{k}"] for k in range(5)] for r in wide.collect()}
+    assert got == {i: [float(k == i % 5) for k in range(5)] for i in range(40)}
+
+
 def test_correlations_of_many_columns_in_one_pass(spark, monkeypatch):
     from halyard.operators import describe
 
