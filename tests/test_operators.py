@@ -218,6 +218,32 @@ def test_correlation_filter_keeps_the_first(spark):
     assert correlation_pairs(df).count() == 3
 
 
+def test_dense_facts_equal_the_grid_completed_by_a_join(spark):
+    keys = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (None, "n")], "k int, name string")
+    facts = spark.createDataFrame(
+        [(1, "m1", 5, 1.5), (1, "m3", None, 2.5), (2, "m2", 7, None), (9, "m1", 1, 1.0), (None, "m1", 2, 2.0), (2, None, 3, 3.0)],
+        "k int, month string, n long, x double",
+    )
+    months = F.array(*map(F.lit, ["m1", "m2", "m3"]))
+    want = J.complete_grid(J.dense_grid(keys, months, "month"), facts, ["k", "month"], {"n": 0})
+    got = J.dense_facts(keys, facts, "k", months, "month", {"n": 0})
+    assert got.columns == want.columns
+    assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
+
+
+def test_rows_of_a_repeated_key_come_back_after_the_windows(spark):
+    from halyard.plans import features as X
+
+    lines = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (None, 14)], "k int, line int")
+    goods = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, None, 2.0), (None, "n", 9.0), (4, "z", 4.0)], "k int, name string, x double")
+    narrow = X._with_rows(lines, goods, "k", ["name", "x"], "more")
+    assert sorted(r.line for r in narrow.collect()) == [10, 11, 12, 13, 14]  # a line is one row
+    got = X._all_rows(narrow, ["name", "x"], "more")
+    want = J.with_dimension(lines, goods, "k", ["name", "x"])
+    assert got.columns == want.columns
+    assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
+
+
 def test_wide_indicators_are_made_on_all_cores(spark, monkeypatch):
     monkeypatch.setattr(N, "MANY_COLUMNS", 3)
     df = spark.createDataFrame([(i, f"v{i % 5}", "x" if i % 2 else None) for i in range(40)], "id int, a string, b string").coalesce(1)

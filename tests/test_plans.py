@@ -27,6 +27,16 @@ def test_customer_window_and_join_share_a_shuffle(nothing_small):
     assert shuffles(text, "customer_id") == 2  # the lines once, the customers once
 
 
+def test_wide_lines_are_not_shuffled_by_product(nothing_small):
+    text = plan(QUERIES["e16_sales_features"](nothing_small, FOLDER))
+    assert shuffles(text, "product_id") == shuffles(text, "l_partkey") == shuffles(text, "p_partkey") == 0
+
+
+def test_grid_is_never_shuffled(nothing_small):
+    text = plan(QUERIES["w8_demand_lags_and_rolls"](nothing_small, FOLDER))
+    assert len(re.findall(r"Exchange hashpartitioning\(product_id#\d+L?, order_month#", text)) == 1  # sums of the lines
+
+
 def test_extended_rollup_needs_one_shuffle(nothing_small):
     text = plan(QUERIES["a2_customer_order_rollup_extended"](nothing_small, FOLDER))
     assert shuffles(text, "customer_id") == 1
