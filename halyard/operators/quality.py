@@ -110,20 +110,29 @@ def counts_and_ranges(
     return _graded(_unpacked(df.agg(F.array(*checks).alias("s"))))
 
 
-def _tagged(df: DataFrame, children: list[tuple[int, str]], parents: list[tuple[int, str]], sums: list[tuple[int, Column]]) -> DataFrame:
-    """(rule, key, n, parent) entries of one table, from one read of it.
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _tagged(df: DataFrame, children: list[tuple[int, str]], parents: list[tuple[int, str]], sums: list[tuple[int, Column]], whole: set[int]) -> DataFrame:
+    """(rule, key, text, n, parent) entries of one table, from one read of it.
 
     A row gives an entry for every rule that it takes part in: its key as a child, its key as a parent, and
-    one for a plain count (rows, values out of range) that it adds to.
+    one for a plain count (values out of range) that it adds to. Keys of the rules in ``whole`` stay numbers, others are texts.
     """
 
     def entry(rule: int, key: Column, n: int, parent: bool) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(n).cast("long").alias("n"), F.lit(parent).alias("parent"))
+        none = F.lit(None)
+        number, text = (key, none) if rule in whole else (none, key)
+        return F.struct(
+            F.lit(rule).alias("rule"), number.cast("long").alias("key"), text.cast("string").alias("text"),
+            F.lit(n).cast("long").alias("n"), F.lit(parent).alias("parent"),
+        )
 
     entries = [entry(rule, F.col(key), 1, False) for rule, key in children]
     entries += [entry(rule, F.col(key), 0, True) for rule, key in parents]
     entries += [F.when(hit, entry(rule, F.lit(None), 1, False)) for rule, hit in sums]
-    return df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    # not ``filter``: it would take the whole array out of compiled code
+    return df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
 def _out_of_range(column: str, low: float | None, high: float | None) -> Column:
@@ -145,6 +154,7 @@ def validate(
     children: dict[str, list] = {name: [] for name in tables}
     parents: dict[str, list] = {name: [] for name in tables}
     sums: dict[str, list] = {name: [] for name in tables}
+    rows_of: dict[str, int] = {}
 
     def rule(table: str, check: str, kind: str, good: str, before: str = "", after: str = "", minimum: int = 0) -> int:
         listed.append((len(listed), table, check, kind, minimum, good, before, after))
@@ -155,8 +165,7 @@ def validate(
         rule(name, "required_columns", "given", "all columns present", "missing: " + ", ".join(missing), "", len(missing))
         if name in minimum_rows:
             least = minimum_rows[name]
-            number = rule(name, "minimum_row_count", "least", "enough rows", f"fewer than {least} rows", "", least)
-            sums[name].append((number, F.lit(True)))
+            rows_of[name] = rule(name, "minimum_row_count", "least", "enough rows", f"fewer than {least} rows", "", least)
         for column, limits in rules.NUMERIC_RANGES.get(name, {}).items():
             if column in df.columns:
                 number = rule(name, f"range_{column}", "sum", f"{column} in range", "", f" values of {column} out of range")
@@ -173,17 +182,30 @@ def validate(
             children[name].append((number, key))
             parents[parent].append((number, parent_key))
 
-    parts = [_tagged(df, children[n], parents[n], sums[n]) for n, df in tables.items() if children[n] or parents[n] or sums[n]]
-    counted = stacked(parts).groupBy("rule", "key").agg(F.sum("n").alias("n"), F.bool_or("parent").alias("parent"))
+    # every row is an entry of each rule with its table as child: such a rule counts the rows too
+    counted_by = {number: number for number, *_ in listed}
+    for name, number in rows_of.items():
+        if children[name]:
+            counted_by[number] = children[name][0][0]
+        else:
+            sums[name].append((number, F.lit(True)))
+    kinds: dict[int, set[str]] = {}
+    for keyed in (children, parents):
+        for name, entries in keyed.items():
+            for number, key in entries:
+                kinds.setdefault(number, set()).add(dict(tables[name].dtypes)[key])
+    whole = {number for number, found in kinds.items() if found <= WHOLE}
+    parts = [_tagged(df, children[n], parents[n], sums[n], whole) for n, df in tables.items() if children[n] or parents[n] or sums[n]]
+    counted = stacked(parts).groupBy("rule", "key", "text").agg(F.sum("n").alias("n"), F.bool_or("parent").alias("parent"))
     found = counted.groupBy("rule").agg(
         F.sum("n").alias("total"),
         F.sum(F.col("n") - 1).alias("extra"),
         # a missing key has no parent, whatever the parents hold
-        F.sum(F.when(F.col("parent") & F.col("key").isNotNull(), 0).otherwise(F.col("n"))).alias("lost"),
-    )
+        F.sum(F.when(F.col("parent") & (F.col("key").isNotNull() | F.col("text").isNotNull()), 0).otherwise(F.col("n"))).alias("lost"),
+    ).withColumnRenamed("rule", "counted")
     spark = next(iter(tables.values())).sparkSession
-    schema = "rule int, table_name string, check_name string, kind string, minimum long, good string, before string, after string"
-    told = spark.createDataFrame(listed, schema).join(F.broadcast(found), "rule", "left")  # one row a rule
+    schema = "rule int, table_name string, check_name string, kind string, minimum long, good string, before string, after string, counted int"
+    told = spark.createDataFrame([(*r, counted_by[r[0]]) for r in listed], schema).join(F.broadcast(found), "counted", "left")  # one row a rule
     kind, minimum = F.col("kind"), F.col("minimum")
 
     def counted_or_zero(c: str) -> Column:

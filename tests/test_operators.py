@@ -244,6 +244,20 @@ def test_rows_of_a_repeated_key_come_back_after_the_windows(spark):
     assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
 
 
+def test_validation_entries_keep_whole_keys_and_compiled_code(spark):
+    orders = spark.createDataFrame([("a", 1, 10, -1), ("a", 2, None, 0), (None, 9, 30, 2), (None, None, 40, 3)], "order_id string, customer_id long, product_id int, quantity long")
+    people = spark.createDataFrame([(1,), (2,), (2,), (None,)], "customer_id long")
+    goods = spark.createDataFrame([("10",), ("30",)], "product_id string")  # a text here, a number there: both are compared as texts
+    report = Q.validate({"orders": orders, "customers": people, "products": goods}, {"orders": 5, "customers": 4})
+    got = {(r.table_name, r.check_name): r.failed_records for r in report.collect()}
+    assert got["orders", "primary_key_uniqueness"] == 2 and got["customers", "primary_key_uniqueness"] == 1
+    assert got["orders", "foreign_key_customer_id_to_customers"] == 2 and got["orders", "foreign_key_product_id_to_products"] == 2
+    assert got["orders", "minimum_row_count"] == 1 and got["customers", "minimum_row_count"] == 0
+    assert got["orders", "range_quantity"] == 2
+    text = plan(report)
+    assert "filter(array" not in text and "cast(customer_id" not in text
+
+
 def test_wide_indicators_are_made_on_all_cores(spark, monkeypatch):
     monkeypatch.setattr(N, "MANY_COLUMNS", 3)
     df = spark.createDataFrame([(i, f"v{i % 5}", "x" if i % 2 else None) for i in range(40)], "id int, a string, b string").coalesce(1)
