@@ -371,3 +371,21 @@ def test_the_registry_of_linear_fits_reads_the_months_from_a_table(t, monkeypatc
     monkeypatch.setattr(models.T, "stored", lambda df, *key: read.append(stored(df, *key)) or read[-1])
     assert models.filled_registry(t).models().count() == 4
     assert len(read) == 1 and read[0].columns == ["label", T.VECTOR]
+
+
+def test_two_leaves_of_one_parent_are_looked_up_together():
+    class Ensemble:
+        def nodes(self):  # (tree, id, value, cover, left, right, feature, limit); the second tree splits one feature twice
+            return [
+                (0, 0, 0.0, 10.0, 1, 2, 0, 0.1), (0, 1, 0.0, 6.0, 3, 4, 1, -0.2), (0, 2, 3.0, 4.0, -1, -1, -1, 0.0),
+                (0, 3, 1.0, 2.0, -1, -1, -1, 0.0), (0, 4, -2.0, 4.0, -1, -1, -1, 0.0),
+                (1, 0, 0.0, 10.0, 1, 2, 2, 0.0), (1, 1, 5.0, 5.0, -1, -1, -1, 0.0), (1, 2, 0.0, 5.0, 3, 4, 2, 0.5),
+                (1, 3, -1.0, 1.0, -1, -1, -1, 0.0), (1, 4, 2.0, 4.0, -1, -1, -1, 0.0),
+            ]
+
+    blocks = B.leaf_blocks(None, Ensemble())
+    assert sorted((len(b.feature), b.paired) for b in blocks) == [(2, False), (2, True), (2, True)]
+    x = np.random.default_rng(2).normal(size=(64, 3))
+    x[5, 0], x[6, 2] = np.nan, np.nan
+    together, alone = B.contributions(x, blocks), np.concatenate([B.contributions(x[i : i + 1], blocks) for i in range(64)])
+    assert np.abs(together - alone).max() < 1e-12
