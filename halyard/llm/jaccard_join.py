@@ -8,6 +8,9 @@
    what is connected is one candidate family. Members that very many documents have (a
    shared passage) are left out of the cells: what differs is not more without them, so
    no link is lost. A set that has too few other members takes part with all of them too.
+   More cells are filled than members can differ, so linked sets agree in at least the surplus: a set
+   that shares fewer cells with others has no link, and of the cells that it shares the most common, one less than
+   the surplus, need not be looked at. Unrelated texts that share a sentence do not become one family.
 3. Inside a family signature trees find the links (``signature_tree``). A family of
    many members is cut into blocks by size and hash; the trees of blocks of near
    sizes are traversed in pairs, one bounded pair a task.
@@ -35,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.llm import arrow_text, shingles, signature_tree
@@ -46,6 +50,7 @@ FAMILY_MEMBERS = 2 << 20  # shingles in one block
 SEEN = 1 << 20  # sets that a task remembers
 FREQUENT_ROWS = 50  # rows that share a shingle before it counts as frequent
 MOST_FREQUENT = 1 << 18  # of them are broadcast, two MB
+CELLS = 1.5  # cells of a band for each member in which its largest sets can differ
 CELL_PASSES = 4  # the cells are shuffled a share at a time
 TEXT_PASS = 1 << 24  # shingles whose texts are shuffled to their pairs of blocks at once, or half of all where that is more
 SHARED_IN_TASK = 3
@@ -74,7 +79,7 @@ class Bands:
         bands = [band]
         if band and -(-size * self.num // self.den) < self.edges[band]:
             bands.append(band - 1)
-        return [(b, math.ceil(1.1 * self.differ(self.edges[b + 1] - 1)) + 2) for b in bands]
+        return [(b, math.ceil(CELLS * self.differ(self.edges[b + 1] - 1)) + 2) for b in bands]
 
 
 @cache
@@ -94,17 +99,17 @@ def _filled(members: np.ndarray, count: int, name: np.ndarray) -> tuple[np.ndarr
     return cell[starts], shingles.mix(sums + cell[starts] * shingles.BASE + name)
 
 
-def cells(members: np.ndarray, plan: Bands, frequent: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the cells of one set; ``frequent`` holds the members to leave out, sorted.
+def cell_parts(members: np.ndarray, plan: Bands, frequent: np.ndarray | None = None) -> list[tuple[np.ndarray, int, int]]:
+    """(hashes of cells, band, least) of one set; ``frequent`` holds the members to leave out, sorted.
 
-    Two linked sets share one: if either has more filled cells than members can differ, one
-    of them is untouched; else both also give the cells of all members, and, where
-    those are too few as well, the names of their empty cells.
+    Two linked sets share at least ``least`` of the cells of either: if it has more filled cells than members can differ, the
+    surplus of them is untouched. A set with fewer (least 1) also gives the cells of all members, and, where
+    those are too few as well, the names of its empty cells.
     """
     size = len(members)
     differ = plan.differ(size)
     if not differ:
-        return np.zeros(0, U)
+        return []
     rare = members
     if frequent is not None and len(frequent):
         at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
@@ -113,16 +118,21 @@ def cells(members: np.ndarray, plan: Bands, frequent: np.ndarray | None = None)
     for band, count in plan.of(size):
         name = shingles.mix(np.array([band], U) + SALTS[2])
         filled, hashes = _filled(rare, count, name)
-        out.append(hashes)
+        out.append((hashes, band, max(len(filled) - differ, 1)))
         if len(filled) > differ:
             continue
         name = shingles.mix(name)
         filled, hashes = _filled(members, count, name)
-        out.append(hashes)
+        out.append((hashes, band, 1))
         if len(filled) <= differ:
             empty = np.setdiff1d(np.arange(count, dtype=U), filled)
-            out.append(shingles.mix(EMPTY_CELL + empty * shingles.BASE + name))
-    return np.concatenate(out)
+            out.append((shingles.mix(EMPTY_CELL + empty * shingles.BASE + name), band, 1))
+    return out
+
+
+def cells(members: np.ndarray, plan: Bands, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all cells of one set; two linked sets share one."""
+    return np.concatenate([np.zeros(0, U), *[hashes for hashes, _, _ in cell_parts(members, plan, frequent)]])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int):
@@ -184,10 +194,12 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(node, component): first keys of sets connected by shared cells; sets that share none are left out.
+    """(node, component): first keys of sets connected by shared cells; sets that share too few are left out.
 
     A task gives the cells of a set once, so a text with very many copies has a row a cell and task. The cells
-    are written, and shuffled in ``CELL_PASSES`` shares.
+    are written, and shuffled in ``CELL_PASSES`` shares. With its cells ordered by rows, fewest first, the first cell that
+    a set has in common with one that it links with has at least the others in common after it: ``least`` - 1 of the
+    set's shared cells. So these last ones are left out, and with them every set that shares fewer than ``least``.
     """
     left_out = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
 
@@ -196,27 +208,41 @@ def families(docs: DataFrame, text: str, width: int, num: int, den: int, frequen
         for _, found in _slices(batches, width):
             if len(seen) > SEEN:
                 seen.clear()
-            rows = []
+            hashes, nodes, parts = [np.zeros(0, U)], [], []
             for members, node in zip(found, _keys(found)[0].tolist()):
                 if len(members) and node not in seen:
                     seen.add(node)
-                    rows.append((node, cells(members, plan, here)))
-            nodes = np.repeat(np.array([n for n, _ in rows], np.int64), [len(c) for _, c in rows])
-            hashes = np.concatenate([np.zeros(0, U), *[c for _, c in rows]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(nodes)], ["cell", "node"])
-
-    filled = written(docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long"), "shingle-cells")
-    parts = []
-    for part in range(CELL_PASSES):
-        mine = filled.where(F.pmod("cell", F.lit(CELL_PASSES)) == part)
+                    for some, band, least in cell_parts(members, plan, here):
+                        hashes.append(some)
+                        nodes.append(node)
+                        parts.append(2 * least + band % 2)  # a set is in neighbouring bands
+            lengths = [len(h) for h in hashes[1:]]
+            columns = [np.concatenate(hashes).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(parts, np.int64), lengths)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "part"])
+
+    filled = written(docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long, part long"), "shingle-cells")
+    shares = []
+    for share in range(CELL_PASSES):
+        mine = filled.where(F.pmod("cell", F.lit(CELL_PASSES)) == share)
         # most cells have one set: they end here, and a cell of any number of sets is one row
-        least = mine.groupBy("cell").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
-        shared = written(least.select("cell", "u"), "shingle-shared")
-        met = mine.join(shared.hint("shuffle_hash"), "cell").where("u <> node")
-        parts.append(written(met.groupBy("u", F.col("node").alias("v")).agg(F.lit(1).alias("once")).select("u", "v"), "shingle-edges"))
+        counted = mine.groupBy("cell").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"))
+        shared = written(counted.where("first <> last").select("cell", "n"), "shingle-shared")
+        met = mine.join(shared.hint("shuffle_hash"), "cell").groupBy("cell", "node", "part").agg(F.first("n").alias("n"))
+        shares.append(written(met, "shingle-met"))
         drop_written(shared)
     drop_written(filled)
-    return components(reduce(DataFrame.union, parts), consume=parts)
+    own = W.partitionBy("node", "part")  # cells of one text
+    ranked = reduce(DataFrame.union, shares).select(
+        "cell", "node", "part", F.row_number().over(own.orderBy("n", "cell")).alias("place"), F.count("*").over(own).alias("shared")
+    )
+    kept = written(ranked.where("place <= shared - part div 2 + 1").select("cell", "node"), "shingle-kept")
+    for table in shares:
+        drop_written(table)
+    first = kept.groupBy("cell").agg(F.min("node").alias("u"))
+    met = kept.join(first.hint("shuffle_hash"), "cell").where("u <> node")
+    edges = written(met.groupBy("u", F.col("node").alias("v")).agg(F.lit(1).alias("once")).select("u", "v"), "shingle-edges")
+    drop_written(kept)
+    return components(edges, consume=[edges])
 
 
 def blocks(members: DataFrame, num: int, den: int, block_members: int = FAMILY_MEMBERS) -> DataFrame:

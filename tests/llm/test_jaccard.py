@@ -197,3 +197,40 @@ def test_texts_go_to_their_blocks_in_passes(spark):
         assert whole == shares
     assert len(found[1].inputFiles()) > 1  # written a pass at a time
     assert not [path for _, path in scratch._written if "shingle-texts" in path]
+
+
+def test_texts_that_share_a_sentence_are_no_family(spark):
+    """Each text shares a run of words with the next: one chain of shared cells, but only the copies among them can link."""
+    rng = np.random.default_rng(5)
+    runs = [rng.choice([f"r{i}" for i in range(5000)], 9).tolist() for _ in range(81)]
+    texts = {}
+    for i in range(80):
+        body = [f"b{i}x{k}" for k in range(40 + i % 5)]
+        texts[i] = " ".join([*runs[i], *body, *runs[i + 1]])
+    for i in (7, 8, 40):
+        texts[100 + i] = texts[i].replace(f"b{i}x20", "other")
+        texts[200 + i] = texts[i].replace(f"b{i}x30", "another")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    family = jaccard_join.families(docs, "text", 5, 80, 100, np.zeros(0, np.uint64))
+    assert family.count() <= 20
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs, "doc_id", "text", 5, 80, 100).collect()}
+    assert got == brute(texts, 5, 80, 100)
+
+
+def test_linked_sets_share_the_least_of_cells_that_each_names():
+    rng = np.random.default_rng(9)
+    for num in (80, 90):
+        plan = jaccard_join.bands(num, 100)
+        for size in (20, 41, 90, 300, 777):
+            members = np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64))
+            for drop in range(0, size // 9, 2):
+                other = np.unique(np.concatenate([members[drop:], rng.integers(0, 2**63, drop // 3, dtype=np.int64).astype(np.uint64)]))
+                if not signature_tree.similar(members, other, num, 100):
+                    continue
+                a, b = jaccard_join.cell_parts(members, plan), jaccard_join.cell_parts(other, plan)
+                common = {x[1] for x in a} & {x[1] for x in b}
+                assert common or not plan.differ(size) or not plan.differ(len(other))
+                for band in common:
+                    (mine, _, least), (theirs, _, least_of_other) = next(x for x in a if x[1] == band), next(x for x in b if x[1] == band)
+                    if least > 1 and least_of_other > 1:
+                        assert len(set(mine.tolist()) & set(theirs.tolist())) >= max(least, least_of_other)
