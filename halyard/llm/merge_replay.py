@@ -1,7 +1,7 @@
 """Byte-level BPE by replaying merges over all distinct words of a slice of the corpus.
 
 The rows of a slice are split by the pattern; each distinct word not met before
-is laid out once, byte by byte, in one long chain. An inverted index holds, for
+is laid out once, byte by byte, in a chain of some thousand words. An inverted index holds, for
 every merge that could apply somewhere, the positions where its pair stands; a
 heap gives the merges in rank order. Applying a merge walks its positions and
 touches only the two neighbours of each. Texts are then put together from the
@@ -31,7 +31,8 @@ from halyard.llm import arrow_text
 
 SLICE_BYTES = 3 << 20
 STORED_WORDS = 300_000
-SHIFT = 32
+REPLAYED_WORDS = 4_000  # laid out at once: the chain and its index stay in the processor's cache
+NONE: dict[int, int] = {}  # of tokens without pairs
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -44,25 +45,34 @@ class Encoder:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.words = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        self.pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.pieces[rank] = token
+        # the pairs that merge: of each rank by left half, of each left half by right, of each right half by left
+        self.halves: list[dict[int, int]] = [NONE] * len(self.pieces)
+        self.by_left: list[dict[int, int]] = [NONE] * len(self.pieces)
+        self.by_right: list[dict[int, int]] = [NONE] * len(self.pieces)
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << SHIFT | right] = rank
-        self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.pieces[rank] = token
+                    for table, a, b, c in ((self.halves, rank, left, right), (self.by_left, left, right, rank), (self.by_right, right, left, rank)):
+                        if table[a] is NONE:
+                            table[a] = {}
+                        table[a][b] = c
+        self.byte_ranks = np.full((256, 256), -1, np.int64)  # of two bytes, -1 where they do not merge
+        byte_of = {rank: b for b, rank in enumerate(self.single.tolist())}
+        for left, b in byte_of.items():
+            for right, rank in self.by_left[left].items():
+                if right in byte_of:
+                    self.byte_ranks[b, byte_of[right]] = rank
         self.store: dict[str, bytes] = {}
 
     def _alone(self, word: bytes) -> list[int]:
         """One word by itself: merge the first pair of lowest rank until none is left."""
         ids = self.single[np.frombuffer(word, np.uint8)].tolist()
         while len(ids) > 1:
-            found = [(self.pairs.get(a << SHIFT | b, 1 << 60), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+            found = [(self.by_left[a].get(b, 1 << 60), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
             rank, at = min(found)
             if rank == 1 << 60:
                 break
@@ -75,17 +85,16 @@ class Encoder:
         if not lengths.sum():
             return [b""] * len(words)
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        chain = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        chain = self.single[data]
         n = len(chain)
         following = np.arange(1, n + 1)
         following[starts[1:][lengths > 0] - 1] = n  # the end of a word
         before = np.arange(-1, n - 1)
         before[starts[:-1][lengths > 0]] = n
         inner = np.flatnonzero(following < n)
-        keys = chain[inner] << SHIFT | chain[inner + 1]
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        known = self.pair_keys[at] == keys
-        ranks, positions = self.pair_ranks[at[known]], inner[known]
+        ranks = self.byte_ranks[data[inner], data[inner + 1]]
+        ranks, positions = ranks[ranks >= 0], inner[ranks >= 0]
         order = np.argsort(ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
         edges = np.flatnonzero(np.diff(ranks, prepend=-1))
@@ -93,42 +102,45 @@ class Encoder:
         queue = list(index)
         heapq.heapify(queue)
         token, after, prior = [*chain.tolist(), -1], [*following.tolist(), n], [*before.tolist(), n]
-        pairs, odd = self.pairs, []
+        odd = []
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank, None)
             if places is None:
                 continue
-            places.sort()
+            if len(places) > 1:
+                places.sort()
+            halves, rights, lefts = self.halves[rank], self.by_left[rank], self.by_right[rank]
             for p in places:
                 q = after[p]
-                left = token[p]
-                if left < 0 or q == n or pairs.get(left << SHIFT | token[q]) != rank:
+                if q == n or halves.get(token[p]) != token[q]:
                     continue
                 token[p], token[q] = rank, -1
                 r = after[p] = after[q]
                 if r != n:
                     prior[r] = p
-                    new = pairs.get(rank << SHIFT | token[r])
-                    if new is not None:
-                        if new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            heapq.heappush(queue, new)
-                        if new <= rank:
-                            odd.append(p)
-                o = prior[p]
-                if o != n:
-                    new = pairs.get(token[o] << SHIFT | rank)
-                    if new is not None:
-                        if new in index:
-                            index[new].append(o)
-                        else:
-                            index[new] = [o]
-                            heapq.heappush(queue, new)
-                        if new <= rank:
-                            odd.append(o)
+                    if rights:
+                        new = rights.get(token[r])
+                        if new is not None:
+                            if new in index:
+                                index[new].append(p)
+                            else:
+                                index[new] = [p]
+                                heapq.heappush(queue, new)
+                            if new <= rank:
+                                odd.append(p)
+                if lefts:
+                    o = prior[p]
+                    if o != n:
+                        new = lefts.get(token[o])
+                        if new is not None:
+                            if new in index:
+                                index[new].append(o)
+                            else:
+                                index[new] = [o]
+                                heapq.heappush(queue, new)
+                            if new <= rank:
+                                odd.append(o)
         ids = np.array(token[:n], np.int64)
         alive = np.concatenate([[0], np.cumsum(ids >= 0)])
         packed = ids[ids >= 0].astype("<u4").tobytes()
@@ -142,18 +154,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words.findall(t) for t in texts]
         store = self.store
-        missing = list({w for words in split for w in words if w not in store})
+        missing = list(set().union(*split).difference(store))
         if len(store) + len(missing) > STORED_WORDS:
             store.clear()
-            missing = list({w for words in split for w in words})
+            missing = list(set().union(*split))
         raw = [w.encode() for w in missing]
         whole = [self.ranks.get(w) for w in raw]
         for w, rank in zip(missing, whole):
             if rank is not None:
                 store[w] = rank.to_bytes(4, "little")
         rest = [i for i, rank in enumerate(whole) if rank is None]
-        for i, ids in zip(rest, self.replay([raw[i] for i in rest])):
-            store[missing[i]] = ids
+        for run in (rest[i : i + REPLAYED_WORDS] for i in range(0, len(rest), REPLAYED_WORDS)):
+            for i, ids in zip(run, self.replay([raw[i] for i in run])):
+                store[missing[i]] = ids
         return [b"".join(map(store.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:

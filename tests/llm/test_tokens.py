@@ -131,3 +131,18 @@ def test_replay_equals_word_by_word():
     words = [bytes(rng.choice(list(b"abenrstht io"), rng.integers(0, 30))) for _ in range(2000)] + [b"a" * 999, b"ab" * 500, b""]
     want = [np.array(encoder._alone(w) if w else [], "<u4").tobytes() for w in words]
     assert encoder.replay(words) == want
+
+
+def test_words_are_replayed_in_bounded_runs(monkeypatch):
+    """However many new words a slice has, few are laid out at once; the ids are those of the words alone."""
+    rng = np.random.default_rng(3)
+    encoder = merge_replay.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    words = ["".join(rng.choice(list("etaoinshrdluéß😀"), rng.integers(2, 20))) for _ in range(10_000)]
+    laid_out, replay = [], encoder.replay
+    monkeypatch.setattr(encoder, "replay", lambda run: laid_out.append(len(run)) or replay(run))
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    got = encoder.encode(texts)
+    assert sum(laid_out) > 5_000 and max(laid_out) <= 4_000
+    want = [b"".join(np.array(encoder._alone(w.encode()), "<u4").tobytes() for w in encoder.words.findall(t)) for t in texts]
+    assert got == want
+    assert [encoder.decode(ids).decode() for ids in got] == texts
