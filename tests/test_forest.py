@@ -2,11 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from halyard.operators import attribution
 from halyard.operators import forest as R
 from halyard.plans import forests
 from halyard.plans import selecting as S
+from halyard.plans.training import VECTOR
 
 
 def plain_gains(spec, tree, bins, names, label):
@@ -139,3 +142,103 @@ def test_large_nodes_read_a_column_at_a_time_give_the_same(monkeypatch, classes)
         found.append(R.tree_gains(R.Spec(classes, 8, 3), 0, bins, names, label, 32))
     assert found[0].sum() == pytest.approx(1.0)
     assert all((f == found[0]).all() for f in found)
+
+
+def plain_tree(spec, number, bins, names, label, weight, kinds):
+    """One tree by loops over rows: {node: (feature, bin)} and the values of all nodes."""
+    times = R.lots(spec.seed, number, names)
+    at, cuts, values = np.zeros(len(names), int), {}, {}
+
+    def sums(rows):
+        if spec.classes:
+            return np.array([sum(float(times[i]) * weight[i] for i in rows if label[i] == k) for k in range(kinds)])
+        return np.array([sum(float(times[i]) for i in rows), sum(times[i] * label[i] for i in rows)])
+
+    def held(x):
+        return x / x.sum() if spec.classes else x[1:] / x[0]
+
+    def square(x):
+        return (x * x).sum() / x.sum() if spec.classes else x[1] ** 2 / x[0]
+
+    for level in range(spec.depth):
+        tried = R._tried(spec, number, level, 1 << level, bins.shape[1])
+        for node in range((1 << level) - 1, (2 << level) - 1):
+            rows = [i for i in range(len(names)) if at[i] == node and times[i]]
+            if not rows:
+                continue
+            whole = sums(rows)
+            values.setdefault(node, held(whole))
+            best = (1e-9, None)
+            for f in tried[node - (1 << level) + 1]:
+                for cut in range(31):
+                    left = [i for i in rows if bins[i, f] <= cut]
+                    right = [i for i in rows if bins[i, f] > cut]
+                    if left and right:
+                        gain = square(sums(left)) + square(sums(right)) - square(whole)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (int(f), cut))
+            if best[1]:
+                cuts[node] = best[1]
+                for i in rows:
+                    at[i] = 2 * node + 1 + (bins[i, best[1][0]] > best[1][1])
+                for child in (2 * node + 1, 2 * node + 2):
+                    values[child] = held(sums([i for i in rows if at[i] == child]))
+    return cuts, values
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_trees_of_many_blocks_are_those_of_plain_loops(spark, monkeypatch, classes):
+    from halyard.plans import boosted
+
+    draw = np.random.default_rng(3)
+    n = 240
+    x = draw.integers(0, 6, (n, 5)).astype(float)
+    label = (x[:, 0] + x[:, 1] > 5) * 1.0 + (x[:, 2] > 4) if classes else (x[:, 0] * 3 + x[:, 1] * x[:, 2] + draw.integers(0, 3, n)) / 64.0
+    weight = draw.integers(1, 4, n) * 1.0
+    rows = spark.createDataFrame([(i, Vectors.dense(x[i]), float(label[i]), float(weight[i])) for i in range(n)], ["id", VECTOR, "label", "weight"]).repartition(3)
+    monkeypatch.setattr(forests, "ROWS", 50)
+    monkeypatch.setattr(boosted, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(forests, "TASK_CELLS", 1000)
+    monkeypatch.setattr(forests, "PART", 2)
+    model = forests.SpreadForest(classes, 3, 3, "id").fit(rows)
+    told, trees = model._read()
+    names = np.array([r.h for r in rows.selectExpr("id", "xxhash64(id) h").orderBy("id").collect()], np.int64).astype(np.uint64)
+    bins = np.stack([np.searchsorted(np.array(e), x[:, i]) for i, e in enumerate(told["limits"])], axis=1)
+    scaled = label if classes else (label - told["shift"]) / told["unit"]
+    spec = R.Spec(classes, 3, 3 if classes else 2, 42)
+    mean = np.zeros((n, told["kinds"]))
+    for number, tree in enumerate(trees):
+        cuts, values = plain_tree(spec, number, bins, names, scaled, weight, told["kinds"])
+        assert {int(i): (int(tree.feature[i]), int(tree.bin[i])) for i in np.flatnonzero(tree.feature >= 0)} == cuts
+        for i in range(n):
+            node = 0
+            while node in cuts:
+                node = 2 * node + 1 + (bins[i, cuts[node][0]] > cuts[node][1])
+            assert np.abs(tree.value[node] - values[node]).max() < 1e-6
+            mean[i] += values[node] / 3
+    found = {r.id: r for r in model.transform(rows).collect()}
+    for i in range(n):
+        if classes:
+            assert np.abs(found[i].probability.toArray() - mean[i]).max() < 1e-6 and found[i].prediction == found[i].probability.toArray().argmax()
+        else:
+            assert abs(found[i].prediction - (mean[i][0] * told["unit"] + told["shift"])) < 1e-6
+    assert abs(model.featureImportances.toArray().sum() - 1.0) < 1e-9
+    given = attribution.contributions(x, attribution.leaf_blocks(None, model))
+    base = sum(np.sum([v[2] for v in model.nodes() if v[1] == 0], axis=0))
+    whole = given.sum(axis=1) + base
+    assert np.abs(whole - (mean if classes else mean * told["unit"] + told["shift"])).max() < 1e-6
+
+
+def test_the_learner_of_large_tables_is_saved_and_read_again(spark, monkeypatch, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.util import DefaultParamsReader
+
+    rows = spark.createDataFrame([(i, Vectors.dense([i % 7, i % 5]), float(i % 7)) for i in range(300)], ["id", VECTOR, "label"])
+    assert isinstance(forests.forest(rows, False, 2, 3, "id"), RandomForestRegressor)
+    monkeypatch.setattr(forests.training, "SPREAD_ROWS", 300)
+    model = forests.forest(rows, False, 20, 4, "id").fit(rows)
+    model.write().save(str(tmp_path / "model"))
+    again = DefaultParamsReader.loadParamsInstance(str(tmp_path / "model"), spark.sparkContext)
+    pairs = [(r.prediction, s.prediction, r.label) for r, s in zip(model.transform(rows).collect(), again.transform(rows).collect())]
+    assert all(a == b for a, b, _ in pairs) and sum(abs(a - c) for a, _, c in pairs) / 300 < 1.0
+    assert sorted(model.transform(rows.limit(0)).collect()) == []
