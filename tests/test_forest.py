@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -224,7 +225,7 @@ def test_trees_of_many_blocks_are_those_of_plain_loops(spark, monkeypatch, class
             assert abs(found[i].prediction - (mean[i][0] * told["unit"] + told["shift"])) < 1e-6
     assert abs(model.featureImportances.toArray().sum() - 1.0) < 1e-9
     given = attribution.contributions(x, attribution.leaf_blocks(None, model))
-    base = sum(np.sum([v[2] for v in model.nodes() if v[1] == 0], axis=0))
+    base = np.sum([v[2] for v in model.nodes() if v[1] == 0], axis=0)
     whole = given.sum(axis=1) + base
     assert np.abs(whole - (mean if classes else mean * told["unit"] + told["shift"])).max() < 1e-6
 
@@ -242,3 +243,11 @@ def test_the_learner_of_large_tables_is_saved_and_read_again(spark, monkeypatch,
     pairs = [(r.prediction, s.prediction, r.label) for r, s in zip(model.transform(rows).collect(), again.transform(rows).collect())]
     assert all(a == b for a, b, _ in pairs) and sum(abs(a - c) for a, _, c in pairs) / 300 < 1.0
     assert sorted(model.transform(rows.limit(0)).collect()) == []
+
+
+def test_large_tables_of_equal_or_unnamed_rows(spark, monkeypatch):
+    monkeypatch.setattr(forests, "LIMIT_ROWS", 1)
+    rows = spark.range(60).select(F.lit(None).cast("long").alias("id"), array_to_vector(F.array(F.lit(1.0), F.lit(2.0))).alias(VECTOR), F.lit(3.0).alias("label"))
+    model = forests.SpreadForest(False, 2, 3, "id").fit(rows)
+    assert {r.prediction for r in model.transform(rows).collect()} == {3.0}
+    assert model.featureImportances.toArray().tolist() == [0.0, 0.0]
