@@ -193,3 +193,49 @@ def test_of_two_children_only_the_smaller_is_added_up(monkeypatch):
         assert (now.tree.value == tree.value).all() and (now.tree.feature == tree.feature).all()
         again = again + tree.value[tree.place(bins)]
     assert (again == margin).all()
+
+
+def test_rows_of_large_nodes_are_added_up_by_codes_of_three_features():
+    """Whole codes, single features and any number of bins give the sums of plain loops."""
+    draw = np.random.default_rng(8)
+    for n_bins in (32, 12, 200):
+        bins = draw.integers(0, n_bins, (40000, 5)).astype(np.uint8)
+        g, h = np.rint(draw.normal(0, B.FINE, len(bins))), np.rint(draw.random(len(bins)) * B.FINE)
+        place = np.where(draw.random(len(bins)) < 0.8, 1, 2)
+        wanted = np.array([0, 2, 3, 4])
+        got = B.sums(bins, place, [1, 2], wanted, g, h, n_bins)
+        for side, x in enumerate((g, h)):
+            for node in (1, 2):
+                for i, f in enumerate(wanted):
+                    here = place == node
+                    assert (got[side, node - 1, i] == np.bincount(bins[here, f], x[here], n_bins)).all()
+
+
+def test_the_demand_job_bins_the_rows_of_a_large_table_once(spark, monkeypatch):
+    """Above ``SPREAD_ROWS`` boosting is not Spark's, which reads all rows anew for every level of every round; rounds, depth and rate are the same."""
+    from halyard.plans import jobs
+
+    rows = frame(spark, False).drop("weight")
+    assert type(jobs.boosting(rows, 5, 3, 0.3, "id")).__name__ == "GBTRegressor"
+    monkeypatch.setattr(T, "SPREAD_ROWS", 300)
+    learner = jobs.boosting(rows, 5, 3, 0.3, "id")
+    assert (learner.spec.rounds, learner.spec.depth, learner.spec.rate) == (5, 3, 0.3)
+    model = learner.fit(rows)
+    x = np.array([r.x for r in rows.select(F.expr("id"), T.vector_to_array(T.VECTOR).alias("x"), "label").orderBy("id").collect()])
+    y = np.array([r.label for r in rows.orderBy("id").collect()])
+    shift, unit = (y.min() + y.max()) / 2, (y.max() - y.min()) / 2
+    want = np.array(plain(learner.spec, x, (y - shift) / unit, np.ones(len(y)))) * unit + shift
+    got = [r.prediction for r in model.transform(rows).orderBy("id").collect()]
+    assert got == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_one_value_of_all_rows_is_held_once(spark):
+    rows = frame(spark, True, parts=1)
+    args = (rows, T.VECTOR, "id", boosted.limits_of(rows, T.VECTOR), F.col("label"))
+    same = [tuple(r) for r in boosted.blocks(*args, F.lit(2.0), F.lit(3), F.lit(0)).collect()]
+    assert [len(p) for p in same[0][2:5]] == [8, 8, 8] and len(same) == 1
+    block = boosted.Block(same, 0)
+    assert len(block.label) == 300 and (block.weight == 2.0).all() and (block.train == 3).all() and len(block.test) == 300
+    other = [tuple(r) for r in boosted.blocks(*args, F.lit(1.0), F.lit(3), F.lit(0)).collect()]
+    both = boosted.Block(same + other, 0)
+    assert both.weight.tolist() == [2.0] * 300 + [1.0] * 300
